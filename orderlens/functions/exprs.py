@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,6 +47,17 @@ def wide(column: ColumnOrName) -> Column:
     return _column(column).cast("decimal(20,0)")
 
 
+def money_sum(name: str) -> Column:
+    """Exact sum of a two-decimal amount, added up as whole cents.
+
+    Long addition is several times cheaper in a hash aggregate than decimal
+    addition. A group may reach 9e16 units of money, beyond which it raises; use
+    it for grains such as order, product or seller, and ``F.sum`` for few groups.
+    """
+    cents = F.sum((F.col(name) * 100).cast("long"))
+    return cents.cast("decimal(20,0)") * F.lit(Decimal("0.01"))
+
+
 def ratio(numerator: ColumnOrName, denominator: ColumnOrName, digits: int = 2) -> Column:
     """Exact decimal quotient, rounded half away from zero; null when dividing by zero."""
     quotient = F.try_divide(_column(numerator).cast(_NUMERATOR), _column(denominator).cast(_DENOMINATOR))

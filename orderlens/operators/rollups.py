@@ -9,15 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.functions import is_delivered, ratio
+from orderlens.functions import is_delivered, money_sum, ratio
 from orderlens.warehouse import Warehouse
 
 
 def item_totals(items: DataFrame, *keys: str) -> DataFrame:
     return items.groupBy(*keys).agg(
         F.count("*").alias("items"),
-        F.sum("price").alias("revenue"),
-        F.sum("freight_value").alias("freight"),
+        money_sum("price").alias("revenue"),
+        money_sum("freight_value").alias("freight"),
     )
 
 

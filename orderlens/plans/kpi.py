@@ -14,7 +14,7 @@ from orderlens.functions import (
 )
 from orderlens.operators.calendar import month_calendar
 from orderlens.operators.ranking import top_n
-from orderlens.operators.rollups import order_totals, to_people
+from orderlens.operators.rollups import item_totals, order_totals, to_people
 from orderlens.warehouse import Warehouse
 
 _PURCHASED = "order_purchase_timestamp"
@@ -175,8 +175,8 @@ def payment_types(w: Warehouse) -> DataFrame:
 
 
 def average_order_value(w: Warehouse) -> DataFrame:
-    orders, sales = F.count_distinct("order_id"), F.sum("price")
-    return w.order_items.agg(
+    orders, sales = F.count("*"), F.sum("revenue")
+    return item_totals(w.order_items, "order_id").agg(
         orders.alias("total_orders"),
         sales.alias("total_product_sales"),
         ratio(sales, orders).alias("average_order_value"),

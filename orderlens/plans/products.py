@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.functions import mean, pct, ratio, wide
+from orderlens.functions import mean, money_sum, pct, ratio, wide
 from orderlens.operators.ranking import top_n
 from orderlens.operators.rollups import item_totals, review_totals
 from orderlens.warehouse import Warehouse
@@ -41,7 +41,7 @@ def units_with_category(w: Warehouse) -> DataFrame:
 
 
 def revenue_top10(w: Warehouse, n: int = 10) -> DataFrame:
-    per_product = w.order_items.groupBy("product_id").agg(F.sum("price").alias("revenue"))
+    per_product = w.order_items.groupBy("product_id").agg(money_sum("price").alias("revenue"))
     return top_n(per_product, n, F.col("revenue").desc(), F.col("product_id"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.functions import pct, ratio, wide
+from orderlens.functions import money_sum, pct, ratio, wide
 from orderlens.operators.ranking import top_n
 from orderlens.operators.rollups import item_totals, review_totals
 from orderlens.plans.products import total_revenue
@@ -15,10 +15,10 @@ _CATEGORY = "product_category_name"
 
 
 def _sales(w: Warehouse) -> DataFrame:
-    return w.order_items.groupBy("seller_id").agg(
-        F.count_distinct("order_id").alias("orders_handled"),
-        F.count("*").alias("units_sold"),
-        F.sum("price").alias("revenue"),
+    return item_totals(w.order_items, "seller_id", "order_id").groupBy("seller_id").agg(
+        F.count("*").alias("orders_handled"),
+        F.sum("items").alias("units_sold"),
+        F.sum("revenue").alias("revenue"),
     )
 
 
@@ -44,7 +44,7 @@ def reviews(w: Warehouse) -> DataFrame:
 
 
 def _revenue(w: Warehouse) -> DataFrame:
-    return w.order_items.groupBy("seller_id").agg(F.sum("price").alias("revenue"))
+    return w.order_items.groupBy("seller_id").agg(money_sum("price").alias("revenue"))
 
 
 def revenue_top10(w: Warehouse, n: int = 10) -> DataFrame:
@@ -57,11 +57,10 @@ def top10_share(w: Warehouse, n: int = 10) -> DataFrame:
 
 
 def _by_category(w: Warehouse) -> DataFrame:
-    pairs = w.order_items.groupBy("seller_id", "product_id").agg(
-        F.count("*").alias("units_sold"), F.sum("price").alias("revenue"))
+    pairs = item_totals(w.order_items, "seller_id", "product_id")
     return pairs.join(w.products.select("product_id", _CATEGORY), "product_id").groupBy(
         "seller_id", _CATEGORY).agg(
-        F.sum("units_sold").alias("units_sold"), F.sum("revenue").alias("revenue"))
+        F.sum("items").alias("units_sold"), F.sum("revenue").alias("revenue"))
 
 
 def by_category(w: Warehouse) -> DataFrame:

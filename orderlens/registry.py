@@ -2,16 +2,77 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderlens.plans import advanced, customers, delivery, kpi, marts, payments, products, sellers
+from orderlens.operators import quality
+from orderlens.operators.calendar import date_dim
+from orderlens.plans import (
+    advanced, customers, delivery, intake, kpi, marts, payments, products, sellers, semantic,
+)
+from orderlens.plans.semantic import Context, Model
 from orderlens.sources.star_schema import read_star_schema
 from orderlens.warehouse import Warehouse
 
+# The given orders run from 1995 to 2001; trend charts leave out their first year, as the
+# report pages leave out theirs, and the month probe looks at the same months of another year.
+TREND_START = datetime.date(1996, 1, 1)
+PROBE = (datetime.date(1996, 9, 1), datetime.date(1997, 3, 1))
+
+INTAKE: dict[str, Callable[[Warehouse], DataFrame]] = {
+    "src_csv_discover": intake.discover_report,
+    "src_csv_named": partial(intake.csv_round_trip, name="reviews"),
+    "sink_csv_processed": partial(intake.csv_round_trip, name="orders"),
+    "sink_table_load": intake.table_load,
+    "load_count_check": intake.load_counts,
+    "schema_contracts": quality.required_columns,
+    "surrogate_key": intake.surrogate_keys,
+    "lookup_insert": intake.completed_lookup,
+    "table_scan": intake.order_preview,
+    "view_publish": intake.published_totals,
+    "layout_status": intake.status_layout,
+    "layout_bucketed": intake.bucketed_layout,
+    "profile_table": quality.profile_all,
+    "pk_check": quality.pk_check,
+    "dup_key_rows": lambda w: quality.dup_key_rows(w.reviews, "review_id"),
+    "dup_key_summary": lambda w: quality.dup_key_summary(w.reviews, "review_id"),
+    "composite_key_check": quality.composite_key_check,
+    "composite_key_sql": lambda w: quality.composite_key_totals(w.order_items, "order_id", "order_item_id"),
+    "fk_check": quality.fk_check,
+    "lookup_key_check": quality.lookup_key_check,
+    "translation_coverage": quality.translation_coverage,
+    "zip_ambiguity": quality.zip_ambiguity,
+    "zip_location_counts": quality.zip_location_counts,
+    "length_distribution": lambda w: quality.length_distribution(w.customers, "customer_state"),
+    "value_range": lambda w: quality.value_range(w.customers, "customer_zip_code_prefix"),
+    "value_counts": lambda w: quality.value_counts(w.payments, "payment_type"),
+    "value_counts_top20": lambda w: quality.value_counts(w.products, "product_category_name", 20),
+    "describe_numeric": lambda w: quality.describe_numeric(w.payments, "payment_value"),
+    "describe_installments": lambda w: quality.describe_numeric(w.payments, "payment_installments"),
+    "value_domain": lambda w: quality.value_domain(w.reviews, "review_score"),
+    "anomaly_filters": quality.anomaly_counts,
+    "anomaly_rows": lambda w: quality.anomaly_rows(w, "zero installments"),
+    "anomaly_missing_weight": quality.missing_weight_rows,
+    "exact_dup_groups": lambda w: quality.exact_dup_groups(w.geolocation),
+    "exact_dup_sample": lambda w: quality.exact_dup_sample(w.geolocation),
+    "null_timespan_check": delivery.null_timespan,
+    "month_status_probe": lambda w: quality.month_status(w, *PROBE),
+    "final_validation": quality.final_validation,
+    "clean_headers": intake.headers_cleaned,
+    "clean_trim": intake.trimmed,
+    "clean_timestamps": intake.timestamps_parsed,
+    "clean_null_policy": intake.nulls_kept,
+    "clean_rename": intake.renamed,
+    "clean_dedup": intake.geolocation_places,
+    "clean_tables": intake.cleaned_items,
+    "clean_tables_counts": intake.cleaned_counts,
+}
+
 ANALYSES: dict[str, Callable[[Warehouse], DataFrame]] = {
     "kpi_overall": kpi.overall,
     "kpi_monthly_mom": kpi.monthly_growth,
@@ -97,6 +158,32 @@ ANALYSES: dict[str, Callable[[Warehouse], DataFrame]] = {
 }
 
 
+# Contexts in which measures are also registered, one per way a slicer travels.
+SLICED = Context(
+    date_from=datetime.date(1996, 1, 1), date_to=datetime.date(2000, 12, 31),
+    states=tuple(f"NATION_{n}" for n in range(10)), categories=("ECONOMY", "PROMO", marts.UNCATEGORIZED))
+LATE_ONLY = Context(delivery_statuses=("Late",))
+REPEAT_ONLY = Context(customer_types=(marts.REPEAT,))
+
+_TRENDS = {"m_new_customers_month", "m_review_trend", "m_monthly_revenue"}
+
+
+def _measure(function: Callable, context: Context = Context(), **options) -> Callable[[Warehouse], DataFrame]:
+    return lambda w: function(Model(w, context), **options)
+
+
+MEASURES: dict[str, Callable[[Warehouse], DataFrame]] = {
+    "date_dim": lambda w: date_dim(w.orders),
+    "star_relationships": semantic.star_relationships,
+    "slicer_filter": _measure(semantic.core, SLICED),
+    "slicer_filter_payments": _measure(semantic.payment_mix, SLICED),
+    "slicer_filter_status": _measure(semantic.ontime_pct, LATE_ONLY),
+    "slicer_filter_type": _measure(semantic.revenue_share_by_type, REPEAT_ONLY),
+    **{key: _measure(function, **({"start": TREND_START} if key in _TRENDS else {}))
+       for key, function in semantic.MEASURES.items()},
+}
+
+
 def portable(df: DataFrame) -> DataFrame:
     """Exact decimals as doubles, counts as longs and dates as ISO text, so that
     results compare across engines by value."""
@@ -119,4 +206,4 @@ def _on_star_schema(analysis: Callable[[Warehouse], DataFrame]):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {key: _on_star_schema(analysis) for key, analysis in ANALYSES.items()}
+    return {key: _on_star_schema(analysis) for key, analysis in {**INTAKE, **ANALYSES, **MEASURES}.items()}

@@ -51,7 +51,7 @@ def _customers(read) -> DataFrame:
         .select(
             key.alias("customer_id"),
             (key - key % 2).alias("customer_unique_id"),
-            (key % 997).cast("int").alias("customer_zip_code_prefix"),
+            (key % 97).cast("int").alias("customer_zip_code_prefix"),
             F.lower("c_mktsegment").alias("customer_city"),
             F.col("n_name").alias("customer_state"),
         )
@@ -77,16 +77,14 @@ def _orders(read) -> DataFrame:
 
 
 def _order_items(read) -> DataFrame:
-    price = F.col("l_extendedprice").cast(_MONEY)
-    freight = F.round(price * F.col("l_tax").cast("decimal(4,2)"), 2)
     return read("lineitem").select(
         F.col("l_orderkey").alias("order_id"),
         F.col("l_linenumber").alias("order_item_id"),
         F.col("l_partkey").alias("product_id"),
         F.col("l_suppkey").alias("seller_id"),
         F.col("l_shipdate").alias("shipping_limit_date"),
-        price.alias("price"),
-        freight.cast(_MONEY).alias("freight_value"),
+        F.col("l_extendedprice").cast(_MONEY).alias("price"),
+        (F.col("l_quantity") * 25).cast(_MONEY).alias("freight_value"),
     )
 
 
@@ -163,7 +161,7 @@ def _sellers(read) -> DataFrame:
         .join(read("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
         .select(
             F.col("s_suppkey").alias("seller_id"),
-            (F.col("s_suppkey") % 997).cast("int").alias("seller_zip_code_prefix"),
+            (F.col("s_suppkey") % 97).cast("int").alias("seller_zip_code_prefix"),
             F.lower("n_name").alias("seller_city"),
             F.col("n_name").alias("seller_state"),
         )
