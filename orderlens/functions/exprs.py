@@ -47,15 +47,29 @@ def wide(column: ColumnOrName) -> Column:
     return _column(column).cast("decimal(20,0)")
 
 
-def money_sum(name: str) -> Column:
-    """Exact sum of a two-decimal amount, added up as whole cents.
+def cents_sum(name: str) -> Column:
+    """Sum of a two-decimal amount in whole cents.
 
     Long addition is several times cheaper in a hash aggregate than decimal
-    addition. A group may reach 9e16 units of money, beyond which it raises; use
-    it for grains such as order, product or seller, and ``F.sum`` for few groups.
+    addition. A group may reach 9e16 units of money, beyond which it raises: use
+    it for grains such as order, person, product or seller, and ``money_total``
+    or ``F.sum`` for the few groups of a report.
     """
-    cents = F.sum((F.col(name) * 100).cast("long"))
-    return cents.cast("decimal(20,0)") * F.lit(Decimal("0.01"))
+    return F.sum((F.col(name) * 100).cast("long"))
+
+
+def money(cents: ColumnOrName) -> Column:
+    """Whole cents as an exact amount with two decimals."""
+    return wide(cents) * F.lit(Decimal("0.01"))
+
+
+def money_total(cents: ColumnOrName) -> Column:
+    """Sum of cents over any number of rows as an amount."""
+    return F.sum(wide(cents)) * F.lit(Decimal("0.01"))
+
+
+def money_sum(name: str) -> Column:
+    return money(cents_sum(name))
 
 
 def ratio(numerator: ColumnOrName, denominator: ColumnOrName, digits: int = 2) -> Column:

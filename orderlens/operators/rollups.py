@@ -9,15 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.functions import is_delivered, money_sum, ratio
+from orderlens.functions import cents_sum, is_delivered, money, ratio
 from orderlens.warehouse import Warehouse
 
 
 def item_totals(items: DataFrame, *keys: str) -> DataFrame:
+    """Items, revenue and freight per key, the amounts in cents."""
     return items.groupBy(*keys).agg(
         F.count("*").alias("items"),
-        money_sum("price").alias("revenue"),
-        money_sum("freight_value").alias("freight"),
+        cents_sum("price").alias("revenue_cents"),
+        cents_sum("freight_value").alias("freight_cents"),
     )
 
 
@@ -52,8 +53,8 @@ def people_totals(w: Warehouse, delivered_only: bool, place: bool = False) -> Da
     per_customer = order_totals(w, delivered_only).groupBy("customer_id").agg(
         F.count("*").alias("orders"),
         F.sum("items").alias("items"),
-        F.sum("revenue").alias("revenue"),
-        F.sum("freight").alias("freight"),
+        F.sum("revenue_cents").alias("revenue_cents"),
+        F.sum("freight_cents").alias("freight_cents"),
         F.min("order_purchase_timestamp").alias("first"),
         F.max("order_purchase_timestamp").alias("last"),
     )
@@ -63,8 +64,8 @@ def people_totals(w: Warehouse, delivered_only: bool, place: bool = False) -> Da
         w, per_customer, *where,
         F.sum("orders").alias("orders"),
         F.sum("items").alias("items"),
-        F.sum("revenue").alias("revenue"),
-        F.sum("freight").alias("freight"),
+        money(F.sum("revenue_cents")).alias("revenue"),
+        money(F.sum("freight_cents")).alias("freight"),
         F.min("first").alias("first_purchase_date"),
         F.max("last").alias("last_purchase_date"),
         place=place,

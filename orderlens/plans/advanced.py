@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderlens.functions import is_delivered, mean, month_start, months_between_starts, pct, ratio
+from orderlens.functions import (
+    is_delivered, mean, money, money_total, month_start, months_between_starts, pct, ratio,
+)
 from orderlens.operators.calendar import month_calendar
 from orderlens.operators.ranking import ntile_distributed, top_n, top_ranks
 from orderlens.operators.rollups import item_totals, order_totals, people_totals, to_people
@@ -70,13 +72,11 @@ def value_quartiles(w: Warehouse) -> DataFrame:
 
 def seller_rank_in_category(w: Warehouse, ranks: int = 3) -> DataFrame:
     delivered = w.orders.filter(is_delivered()).select("order_id")
-    sold = item_totals(w.order_items, "order_id", "seller_id", "product_id").join(
-        delivered, "order_id", "left_semi").groupBy("seller_id", "product_id").agg(
-        F.sum("revenue").alias("revenue"))
+    sold = item_totals(w.order_items.join(delivered, "order_id", "left_semi"), "seller_id", "product_id")
     named = w.products.filter(F.col("product_category_name").isNotNull()).select(
         "product_id", F.col("product_category_name").alias("category"))
     pairs = sold.join(named, "product_id").groupBy("seller_id", "category").agg(
-        F.sum("revenue").alias("total_revenue"))
+        money(F.sum("revenue_cents")).alias("total_revenue"))
     ranked = top_ranks(pairs, "category", "total_revenue", "seller_id", ranks, "seller_rank")
     return ranked.select("seller_id", "category", "total_revenue", "seller_rank").orderBy(
         "category", "seller_rank", "seller_id")
@@ -84,7 +84,7 @@ def seller_rank_in_category(w: Warehouse, ranks: int = 3) -> DataFrame:
 
 def _monthly_revenue(w: Warehouse) -> DataFrame:
     return order_totals(w, delivered_only=True).groupBy(month_start(_PURCHASED).alias("month")).agg(
-        F.sum("revenue").alias("monthly_revenue"))
+        money_total("revenue_cents").alias("monthly_revenue"))
 
 
 def _running(monthly: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlens.functions import (
-    CANCELED, count_when, full_days, is_delivered, is_late, mean, month_start, pct, ratio,
+    CANCELED, count_when, full_days, is_delivered, is_late, mean, money_total, month_start, pct,
+    ratio,
 )
 from orderlens.operators.calendar import month_calendar
 from orderlens.operators.ranking import top_n
@@ -22,12 +23,12 @@ _DELIVERED_AT = "order_delivered_customer_date"
 
 
 def _gross() -> Column:
-    return F.col("revenue") + F.col("freight")
+    return money_total(F.col("revenue_cents") + F.col("freight_cents"))
 
 
 def overall(w: Warehouse) -> DataFrame:
     """Headline totals, customers counted by customer_id."""
-    gross, orders = F.sum(_gross()), F.count("*")
+    gross, orders = _gross(), F.count("*")
     return order_totals(w, delivered_only=True).agg(
         orders.alias("total_orders"),
         F.count_distinct("customer_id").alias("total_customers"),
@@ -41,7 +42,7 @@ def _monthly(w: Warehouse) -> DataFrame:
     return (
         order_totals(w, delivered_only=True)
         .groupBy(month_start(_PURCHASED).alias("month_start"))
-        .agg(F.count("*").alias("total_orders"), F.sum(_gross()).alias("revenue"))
+        .agg(F.count("*").alias("total_orders"), _gross().alias("revenue"))
     )
 
 
@@ -175,7 +176,7 @@ def payment_types(w: Warehouse) -> DataFrame:
 
 
 def average_order_value(w: Warehouse) -> DataFrame:
-    orders, sales = F.count("*"), F.sum("revenue")
+    orders, sales = F.count("*"), money_total("revenue_cents")
     return item_totals(w.order_items, "order_id").agg(
         orders.alias("total_orders"),
         sales.alias("total_product_sales"),

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.functions import (
-    blank_to_null, calendar_days, count_when, delivery_status, mean, month_start, pct, ratio,
+    blank_to_null, calendar_days, count_when, delivery_status, mean, money, money_total, month_start,
+    pct, ratio,
 )
 from orderlens.operators.ranking import top_n
 from orderlens.operators.rollups import delivered_hub, item_totals, people_totals
@@ -57,7 +58,7 @@ def sales_checks(w: Warehouse) -> DataFrame:
         F.sum("items").alias("total_rows"),
         F.count("*").alias("total_orders"),
         F.count_distinct("customer_unique_id").alias("total_customers"),
-        F.sum("revenue").alias("total_revenue"),
+        money_total("revenue_cents").alias("total_revenue"),
         F.min("day").alias("first_date"),
         F.max("day").alias("last_date"),
     ).select(
@@ -101,9 +102,9 @@ def _mart_totals(per_buyer: DataFrame, key: str) -> DataFrame:
         F.sum("items").alias("units_sold"),
         F.sum("orders").alias("total_orders"),
         F.count("*").alias("unique_customers"),
-        F.sum("revenue").alias("total_revenue"),
-        F.sum("freight").alias("total_freight"),
-        ratio(F.sum("revenue"), F.sum("items"), 6).alias("average"))
+        money(F.sum("revenue_cents")).alias("total_revenue"),
+        money(F.sum("freight_cents")).alias("total_freight"),
+        ratio(money(F.sum("revenue_cents")), F.sum("items"), 6).alias("average"))
 
 
 def _per_buyer(w: Warehouse, key: str, hub: DataFrame, buyer: str) -> DataFrame:
@@ -112,8 +113,8 @@ def _per_buyer(w: Warehouse, key: str, hub: DataFrame, buyer: str) -> DataFrame:
     return item_totals(w.order_items, key, "order_id").join(hub, "order_id").groupBy(key, buyer).agg(
         F.count("*").alias("orders"),
         F.sum("items").alias("items"),
-        F.sum("revenue").alias("revenue"),
-        F.sum("freight").alias("freight"))
+        F.sum("revenue_cents").alias("revenue_cents"),
+        F.sum("freight_cents").alias("freight_cents"))
 
 
 def products(w: Warehouse) -> DataFrame:
@@ -266,14 +267,15 @@ def monthly_sales(w: Warehouse) -> DataFrame:
     people = item_totals(w.order_items, "order_id").join(hub, "order_id").groupBy(
         "sales_month", "customer_unique_id").agg(
         F.count("*").alias("orders"), F.sum("items").alias("items"),
-        F.sum("revenue").alias("revenue"), F.sum("freight").alias("freight"))
+        F.sum("revenue_cents").alias("revenue_cents"), F.sum("freight_cents").alias("freight_cents"))
+    revenue = money_total("revenue_cents")
     return people.groupBy("sales_month").agg(
         F.sum("orders").alias("total_orders"),
         F.sum("items").alias("total_items"),
         F.count("*").alias("unique_customers"),
-        F.sum("revenue").alias("total_revenue"),
-        F.sum("freight").alias("total_freight"),
-        ratio(F.sum("revenue"), F.sum("orders")).alias("average_order_value"))
+        revenue.alias("total_revenue"),
+        money_total("freight_cents").alias("total_freight"),
+        ratio(revenue, F.sum("orders")).alias("average_order_value"))
 
 
 def monthly_sales_first(w: Warehouse, n: int = 10) -> DataFrame:

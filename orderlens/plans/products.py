@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.functions import mean, money_sum, pct, ratio, wide
+from orderlens.functions import mean, money, money_sum, pct, ratio, wide
 from orderlens.operators.ranking import top_n
 from orderlens.operators.rollups import item_totals, review_totals
 from orderlens.warehouse import Warehouse
@@ -18,7 +18,8 @@ def _categories(w: Warehouse) -> DataFrame:
 
 
 def _per_product(w: Warehouse) -> DataFrame:
-    return item_totals(w.order_items, "product_id").withColumnRenamed("items", "units_sold")
+    return item_totals(w.order_items, "product_id").select(
+        "product_id", F.col("items").alias("units_sold"), money("revenue_cents").alias("revenue"))
 
 
 def _price() -> Column:
@@ -69,7 +70,7 @@ def category_reviews_fanout(w: Warehouse) -> DataFrame:
     """Items counted once per review of their order, as a plain join on the order does."""
     per_product = _reviewed(w).groupBy("product_id").agg(
         F.sum(wide("items") * F.col("reviews")).alias("units_sold"),
-        F.sum(F.col("revenue") * F.col("reviews")).alias("revenue"),
+        money(F.sum(F.col("revenue_cents") * F.col("reviews"))).alias("revenue"),
         F.sum(wide("items") * F.col("score")).alias("score"),
     )
     per_category = per_product.join(_categories(w), "product_id").groupBy(_CATEGORY).agg(
@@ -84,7 +85,7 @@ def category_reviews(w: Warehouse) -> DataFrame:
     """Items of reviewed orders counted once, weighted with the order's average review."""
     per_product = _reviewed(w).groupBy("product_id").agg(
         F.sum("items").alias("units_sold"),
-        F.sum("revenue").alias("revenue"),
+        money(F.sum("revenue_cents")).alias("revenue"),
         F.sum(wide("items") * F.col("order_review")).alias("score"),
     )
     per_category = per_product.join(_categories(w), "product_id").groupBy(_CATEGORY).agg(
@@ -118,7 +119,7 @@ def _performance(w: Warehouse) -> DataFrame:
     times = F.greatest(reviews, F.lit(1))
     return _reviewed(w, "left").groupBy("product_id").agg(
         F.sum(wide("items") * times).alias("units_sold"),
-        F.sum(F.col("revenue") * times).alias("revenue"),
+        money(F.sum(F.col("revenue_cents") * times)).alias("revenue"),
         F.sum(wide("items") * F.coalesce("score", F.lit(0))).alias("score"),
         F.sum(wide("items") * reviews).alias("scores"),
     ).select(

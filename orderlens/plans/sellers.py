@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.functions import money_sum, pct, ratio, wide
+from orderlens.functions import money, money_sum, pct, ratio, wide
 from orderlens.operators.ranking import top_n
 from orderlens.operators.rollups import item_totals, review_totals
 from orderlens.plans.products import total_revenue
@@ -18,7 +18,7 @@ def _sales(w: Warehouse) -> DataFrame:
     return item_totals(w.order_items, "seller_id", "order_id").groupBy("seller_id").agg(
         F.count("*").alias("orders_handled"),
         F.sum("items").alias("units_sold"),
-        F.sum("revenue").alias("revenue"),
+        money(F.sum("revenue_cents")).alias("revenue"),
     )
 
 
@@ -38,7 +38,7 @@ def reviews(w: Warehouse) -> DataFrame:
     return reviewed.groupBy("seller_id").agg(
         F.count("*").alias("orders_handled"),
         F.sum("items").alias("units_sold"),
-        F.sum("revenue").alias("revenue"),
+        money(F.sum("revenue_cents")).alias("revenue"),
         ratio(F.sum(wide("items") * F.col("order_review")), F.sum("items")).alias("avg_review_score"),
     ).orderBy(F.col("revenue").desc(), "seller_id")
 
@@ -60,7 +60,7 @@ def _by_category(w: Warehouse) -> DataFrame:
     pairs = item_totals(w.order_items, "seller_id", "product_id")
     return pairs.join(w.products.select("product_id", _CATEGORY), "product_id").groupBy(
         "seller_id", _CATEGORY).agg(
-        F.sum("items").alias("units_sold"), F.sum("revenue").alias("revenue"))
+        F.sum("items").alias("units_sold"), money(F.sum("revenue_cents")).alias("revenue"))
 
 
 def by_category(w: Warehouse) -> DataFrame:

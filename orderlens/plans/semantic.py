@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlens.functions import (
-    LATE, ON_TIME, count_when, delivery_status, is_delivered, mean, money_sum, month_start, pct, ratio,
+    LATE, ON_TIME, count_when, delivery_status, is_delivered, mean, money,
+    money_sum, month_start, pct, ratio,
 )
 from orderlens.operators.calendar import date_dim
 from orderlens.operators.ranking import global_row_number, top_n
@@ -116,14 +117,14 @@ class Model:
 
     def order_sales(self, buyer: bool = False) -> DataFrame:
         """Sales per order: items, revenue, freight beside the order's attributes."""
-        return item_totals(self._sold(), "order_id").join(self._buyers(buyer), "order_id")
+        totals = item_totals(self._sold(), "order_id").join(self._buyers(buyer), "order_id")
+        return totals.withColumns({"revenue": money("revenue_cents"), "freight": money("freight_cents")})
 
     def sales_by(self, key: str) -> DataFrame:
         """Sales per item attribute (product_id or seller_id)."""
-        return item_totals(self._sold(), key, "order_id").join(
-            self._buyers(False).select("order_id"), "order_id", "left_semi",
-        ).groupBy(key).agg(
-            F.sum("items").alias("items"), F.sum("revenue").alias("revenue"), F.sum("freight").alias("freight"))
+        sold = self._sold().join(self._buyers(False).select("order_id"), "order_id", "left_semi")
+        return item_totals(sold, key).select(
+            key, "items", money("revenue_cents").alias("revenue"), money("freight_cents").alias("freight"))
 
     def category_sales(self) -> DataFrame:
         per_product = self.sales_by("product_id").join(
