@@ -65,9 +65,9 @@ def _orders(read) -> DataFrame:
     return read("orders").select(
         key.alias("order_id"),
         F.col("o_custkey").alias("customer_id"),
-        # Nested rather than chained, so that a filter on one status reaches the scan.
-        F.when(status == "F", "delivered").otherwise(
-            F.when(status == "O", "shipped").otherwise("canceled")).alias("order_status"),
+        # Null-safe and nested rather than chained, so that a filter on one status reaches the scan.
+        F.when(status.eqNullSafe("F"), "delivered").otherwise(
+            F.when(status.eqNullSafe("O"), "shipped").otherwise("canceled")).alias("order_status"),
         purchase.alias("order_purchase_timestamp"),
         F.when(status != "P", _after(purchase, hours=1)).alias("order_approved_at"),
         F.when(status != "P", _after(day, days=2)).alias("order_delivered_carrier_date"),
