@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from orderlens.contracts import CONTRACTS, TableContract
 from orderlens.functions import blank_to_null, count_when, mean
 from orderlens.operators.ranking import top_n
-from orderlens.session import shared_dir
+from orderlens.session import materialize
 from orderlens.warehouse import Warehouse
 
 PASS, FAIL = "PASS", "FAIL"
@@ -76,8 +76,10 @@ def _repeated(df: DataFrame, *keys: str) -> DataFrame:
 
 def dup_key_rows(df: DataFrame, key: str) -> DataFrame:
     """All rows whose key occurs more than once, sorted by key. The repeated keys are
-    found by an aggregate and joined back, so no key's rows are gathered in one task."""
-    return df.join(_repeated(df, key).select(key), key, "left_semi").orderBy(key)
+    found by an aggregate and joined back, and the sort goes on over the other columns,
+    so the rows of one key may spread over many tasks."""
+    others = [c for c in df.columns if c != key]
+    return df.join(_repeated(df, key).select(key), key, "left_semi").orderBy(key, *others)
 
 
 def dup_key_summary(df: DataFrame, key: str) -> DataFrame:
@@ -180,9 +182,9 @@ def _value_positions(df: DataFrame, value: str) -> DataFrame:
     Counts are accumulated inside each range partition, then shifted by the sums of
     the partitions before it.
     """
-    shared_dir(df.sparkSession)
     counted = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count("*").alias("n"))
-    ranged = counted.repartitionByRange("value").withColumn("part", F.spark_partition_id()).checkpoint()
+    ranged = materialize(
+        counted.repartitionByRange("value").withColumn("part", F.spark_partition_id()), "positions")
     inside = Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = ranged.groupBy("part").agg(F.sum("n").alias("n"))  # one row per partition

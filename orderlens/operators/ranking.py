@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderlens.session import shared_dir
+from orderlens.session import materialize
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row index in its lower 33 bits
 
@@ -17,18 +17,15 @@ def global_row_number(df: DataFrame, order: list[Column], number: str = "row_num
     One range shuffle sorts the rows over all partitions. The row index inside its
     partition comes with ``monotonically_increasing_id``; only one count per
     partition is summed up and joined back, so no task ever sees the whole order.
-    The range bounds are sampled, hence the numbered rows are checkpointed before
-    the counts are taken from them.
+    The range bounds are sampled, hence the indexed rows are written to a table
+    before the counts are taken from them.
     """
-    shared_dir(df.sparkSession)
-    ranged = (
-        df.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn("_at", F.monotonically_increasing_id())
-        .checkpoint()
-        .withColumn("_part", F.shiftright("_at", _ROW_BITS))
-        .withColumn("_index", F.col("_at").bitwiseAND((1 << _ROW_BITS) - 1))
-    )
+    indexed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(
+        "_at", F.monotonically_increasing_id())
+    ranged = materialize(indexed, "numbered").withColumns({
+        "_part": F.shiftright("_at", _ROW_BITS),
+        "_index": F.col("_at").bitwiseAND((1 << _ROW_BITS) - 1),
+    })
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(  # one row per partition: bounded by the partition count

@@ -136,7 +136,7 @@ class Model:
 
 def people_types(w: Warehouse) -> DataFrame:
     """Customer type from the whole history of delivered orders, whatever is selected."""
-    sold = w.order_items.select("order_id")
+    sold = w.order_items.select("order_id").distinct()
     per_customer = w.orders.filter(is_delivered()).select("order_id", "customer_id").join(
         sold, "order_id", "left_semi").groupBy("customer_id").agg(F.count("*").alias("n"))
     return per_customer.join(w.customers.select("customer_id", _PERSON), "customer_id").groupBy(_PERSON).agg(
@@ -379,7 +379,8 @@ def new_customers_month(m: Model, start: datetime.date = TREND_START) -> DataFra
         month_start(F.min("order_date")).alias("month"))
     chosen = everyone.filter(F.col("month") >= F.lit(start))
     if m.context != Context():
-        chosen = chosen.join(m.order_sales(buyer=True).select(_PERSON), _PERSON, "left_semi")
+        chosen = chosen.join(
+            m.order_sales(buyer=True).select(_PERSON).distinct(), _PERSON, "left_semi")
     return chosen.groupBy("month").agg(F.count("*").alias("new_customers")).orderBy("month")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Date arithmetic is done on zone-free timestamps, so the zone only matters for
 # display. Skew handling stays with adaptive execution: oversized shuffle
@@ -51,3 +51,14 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder; nothing there is ever overwritten."""
     return f"{shared_dir(spark).rstrip('/')}/orderlens/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame once below the shared folder and go on from the written table.
+
+    Unlike a checkpoint it is computed in a single pass, and later readers take only
+    the columns they need. It survives the loss of executors.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -54,7 +54,8 @@ def write_by_status(orders: DataFrame, path: str) -> None:
 
 
 def save_bucketed(df: DataFrame, name: str, path: str, buckets: int, key: str = "order_id") -> DataFrame:
-    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    """One file per bucket: rows are brought together by key before they are written."""
+    df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
     return df.sparkSession.table(name)
 
 
