@@ -351,6 +351,8 @@ def status_split(m: Model) -> DataFrame:
 def _people(m: Model) -> DataFrame:
     """Buyers of the selection with orders and revenue in it and their type over all time."""
     bought = m.order_sales(buyer=True).groupBy(_PERSON).agg(F.count("*").alias("orders"), F.sum("revenue").alias("revenue"))
+    if m.context == Context():  # the selection is the whole history
+        return bought.withColumn("customer_type", marts.customer_type(F.col("orders")))
     return bought.join(people_types(m.warehouse), _PERSON)
 
 
