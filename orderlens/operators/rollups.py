@@ -45,10 +45,12 @@ def to_people(w: Warehouse, per_customer: DataFrame, *aggregates: Column, place:
         "customer_unique_id").agg(*aggregates)
 
 
-def people_totals(w: Warehouse, delivered_only: bool, place: bool = False) -> DataFrame:
+def people_totals(w: Warehouse, delivered_only: bool, place: bool = False,
+                  latest_place: bool = False) -> DataFrame:
     """Per person: orders, items, revenue, freight, first and last purchase.
 
-    With ``place`` also city and state, each the maximum on its own.
+    With ``place`` also city and state: each the maximum on its own, or with
+    ``latest_place`` both from the customer record used for the last purchase.
     """
     per_customer = order_totals(w, delivered_only).groupBy("customer_id").agg(
         F.count("*").alias("orders"),
@@ -58,8 +60,12 @@ def people_totals(w: Warehouse, delivered_only: bool, place: bool = False) -> Da
         F.min("order_purchase_timestamp").alias("first"),
         F.max("order_purchase_timestamp").alias("last"),
     )
-    where = [F.max("customer_city").alias("customer_city"),
-             F.max("customer_state").alias("customer_state")] if place else []
+    where = []
+    if latest_place:
+        latest = F.max(F.struct("last", "customer_city", "customer_state"))
+        where = [latest[name].alias(name) for name in ("customer_city", "customer_state")]
+    elif place:
+        where = [F.max(name).alias(name) for name in ("customer_city", "customer_state")]
     return to_people(
         w, per_customer, *where,
         F.sum("orders").alias("orders"),
@@ -68,7 +74,7 @@ def people_totals(w: Warehouse, delivered_only: bool, place: bool = False) -> Da
         money(F.sum("freight_cents")).alias("freight"),
         F.min("first").alias("first_purchase_date"),
         F.max("last").alias("last_purchase_date"),
-        place=place,
+        place=place or latest_place,
     )
 
 

@@ -68,9 +68,10 @@ def sales_checks(w: Warehouse) -> DataFrame:
         "total_revenue", "first_date", "last_date")
 
 
-def customers(w: Warehouse) -> DataFrame:
-    """Grain: person (customer_unique_id). City and state are independent maxima."""
-    return people_totals(w, delivered_only=True, place=True).select(
+def customers(w: Warehouse, latest_place: bool = False) -> DataFrame:
+    """Grain: person (customer_unique_id). City and state are independent maxima, so they
+    may stem from different records; with ``latest_place`` both belong to the last purchase."""
+    return people_totals(w, delivered_only=True, place=True, latest_place=latest_place).select(
         "customer_unique_id", "customer_city", "customer_state",
         F.col("orders").alias("total_orders"),
         F.col("items").alias("total_items"),

@@ -48,6 +48,12 @@ def publish_views(w: Warehouse) -> list[str]:
     return list(MARTS)
 
 
+def save_marts(w: Warehouse, folder: str) -> None:
+    """A snapshot of every mart as Parquet, for tools that import finished tables."""
+    for name, mart in MARTS.items():
+        mart(w).write.mode("errorifexists").parquet(f"{folder.rstrip('/')}/{name}.parquet")
+
+
 def write_by_status(orders: DataFrame, path: str) -> None:
     """Orders in one folder per status, so that a status filter prunes folders."""
     orders.write.mode("errorifexists").partitionBy("order_status").parquet(path)
@@ -69,3 +75,8 @@ def save_order_layout(w: Warehouse, folder: str, prefix: str, buckets: int) -> W
 def read_parquet_warehouse(spark: SparkSession, folder: str) -> Warehouse:
     """Contract tables stored as ``<name>.parquet`` or as Parquet folders of that name."""
     return Warehouse(spark, lambda name: spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet"))
+
+
+def read_catalog_warehouse(spark: SparkSession, database: str) -> Warehouse:
+    """Contract tables of a catalog database."""
+    return Warehouse(spark, lambda name: spark.table(f"{database}.{name}"))

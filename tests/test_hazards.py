@@ -172,6 +172,8 @@ def test_person_with_two_customer_ids(spark):
     person = one(marts.customers(w))
     assert (person["customer_city"], person["customer_state"], person["total_orders"]) == ("zoo", "ZZ", 2)
     assert person["customer_type"] == "Repeat Customer"
+    latest = one(marts.customers(w, latest_place=True))
+    assert (latest["customer_city"], latest["customer_state"]) == ("abc", "ZZ")
     assert one(customers.profile(w))["order_count"] == 3
     cohort = rows(advanced.cohort_retention(w))
     assert [(r["months_since_first_purchase"], r["active_customers"], r["cohort_size"]) for r in cohort] == [

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from orderlens.contracts import CONTRACTS
 from orderlens.operators import cleaning, quality
-from orderlens.plans import intake
+from orderlens.plans import intake, marts
 from orderlens.session import scratch_path, shared_dir
 from orderlens.sources import csv, tables
 
@@ -118,6 +118,15 @@ def test_lookup_insert_twice_adds_once(spark):
     assert sorted(map(tuple, tables.lookup_insert(once, new, "k").collect())) == [("a", "A"), ("b", "B")]
 
 
+def test_snapshots_and_catalog(spark, warehouse):
+    folder = scratch_path(spark, "marts")
+    tables.save_marts(warehouse, folder)
+    assert spark.read.parquet(f"{folder}/vw_orders.parquet").count() == marts.orders(warehouse).count()
+    spark.sql("CREATE DATABASE IF NOT EXISTS shop")
+    tables.load_table(warehouse.sellers, "shop.sellers", scratch_path(spark, "sellers"))
+    assert tables.read_catalog_warehouse(spark, "shop").sellers.count() == warehouse.sellers.count()
+
+
 def test_surrogate_keys(spark):
     df = spark.createDataFrame([(1,), (1,), (2,)], "x int").repartition(3)
     assert tables.surrogate_key(df, "id").select("id").distinct().count() == 3
