@@ -1,5 +1,6 @@
 import os
 import sys
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 
@@ -16,7 +17,7 @@ def spark(tmp_path_factory):
 
     shared = tmp_path_factory.mktemp("shared")
     session = build_session(
-        "orderlens-tests", "local[4]",
+        "orderlens-tests", "local[8]",
         **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "4g",
            "spark.checkpoint.dir": str(shared / "checkpoints"),
            "spark.sql.warehouse.dir": str(shared / "warehouse")})
@@ -30,3 +31,19 @@ def warehouse(spark):
     from orderlens.sources.star_schema import read_star_schema
 
     return read_star_schema(spark, SMALL)
+
+
+@pytest.fixture(scope="session")
+def answers(spark):
+    """Result and plan of every query key as futures; the queries run side by side."""
+    from compare import spark_result
+
+    import __spark_entry__ as entry_point
+
+    def answer(query):
+        df = query(spark, SMALL)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        return *spark_result(df), plan
+
+    with ThreadPoolExecutor(6) as pool:
+        yield {key: pool.submit(answer, query) for key, query in entry_point.queries().items()}
