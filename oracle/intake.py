@@ -210,7 +210,10 @@ INTAKE = {
         SELECT order_id, payment_sequential, payment_type, payment_installments, {money('payment_value')} AS payment_value
         FROM t_payments WHERE payment_installments = 0""",
     "anomaly_missing_weight": """
-        SELECT product_id, product_weight_g, product_length_cm, product_height_cm, product_width_cm
+        SELECT product_id, CAST(product_weight_g AS DOUBLE) AS product_weight_g,
+               CAST(product_length_cm AS DOUBLE) AS product_length_cm,
+               CAST(product_height_cm AS DOUBLE) AS product_height_cm,
+               CAST(product_width_cm AS DOUBLE) AS product_width_cm
         FROM t_products WHERE product_weight_g IS NULL""",
     "exact_dup_groups": f"""
         SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS "rows", count(*) AS groups

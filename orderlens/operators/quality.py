@@ -24,6 +24,9 @@ COMPOSITE_KEYS = (("reviews", ("review_id", "order_id")), ("order_items", ("orde
                   ("payments", ("order_id", "payment_sequential")))
 
 
+MEASURES = ("product_weight_g", "product_length_cm", "product_height_cm", "product_width_cm")
+
+
 def union(frames: Iterable[DataFrame]) -> DataFrame:
     frames = list(frames)
     result = frames[0]
@@ -254,8 +257,7 @@ def anomaly_rows(w: Warehouse, rule: str) -> DataFrame:
 
 
 def missing_weight_rows(w: Warehouse) -> DataFrame:
-    return anomaly_rows(w, "missing weight").select(
-        "product_id", "product_weight_g", "product_length_cm", "product_height_cm", "product_width_cm")
+    return anomaly_rows(w, "missing weight").select("product_id", *MEASURES)
 
 
 def _duplicate_groups(df: DataFrame) -> DataFrame:

@@ -57,7 +57,9 @@ INTAKE: dict[str, Callable[[Warehouse], DataFrame]] = {
     "value_domain": lambda w: quality.value_domain(w.reviews, "review_score"),
     "anomaly_filters": quality.anomaly_counts,
     "anomaly_rows": lambda w: quality.anomaly_rows(w, "zero installments"),
-    "anomaly_missing_weight": quality.missing_weight_rows,
+    # Columns that are null throughout go out as doubles, the type both engines show nulls in alike.
+    "anomaly_missing_weight": lambda w: quality.missing_weight_rows(w).select(
+        "product_id", *[F.col(c).cast("double").alias(c) for c in quality.MEASURES]),
     "exact_dup_groups": lambda w: quality.exact_dup_groups(w.geolocation),
     "exact_dup_sample": lambda w: quality.exact_dup_sample(w.geolocation),
     "null_timespan_check": delivery.null_timespan,
