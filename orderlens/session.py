@@ -53,6 +53,44 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/orderlens/{name}-{uuid.uuid4().hex[:12]}"
 
 
+class Scratch:
+    """Intermediate tables below the shared folder, owned by whoever opened them.
+
+    ``keep`` writes a frame once and goes on from the written table; ``close`` (or the
+    end of a ``with`` block) removes everything that was kept, and nothing else.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self._kept = spark, scratch_path(spark, name), 0
+
+    def keep(self, df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+        self._kept += 1
+        path = f"{self.path}/{self._kept:03d}-{name}"
+        df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def remove(self, *frames: DataFrame) -> None:
+        """Remove kept tables that nothing reads any more."""
+        for path in {f.rsplit("/part-", 1)[0] for df in frames for f in df.inputFiles()}:
+            top = path[path.index(self.path.rsplit("/", 1)[1]):].split("/")[:2]
+            remove_path(self.spark, f"{self.path.rsplit('/', 1)[0]}/{'/'.join(top)}")
+
+    def close(self) -> None:
+        remove_path(self.spark, self.path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder through the file system that its URI names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a frame once below the shared folder and go on from the written table.
 
