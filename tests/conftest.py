@@ -38,7 +38,7 @@ def answers(spark):
     """Result and plan of every query key as futures; the queries run side by side."""
     from compare import spark_result
 
-    import __spark_entry__ as entry_point
+    from orderlens import registry
 
     def answer(query):
         df = query(spark, SMALL)
@@ -46,4 +46,4 @@ def answers(spark):
         return *spark_result(df), plan
 
     with ThreadPoolExecutor(6) as pool:
-        yield {key: pool.submit(answer, query) for key, query in entry_point.queries().items()}
+        yield {key: pool.submit(answer, query) for key, query in registry.queries().items()}

@@ -5,6 +5,8 @@ from compare import connect, duckdb_result
 from conftest import SMALL
 
 import __spark_entry__ as entry_point
+import oracle
+from orderlens import registry
 
 
 @pytest.fixture(scope="module")
@@ -13,12 +15,12 @@ def duck():
 
 
 def test_every_key_has_sql():
-    assert set(entry_point.queries()) == set(entry_point.oracle_sql())
+    assert set(registry.queries()) == set(oracle.oracle_sql())
 
 
-@pytest.mark.parametrize("key", list(entry_point.queries()))
+@pytest.mark.parametrize("key", list(registry.queries()))
 def test_key(answers, duck, key):
-    kinds, expected = duckdb_result(duck, entry_point.oracle_sql()[key])
+    kinds, expected = duckdb_result(duck, oracle.oracle_sql()[key])
     spark_kinds, found, _ = answers[key].result()
     assert spark_kinds == kinds
     assert found == expected
