@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlens.llm import embedding_dedup, simhash
+from orderlens.llm import ann, chat, embedding_dedup, quality_qda, simhash
 from orderlens.llm.common import table
 from orderlens.session import Scratch, materialize
 
@@ -21,6 +21,27 @@ def op1_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
         return materialize(embedding_dedup.near_vectors(table(spark, folder, "embeddings"), scratch), "op1-result")
 
 
+def op4_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    added = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                  F.lit(said).alias("text"))
+    turns = table(spark, folder, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    return chat.digests(chat.format_chats(turns.union(added)))
+
+
+def op6_hash_prefix_forest(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+def op7_quality_discriminant(spark: SparkSession, folder: str) -> DataFrame:
+    with Scratch(spark, "op7") as scratch:
+        statistics = scratch.keep(quality_qda.described(table(spark, folder, "documents")), "statistics")
+        model = quality_qda.fit(statistics, table(spark, folder, "labels"))
+        return materialize(quality_qda.scored(statistics, model), "op7-result")
+
+
 def op8_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     with Scratch(spark, "op8") as scratch:
         found = simhash.near_duplicates(table(spark, folder, "documents"), scratch)
@@ -30,7 +51,34 @@ def op8_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
+    "op4_chat_formatting": op4_chat_formatting,
+    "op6_hash_prefix_forest": op6_hash_prefix_forest,
+    "op7_quality_discriminant": op7_quality_discriminant,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
 }
 
-SQL: dict[str, str] = {}
+_CONTROL = "|".join(r"\|im_start\|> \|im_sep\|> \|im_turn\|> \|im_end\|> \|endoftext\|> s> /s> INST\] /INST\] <SYS>> </SYS>>".split())
+
+
+def _escaped(value: str) -> str:
+    return f"regexp_replace(replace({value}, '␛', '␛␛'), '([<\\[])({_CONTROL})', '\\1␛\\2', 'g')"
+
+
+OP4_SQL = f"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+    UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+marked AS (
+    SELECT *, coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) <> role, true) AS opens FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+    sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+    CAST(sum(length({_escaped("text")})
+        + CASE WHEN opens THEN length('<|im_start|><|im_sep|><|im_end|>') + 1 + length({_escaped("role")})
+               ELSE length('<|im_turn|>') END) AS BIGINT) AS formatted_chars
+FROM marked GROUP BY conv_id
+"""
+
+SQL: dict[str, str] = {"op4_chat_formatting": OP4_SQL}
