@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlens.llm import ann, chat, embedding_dedup, quality_qda, simhash
+from orderlens.llm import ann, chat, embedding_dedup, packing, quality_qda, simhash, warc
 from orderlens.llm.common import table
 from orderlens.session import Scratch, materialize
 
@@ -21,6 +22,11 @@ def op1_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
         return materialize(embedding_dedup.near_vectors(table(spark, folder, "embeddings"), scratch), "op1-result")
 
 
+def op2_warc_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    with Scratch(spark, "op2") as scratch:
+        return materialize(warc.archive_round_trip(table(spark, folder, "pages"), scratch), "op2-result")
+
+
 def op4_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     added = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
@@ -49,12 +55,21 @@ def op8_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
                                         "component_id"), "op8-result")
 
 
+def op10_grouping_packing(spark: SparkSession, folder: str) -> DataFrame:
+    with Scratch(spark, "op10") as scratch:
+        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+        found = scratch.keep(packing.pieces(table(spark, folder, "documents"), tokenizer), "tokens")
+        return materialize(packing.pack(found, scratch), "op10-result")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
+    "op2_warc_chunks": op2_warc_chunks,
     "op4_chat_formatting": op4_chat_formatting,
     "op6_hash_prefix_forest": op6_hash_prefix_forest,
     "op7_quality_discriminant": op7_quality_discriminant,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op10_grouping_packing": op10_grouping_packing,
 }
 
 _CONTROL = "|".join(r"\|im_start\|> \|im_sep\|> \|im_turn\|> \|im_end\|> \|endoftext\|> s> /s> INST\] /INST\] <SYS>> </SYS>>".split())
@@ -81,4 +96,16 @@ SELECT conv_id, count(*) AS n_turns,
 FROM marked GROUP BY conv_id
 """
 
-SQL: dict[str, str] = {"op4_chat_formatting": OP4_SQL}
+OP2_SQL = """
+WITH paid AS (
+    SELECT page_id, coalesce(html, '') AS payload, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+sized AS (
+    SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, payload_digest,
+        min(page_id) OVER (PARTITION BY payload_digest) AS least FROM paid)
+SELECT page_id, payload_bytes, payload_digest,
+    CASE WHEN payload_bytes >= 100 AND page_id <> least THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN payload_bytes >= 100 AND page_id <> least THEN least END AS refers_to
+FROM sized
+"""
+
+SQL: dict[str, str] = {"op2_warc_chunks": OP2_SQL, "op4_chat_formatting": OP4_SQL}
