@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlens.llm import ann, chat, embedding_dedup, packing, quality_qda, simhash, warc
+from orderlens.llm import ann, bpe, chat, embedding_dedup, language_model, packing, quality_qda, simhash, warc
 from orderlens.llm.common import table
 from orderlens.session import Scratch, materialize
 
@@ -36,6 +36,12 @@ def op4_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digests(chat.format_chats(turns.union(added)))
 
 
+def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    with Scratch(spark, "op5") as scratch:
+        ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+        return materialize(bpe.encode(table(spark, folder, "documents"), scratch, ranks, public_tokenizers.PATTERN), "op5-result")
+
+
 def op6_hash_prefix_forest(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings")
     return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"))
@@ -55,6 +61,11 @@ def op8_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
                                         "component_id"), "op8-result")
 
 
+def op9_backoff_automaton(spark: SparkSession, folder: str) -> DataFrame:
+    with Scratch(spark, "op9") as scratch:
+        return materialize(language_model.score(table(spark, folder, "documents"), scratch), "op9-result")
+
+
 def op10_grouping_packing(spark: SparkSession, folder: str) -> DataFrame:
     with Scratch(spark, "op10") as scratch:
         tokenizer = public_tokenizers.path("byte_bpe_50k.json")
@@ -66,9 +77,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_warc_chunks": op2_warc_chunks,
     "op4_chat_formatting": op4_chat_formatting,
+    "op5_byte_bpe": op5_byte_bpe,
     "op6_hash_prefix_forest": op6_hash_prefix_forest,
     "op7_quality_discriminant": op7_quality_discriminant,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_backoff_automaton": op9_backoff_automaton,
     "op10_grouping_packing": op10_grouping_packing,
 }
 
