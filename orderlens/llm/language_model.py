@@ -30,7 +30,7 @@ from orderlens.session import Scratch
 
 FOLDS, HELD_OUT = 5, 1
 #: n-grams are pairs at most; K of the formula above.
-STRENGTH = 50.0
+STRENGTH = 200.0
 #: Shards for each shuffle partition: a task adds up one shard at a time.
 SHARDS = 4
 
