@@ -74,3 +74,52 @@ def gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.
     total = int(lengths.sum())
     shift = np.repeat(starts - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) if len(lengths) else starts
     return values[np.arange(total) + shift] if total else values[:0]
+
+
+def shard_cuts(shards: int) -> np.ndarray:
+    """The least 64-bit key of every shard but the first."""
+    return np.array([(s << 64) // shards for s in range(1, shards)], np.uint64)
+
+
+def distinct_keys(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, with the sums of their weights."""
+    if not len(keys):
+        return keys, np.empty(0, np.uint32)
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(weights[order], first, dtype=np.uint32)
+
+
+def questions(keys: np.ndarray, counts: np.ndarray, cuts: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
+    """(shard, packed keys, packed counts) for distinct keys in order."""
+    at = [0, *np.searchsorted(keys, cuts).tolist(), len(keys)]
+    for shard, (x, y) in enumerate(zip(at, at[1:])):
+        if y > x:
+            yield shard, planes(np.diff(keys[x:y], prepend=np.uint64(0))), planes(counts[x:y])
+
+
+def totals(asked: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """All keys of one shard's questions, their summed counts, and the sums in the order of each question."""
+    keys = [np.cumsum(from_planes(k, np.uint64), dtype=np.uint64) for k, _ in asked]
+    every = np.concatenate(keys)
+    order = np.argsort(every, kind="stable")
+    every = every[order]
+    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+    counts = np.concatenate([from_planes(c, np.uint32) for _, c in asked])[order]
+    sums, every = np.add.reduceat(counts, first, dtype=np.int64), every[first]
+    return every, sums, [sums[np.searchsorted(every, k)] for k in keys]
+
+
+def shard_groups(batches: Iterable, keys: tuple[str, ...]) -> Iterator[list[dict]]:
+    """The rows of one shard after the other, from batches sorted by integer ``keys``."""
+    held: list[dict] = []
+    for b in batches:
+        for i in range(b.num_rows):
+            row = b.slice(i, 1).to_pylist()[0]
+            if held and any(held[-1][k] != row[k] for k in keys):
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held

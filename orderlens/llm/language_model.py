@@ -24,8 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.llm.blocks import blocks, from_planes, planes
-from orderlens.llm.common import arrow_schema, batch, map_arrow, runs, shuffle_partitions, utf8
+from orderlens.llm.blocks import blocks, distinct_keys, from_planes, planes, questions, shard_cuts, shard_groups, totals
+from orderlens.llm.common import arrow_schema, batch, map_arrow, shuffle_partitions, utf8
 from orderlens.session import Scratch
 
 FOLDS, HELD_OUT = 5, 1
@@ -103,15 +103,12 @@ class Positions:
         if size == 1:
             keys = np.concatenate([keys, np.full(self.documents, START, np.uint64)])
             counted = np.concatenate([counted, ~self.held])
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-        return keys[first], np.add.reduceat(counted[order], first, dtype=np.uint32) if len(first) else np.empty(0, np.uint32)
+        return distinct_keys(keys, counted)
 
 
 def counted(stored: DataFrame, shards: int) -> DataFrame:
     """Answers to the questions of all blocks, and the totals of every shard (block -1)."""
-    cuts = np.array([(s << 64) // shards for s in range(1, shards)], np.uint64)
+    cuts = shard_cuts(shards)
 
     def ask(batches):
         for b in batches:
@@ -119,45 +116,24 @@ def counted(stored: DataFrame, shards: int) -> DataFrame:
                 row = b.slice(i, 1).to_pylist()[0]
                 here = Positions(row)
                 for size in (1, 2):
-                    keys, counts = here.questions(size)
-                    at = [0, *np.searchsorted(keys, cuts).tolist(), len(keys)]
-                    for s, (x, y) in enumerate(zip(at, at[1:])):
-                        if y > x:
-                            step = np.diff(keys[x:y], prepend=np.uint64(0))
-                            yield batch(arrow_schema(ASKED), [[s], [size], [row["block"]], [planes(step)], [planes(counts[x:y])]])
+                    for shard, keys, counts in questions(*here.questions(size), cuts):
+                        yield batch(arrow_schema(ASKED), [[shard], [size], [row["block"]], [keys], [counts]])
 
     def add(batches):
-        for t in runs(batches, ("shard", "size")):
-            asked = t.to_pylist()
-            at = 0
-            while at < len(asked):
-                end = at
-                while end < len(asked) and (asked[end]["shard"], asked[end]["size"]) == (asked[at]["shard"], asked[at]["size"]):
-                    end += 1
-                yield from _answers(asked[at:end])
-                at = end
+        for asked in shard_groups(batches, ("shard", "size")):
+            every, sums, own = totals([(r["keys"], r["counts"]) for r in asked])
+            shard, size = asked[0]["shard"], asked[0]["size"]
+            for r, counts in zip(asked, own):
+                yield batch(arrow_schema(ANSWER), [[shard], [size], [r["block"]], [planes(counts)], [0], [0]])
+            if size == 1:
+                tokens = sums[every != np.uint64(START)]
+                yield batch(arrow_schema(ANSWER), [[shard], [size], [-1], [b""], [int(tokens.sum())], [int((tokens > 0).sum())]])
 
     dealt = map_arrow(stored, ask, ASKED).repartition(shuffle_partitions(stored.sparkSession), "shard") \
         .sortWithinPartitions("shard", "size")
     return map_arrow(dealt, add, ANSWER)
 
 
-def _answers(asked: list[dict]):
-    keys = [np.cumsum(from_planes(r["keys"], np.uint64), dtype=np.uint64) for r in asked]
-    every = np.concatenate(keys)
-    order = np.argsort(every, kind="stable")
-    every = every[order]
-    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
-    totals = np.add.reduceat(np.concatenate([from_planes(r["counts"], np.uint32) for r in asked])[order].astype(np.int64), first)
-    every = every[first]
-    shard, size = asked[0]["shard"], asked[0]["size"]
-    for r, own in zip(asked, keys):
-        yield batch(arrow_schema(ANSWER), [[shard], [size], [r["block"]], [planes(totals[np.searchsorted(every, own)])], [0], [0]])
-    if size == 1:
-        tokens = totals[every != np.uint64(START)]
-        yield batch(arrow_schema(ANSWER), [[shard], [size], [-1], [b""], [int(tokens.sum())], [int((tokens > 0).sum())]])
-
-
 class Automaton:
     """Arcs and failure arcs of the states that a block's texts can reach."""
 
@@ -189,8 +165,8 @@ def score(docs: DataFrame, scratch: Scratch, strength: float = STRENGTH) -> Data
     partitions = shuffle_partitions(spark)
     stored = scratch.keep(stored_blocks(docs), "blocks")
     answers = scratch.keep(counted(stored, partitions * SHARDS), "answers")
-    totals = answers.where("block = -1").agg(F.sum("total").alias("total"), F.sum("distinct").alias("distinct")).first()
-    total, distinct = totals.total or 0, totals.distinct or 0
+    sums = answers.where("block = -1").agg(F.sum("total").alias("total"), F.sum("distinct").alias("distinct")).first()
+    total, distinct = sums.total or 0, sums.distinct or 0
     own = stored.select("block", F.lit(3).alias("size"), F.lit(0).alias("shard"), F.lit(None).cast("binary").alias("counts"),
                         *stored.columns[1:])
     told = answers.where("block >= 0").select("block", "size", "shard", "counts", *[
@@ -211,10 +187,10 @@ def score(docs: DataFrame, scratch: Scratch, strength: float = STRENGTH) -> Data
                 held = {1: [], 2: []}
                 base, weight, known = Automaton(words, counts[0], pairs, counts[1], total, distinct, strength).traverse(here)
                 first = here.ends - here.lengths
-                sums = [np.add.reduceat(x, first) for x in (base, weight, (known > 0).astype(np.int64))]
+                added = [np.add.reduceat(x, first) for x in (base, weight, (known > 0).astype(np.int64))]
                 n = len(first)
                 yield batch(arrow_schema(RESULT), [
-                    [None if x == -1 << 63 else x for x in here.ids.tolist()], here.held, here.lengths, sums[2],
-                    np.full(n, total, np.int64), sums[0], sums[1]])
+                    [None if x == -1 << 63 else x for x in here.ids.tolist()], here.held, here.lengths, added[2],
+                    np.full(n, total, np.int64), added[0], added[1]])
 
     return map_arrow(dealt, work, RESULT)

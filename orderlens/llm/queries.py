@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlens.llm import ann, bpe, chat, embedding_dedup, language_model, packing, quality_qda, simhash, warc
+from orderlens.llm import ann, bpe, chat, embedding_dedup, language_model, packing, quality_qda, simhash, suffix_dedup, warc
 from orderlens.llm.common import table
 from orderlens.session import Scratch, materialize
 
@@ -27,6 +27,12 @@ def op2_warc_chunks(spark: SparkSession, folder: str) -> DataFrame:
         return materialize(warc.archive_round_trip(table(spark, folder, "pages"), scratch), "op2-result")
 
 
+def op3_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    with Scratch(spark, "op3") as scratch:
+        found = suffix_dedup.remove_repeats(table(spark, folder, "documents"), scratch)
+        return materialize(found.drop("th", "kept"), "op3-result")
+
+
 def op4_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     added = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
@@ -76,6 +82,7 @@ def op10_grouping_packing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_warc_chunks": op2_warc_chunks,
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_hash_prefix_forest": op6_hash_prefix_forest,
