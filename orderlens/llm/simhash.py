@@ -15,6 +15,7 @@ forest of the links leaves it.
 
 from __future__ import annotations
 
+import math
 from itertools import accumulate
 
 import numpy as np
@@ -100,57 +101,74 @@ def variants(fps: np.ndarray, left_out: np.uint64, half: int) -> np.ndarray:
     return ((fps & ~left_out) | mark)[:, None] ^ np.array(flips, np.uint64)[None, :]
 
 
-def _linked(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of one meeting group: search from block to block over what is not reached yet."""
+def _apart(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Differing bits of rows of words."""
+    return np.bitwise_count(left ^ right).sum(-1, dtype=np.int64)
+
+
+def _linked(words: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of one meeting group, as row numbers: search from block to block over what is not
+    reached yet."""
     a, b = [], []
-    waiting, front = np.arange(len(fps)), np.empty(0, np.int64)
+    waiting, front = np.arange(len(words)), np.empty(0, np.int64)
     while len(waiting):
         if not len(front):
             front, waiting = waiting[:1], waiting[1:]
         block, front = front[:BLOCK], front[BLOCK:]
-        near = np.bitwise_count(fps[block][:, None] ^ fps[waiting][None, :]) <= radius
+        near = np.zeros((len(block), len(waiting)), np.int64)
+        for w in range(words.shape[1]):
+            near += np.bitwise_count(words[block, w][:, None] ^ words[waiting, w][None, :])
+        near = near <= radius
         hit = near.any(0)
-        a.append(fps[block[near.argmax(0)[hit]]])
-        b.append(fps[waiting[hit]])
+        a.append(block[near.argmax(0)[hit]])
+        b.append(waiting[hit])
         front, waiting = np.concatenate([front, waiting[hit]]), waiting[~hit]
-    return np.concatenate(a or [fps[:0]]), np.concatenate(b or [fps[:0]])
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
-def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links (a, b) between the distinct fingerprints in ``fp``: a spanning forest of all pairs
-    that differ in at most ``radius`` bits. Every such pair meets in a common variant."""
-    left_out, rest = zones(radius)
-    half = rest // 2
+def links(classes: DataFrame, masks: list[np.uint64], half: int, words: tuple[str, ...], radius: int) -> DataFrame:
+    """Links (a, b) between nodes: a spanning forest of all pairs that meet and differ in at most ``radius`` bits.
+
+    ``classes`` has the column ``node``, the column ``fp`` whose variants within ``half`` flips outside each
+    mask are emitted, and the columns ``words`` that are compared.
+    """
+    carried = ("node", *words)
+    schema = ", ".join(f"{c} long" for c in ("key", *carried))
 
     def emit(batches):
-        out = arrow_schema("key long, fp long")
+        out = arrow_schema(schema)
         for b in batches:
-            every = b.column("fp").to_numpy().view(np.uint64)
-            for at in range(0, len(every), 1024):
-                fps = every[at:at + 1024]
-                for zone in left_out:
-                    keys = variants(fps, zone, half)
-                    yield batch(out, [keys.ravel().view(np.int64), np.repeat(fps, keys.shape[1]).view(np.int64)])
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                for mask in masks:
+                    keys = variants(part.column("fp").to_numpy().view(np.uint64), mask, half)
+                    yield batch(out, [keys.ravel().view(np.int64),
+                                      *[np.repeat(part.column(c).to_numpy(), keys.shape[1]) for c in carried]])
 
     def meet(batches):
         out = arrow_schema("a long, b long")
         for t in runs(batches, ("key",)):
-            keys, fps = t.column("key").to_numpy(), t.column("fp").to_numpy().view(np.uint64)
+            keys, node = t.column("key").to_numpy(), t.column("node").to_numpy()
+            bits = np.stack([t.column(c).to_numpy().view(np.uint64) for c in words], 1)
             edges = bounds([keys])
             size = np.diff(edges)
-            found = []
+            small, a, b = np.repeat(size <= 8, size), [], []
             for step in range(1, 8):  # small groups side by side
-                at = np.flatnonzero(np.repeat(size <= 8, size)[:-step] & (keys[step:] == keys[:-step]))
+                at = np.flatnonzero(small[:-step] & (keys[step:] == keys[:-step]))
                 if not len(at):
                     break
-                at = at[np.bitwise_count(fps[at] ^ fps[at + step]) <= radius]
-                found.append((fps[at], fps[at + step]))
-            found += [_linked(fps[edges[i]:edges[i + 1]], radius) for i in np.flatnonzero(size > 8)]
-            if any(len(a) for a, _ in found):
-                child, root = forest(*(np.concatenate(x).view(np.int64) for x in zip(*found)))
-                yield batch(out, [child, root])
-
-    keyed = map_arrow(classes.select("fp"), emit, "key long, fp long")
+                at = at[_apart(bits[at], bits[at + step]) <= radius]
+                a.append(node[at])
+                b.append(node[at + step])
+            for i in np.flatnonzero(size > 8):
+                x, y = _linked(bits[edges[i]:edges[i + 1]], radius)
+                a.append(node[edges[i] + x])
+                b.append(node[edges[i] + y])
+            if any(map(len, a)):
+                yield batch(out, forest(np.concatenate(a), np.concatenate(b)))
+
+    keyed = map_arrow(classes.select(*dict.fromkeys(("fp", *carried))), emit, schema)
     dealt = keyed.repartition(shuffle_partitions(classes.sparkSession), "key").sortWithinPartitions("key")
     return map_arrow(dealt, meet, "a long, b long")
 
@@ -165,7 +183,9 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = SHINGLE, radi
     """
     marked = scratch.keep(fingerprints(docs, size, id_column, text_column), "fingerprints")
     classes = scratch.keep(marked.groupBy("fp").agg(F.min("id").alias("least")), "classes")
-    groups = components(links(classes, radius), scratch).withColumnRenamed("node", "fp")
+    left_out, rest = zones(radius)
+    found = links(classes.withColumn("node", F.col("fp")), left_out, rest // 2, ("fp",), radius)
+    groups = components(found, scratch).withColumnRenamed("node", "fp")
     placed = scratch.keep(classes.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp")),
                           "placed")
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -175,3 +195,66 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = SHINGLE, radi
 
 def hex_fingerprint(column: str = "fp"):
     return F.lower(F.lpad(F.hex(column), 16, "0"))
+
+
+# Similar documents: what a pipeline takes for near copies, five-word shingles at a similarity of 0.8.
+SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
+#: Words of 64 bits of the compared fingerprint, and bits by which a pair may miss the expected
+#: distance of the similarity itself, about a standard deviation.
+WORDS, MARGIN = 8, 8
+#: Odd numbers that spread a shingle's hash over the words.
+_SPREAD = np.random.default_rng(8).integers(0, 1 << 63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Zones of the search fingerprint of single words: a pair with up to 8 differing bits of 64 has at most 2 in one of them.
+SEARCH_ZONES = 3
+
+
+def similar_radius(similarity: float = SIMILARITY) -> int:
+    """Differing bits at a Jaccard similarity: its cosine gives the angle, the angle the share of bits."""
+    return round(WORDS * 64 * math.acos(2 * similarity / (1 + similarity)) / math.pi) + MARGIN
+
+
+def _majority(hashes: np.ndarray, words: int) -> list[int]:
+    counts = np.zeros(64 * words, np.int64)
+    for at in range(0, len(hashes), AT_ONCE):
+        h = hashes[at:at + AT_ONCE]
+        spread = np.stack([h * m for m in _SPREAD[:words]], 1)
+        spread ^= spread >> np.uint64(32)
+        counts += np.unpackbits(spread.view(np.uint8).reshape(len(h), -1), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(hashes)).view(np.int64).tolist()
+
+
+def similar_documents(docs: DataFrame, scratch: Scratch, size: int = SIMILAR_SHINGLE,
+                      similarity: float = SIMILARITY) -> DataFrame:
+    """(doc, th, first): every row by its id and text hash, and whether it is the one of its group that stays.
+
+    Pairs are found by the variants of a fingerprint of their distinct single words, which edits hardly change, and
+    decided by a fingerprint of ``WORDS`` times 64 bits of their word shingles. The row with the least id stays,
+    with the least hash among repeated ids; rows that are equal in both are one. Null ids come first.
+    """
+    words = tuple(f"w{i}" for i in range(WORDS))
+    schema = ", ".join(f"{c} long" for c in ("doc", "th", "fp", *words))
+
+    def work(batches):
+        for b in batches:
+            rows = []
+            for text in b.column("text"):
+                data = text.as_py()
+                single = np.fromiter(map(xxhash.xxh64_intdigest, set(data.lower().split())), np.uint64)
+                rows.append((*_majority(single, 1), *_majority(shingle_hashes(data, size), WORDS)))
+            yield batch(arrow_schema(schema), [b.column("doc"), b.column("th"), *zip(*rows)])
+
+    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1 << 63)).alias("doc"),
+                         F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), utf8().alias("text"))
+    marked = scratch.keep(map_arrow(source, work, schema).withColumn("node", F.xxhash64("fp", *words)), "marked")
+    classes = scratch.keep(marked.groupBy("node").agg(F.first("fp").alias("fp"), *[F.first(w).alias(w) for w in words],
+                                                      F.min(F.struct("doc", "th")).alias("least")), "classes")
+    every = (1 << 64) - 1
+    cuts = [64 * i // SEARCH_ZONES for i in range(SEARCH_ZONES + 1)]
+    masks = [np.uint64(every ^ sum(1 << i for i in range(x, y))) for x, y in zip(cuts, cuts[1:])]
+    groups = components(links(classes, masks, 1, words, similar_radius(similarity)), scratch)
+    placed = scratch.keep(classes.select("node", "least").join(groups, "node", "left")
+                          .select("node", "least", F.coalesce("component", "node").alias("component")), "placed")
+    stays = placed.groupBy("component").agg(F.min("least").alias("stays"))
+    named = scratch.keep(placed.join(stays, "component").select("node", "stays"), "named")
+    return marked.select("doc", "th", "node").distinct().join(named, "node").select(
+        "doc", "th", (F.struct("doc", "th") == F.col("stays")).alias("first"))
