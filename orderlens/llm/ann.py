@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 
 from orderlens.llm.common import batch, bounds, map_arrow, runs, shuffle_partitions
 from orderlens.llm.vectors import usable
-from orderlens.session import Scratch
 
 TREES, SIGNS, REACH, SHARD, QUERIES, SEED = 48, 24, 1.0, 2048, 4096, 6
 #: Shards whose results are merged in the first step.
@@ -76,7 +75,7 @@ class Forest:
             yield ids[rows[best]], scores[best]
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, scratch: Scratch, k: int = 20, reach: float = REACH,
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, reach: float = REACH,
             id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the nearest found, ties to the smaller id.
 
