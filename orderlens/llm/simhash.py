@@ -200,8 +200,8 @@ def hex_fingerprint(column: str = "fp"):
 # Similar documents: what a pipeline takes for near copies, five-word shingles at a similarity of 0.8.
 SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
 #: Words of 64 bits of the compared fingerprint, and bits by which a pair may miss the expected
-#: distance of the similarity itself, about a standard deviation.
-WORDS, MARGIN = 8, 8
+#: distance of the similarity itself, about one and a half standard deviations.
+WORDS, MARGIN = 8, 12
 #: Odd numbers that spread a shingle's hash over the words.
 _SPREAD = np.random.default_rng(8).integers(0, 1 << 63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
 #: Zones of the search fingerprint of single words: a pair with up to 8 differing bits of 64 has at most 2 in one of them.
