@@ -12,8 +12,8 @@ tokens at least fill is done at once, as nothing can be better.
 
 from __future__ import annotations
 
+import json
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,65 +25,42 @@ from orderlens.session import Scratch
 
 LENGTH, END_ID, SHARD = 2048, 0, 20_000
 ISLANDS, POPULATION, GENERATIONS, EPOCHS, INJECTED = 3, 3, 4, 2, 0.3
-#: Word ids that a worker keeps at most; beyond, it starts anew.
-KEPT_WORDS = 400_000
 
 
-class WordEncoder:
-    """Ids of whole texts through a tokenizer, word by word.
+def encoding_of(path: str, pattern: str):
+    """The byte-level BPE of a tokenizer file, with its special tokens, as the faster of two libraries runs it.
 
-    The tokenizer never merges across a single blank between two other characters; so such
-    words, with the blank before them, are encoded once and their packed ids kept. A text with blanks
-    in a row or white space beside a blank is encoded whole.
+    The file's ids are in the order of its merges, so they serve as ranks. Its vocabulary writes bytes
+    as printable characters: those that are printable in Latin-1 as themselves, the others, in order, from U+0100 on.
     """
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def _learn(self, words: list[str]) -> None:
-        for word, found in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            self.known[word] = np.array(found.ids, "<u4").tobytes()
-
-    def packed(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids as little-endian unsigned 32-bit numbers."""
-        if len(self.known) > KEPT_WORDS:
-            self.known = {}
-        split = []
-        for text in texts:
-            words = text.split(" ")
-            units = [words[0], *[" " + w for w in words[1:]]]
-            plain = all(words) and not any(w[0].isspace() or w[-1].isspace() for w in set(words))
-            split.append(units if plain else [text] if text else [])
-        # A whole text is asked for like a word, but not kept.
-        whole = [u[0] for u, t in zip(split, texts) if len(u) == 1 and len(t) > 64]
-        new = list({w for units in split for w in units if w not in self.known})
-        for at in range(0, len(new), 4096):
-            self._learn(new[at:at + 4096])
-        for units in split:
-            yield b"".join(map(self.known.__getitem__, units))
-        for text in whole:
-            self.known.pop(text, None)
-
-
-def pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
+    import tiktoken
+    with open(path, encoding="utf-8") as file:
+        stored = json.load(file)
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(plain)]
+    byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+    special = {t["content"]: t["id"] for t in stored["added_tokens"]}
+    ranks = {bytes(byte[c] for c in token): i for token, i in stored["model"]["vocab"].items() if token not in special}
+    return tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+
+
+def pieces(docs: DataFrame, tokenizer_path: str, pattern: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document; null texts are empty and hold the end id alone."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
     def work(batches):
-        encoder, end = WordEncoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        encoding = encoding_of(tokenizer_path, pattern)
 
         def rows(b):
-            texts = [t.as_py().decode("utf-8", "replace") for t in b.column("text")]
-            for doc, ids in zip(b.column("doc_id").to_pylist(), encoder.packed(texts)):
-                ids += end
+            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
+                ids = encoding.encode(text.as_py().decode("utf-8", "replace"), allowed_special="all")
+                ids = np.array([*ids, end_id], "<u4").tobytes()
                 count = len(ids) // 4
                 cuts = [0, *range(count % length or length, count + 1, length)]
                 for k, (s, e) in enumerate(zip(cuts, cuts[1:])):
                     yield doc, k, s, e - s, zlib.crc32(ids[4 * s:4 * e])
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                yield from sliced_rows(rows(b.slice(at, 256)), arrow_schema(schema), 1 << 16)
+            yield from sliced_rows(rows(b), arrow_schema(schema), 1 << 16)
 
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")), work, schema)
 

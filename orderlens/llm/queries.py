@@ -75,7 +75,7 @@ def op9_backoff_automaton(spark: SparkSession, folder: str) -> DataFrame:
 def op10_grouping_packing(spark: SparkSession, folder: str) -> DataFrame:
     with Scratch(spark, "op10") as scratch:
         tokenizer = public_tokenizers.path("byte_bpe_50k.json")
-        found = scratch.keep(packing.pieces(table(spark, folder, "documents"), tokenizer), "tokens")
+        found = scratch.keep(packing.pieces(table(spark, folder, "documents"), tokenizer, public_tokenizers.PATTERN), "tokens")
         return materialize(packing.pack(found, scratch), "op10-result")
 
 
