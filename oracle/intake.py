@@ -137,7 +137,7 @@ _GEO = ", ".join(_columns("geolocation"))
 INTAKE = {
     "src_csv_discover": _all(
         f"""SELECT '{t}.csv' AS file, CAST({len(_SCHEMAS[t][0])} AS BIGINT) AS columns, count(*) AS "rows" FROM t_{t}"""
-        for t in ("customers", "products", "sellers", "category_translation")),
+        for t in _SCHEMAS),
     "src_csv_named": _as_text("reviews", "review_id", "order_id"),
     "sink_csv_processed": _as_text("orders", "order_id", "customer_id"),
     "sink_table_load": _as_text("payments", "order_id"),

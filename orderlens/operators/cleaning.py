@@ -34,6 +34,13 @@ def clean_dedup(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
+def whole_number(text: Column, kind: T.DataType) -> Column:
+    """Whole numbers may read 40.0; any other fraction raises."""
+    number = text.cast("double")
+    fraction = F.raise_error(F.concat(F.lit("not a whole number: "), text)).cast(kind)
+    return F.when(text.isNull() | (number == F.rint(number)), number.cast(kind)).otherwise(fraction)
+
+
 def _typed(column: Column, kind: T.DataType, stripped: bool) -> Column:
     if isinstance(kind, T.TimestampNTZType):
         return to_timestamp(column)
@@ -41,7 +48,7 @@ def _typed(column: Column, kind: T.DataType, stripped: bool) -> Column:
         return F.nullif(strip_all(column) if stripped else column, F.lit(""))
     text = F.nullif(strip_all(column), F.lit(""))
     if isinstance(kind, T.IntegerType):
-        return text.cast("double").cast(kind)  # nullable whole numbers may read 40.0
+        return whole_number(text, kind)
     return text.cast(kind)
 
 

@@ -7,9 +7,11 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orderlens.contracts import CONTRACTS, TableContract
 from orderlens.functions import blank_to_null, count_when, mean
+from orderlens.operators.joins import splittable_join
 from orderlens.operators.ranking import top_n
 from orderlens.session import materialize
 from orderlens.warehouse import Warehouse
@@ -79,10 +81,10 @@ def _repeated(df: DataFrame, *keys: str) -> DataFrame:
 
 def dup_key_rows(df: DataFrame, key: str) -> DataFrame:
     """All rows whose key occurs more than once, sorted by key. The repeated keys are
-    found by an aggregate and joined back, and the sort goes on over the other columns,
-    so the rows of one key may spread over many tasks."""
+    found by an aggregate and joined back by a join that splits a hot key, and the sort goes on
+    over the other columns, so the rows of one key spread over many tasks."""
     others = [c for c in df.columns if c != key]
-    return df.join(_repeated(df, key).select(key), key, "left_semi").orderBy(key, *others)
+    return splittable_join(df, _repeated(df, key).select(key), key, "left_semi").orderBy(key, *others)
 
 
 def dup_key_summary(df: DataFrame, key: str) -> DataFrame:
@@ -147,15 +149,17 @@ def zip_ambiguity(w: Warehouse) -> DataFrame:
 
 
 def zip_location_counts(w: Warehouse) -> DataFrame:
-    """Distinct coordinates, cities and states per zip prefix. Equal rows are merged
-    first, so the four distinct counts run over distinct places only."""
-    places = w.geolocation.distinct()
-    return places.groupBy("geolocation_zip_code_prefix").agg(
-        F.count_distinct("geolocation_lat").alias("unique_lat"),
-        F.count_distinct("geolocation_lng").alias("unique_lng"),
-        F.count_distinct("geolocation_city").alias("unique_cities"),
-        F.count_distinct("geolocation_state").alias("unique_states"),
-    ).orderBy("geolocation_zip_code_prefix")
+    """Distinct coordinates, cities and states per zip prefix: for each column the distinct (prefix, value)
+    pairs are counted, so there is no row per place and column."""
+    prefix = "geolocation_zip_code_prefix"
+    parts = []
+    for column, name in (("lat", "unique_lat"), ("lng", "unique_lng"), ("city", "unique_cities"), ("state", "unique_states")):
+        pairs = w.geolocation.groupBy(prefix, f"geolocation_{column}").agg(F.lit(1))
+        parts.append(pairs.groupBy(prefix).agg(F.count(f"geolocation_{column}").alias(name)))
+    counts = parts[0]
+    for part in parts[1:]:
+        counts = counts.join(part, prefix)
+    return counts.orderBy(prefix)
 
 
 def length_distribution(df: DataFrame, column: str) -> DataFrame:
@@ -203,8 +207,14 @@ def _value_positions(df: DataFrame, value: str) -> DataFrame:
 def describe_numeric(df: DataFrame, column: str) -> DataFrame:
     """count, mean, standard deviation, minimum, exact quartiles, maximum.
 
-    Quartiles interpolate between the two nearest ranks.
+    Quartiles interpolate between the two nearest ranks, at the column's own scale: two decimals
+    more than the column has, as doubles for a column of doubles.
     """
+    kind = df.schema[column].dataType
+    scale = kind.scale if isinstance(kind, T.DecimalType) else 0
+    floating = isinstance(kind, (T.DoubleType, T.FloatType))
+    exact = "double" if floating else f"decimal(30,{max(2, scale)})"
+    digits = max(2, scale) + 2
     positions = _value_positions(df, column)
 
     def quartile(quarter: int) -> Column:
@@ -213,15 +223,20 @@ def describe_numeric(df: DataFrame, column: str) -> DataFrame:
         lower = F.max(F.when((F.col("first") <= low) & (low <= F.col("last")), F.col("value")))
         high = F.when(part > 0, low + 1).otherwise(low)
         upper = F.max(F.when((F.col("first") <= high) & (high <= F.col("last")), F.col("value")))
-        share = (F.max(part) / 4).cast("decimal(3,2)")
-        return F.round(lower.cast("decimal(20,2)") + (upper - lower).cast("decimal(20,2)") * share, 4)
-
+        share = (F.max(part) / 4).cast("double" if floating else "decimal(3,2)")
+        value = lower.cast(exact) + (upper - lower).cast(exact) * share
+        return value if floating else F.round(value, digits)
+
+    # Sums of up to four decimals are exact in ``mean``; finer ones are averaged at their own scale.
+    average = mean(column, 4) if not floating and scale <= 2 else F.avg(column)
+    average = F.round(average, digits) if not floating and scale > 2 else average
+    deviation = F.stddev_samp(F.col(column).cast("double"))
     quartiles = positions.agg(F.struct(
         quartile(1).alias("q1"), quartile(2).alias("q2"), quartile(3).alias("q3"))).scalar()
     return df.agg(
         F.count(column).alias("count"),
-        mean(column, 4).alias("mean"),
-        F.round(F.stddev_samp(F.col(column).cast("double")), 4).alias("std"),
+        average.alias("mean"),
+        (deviation if floating else F.round(deviation, digits)).alias("std"),
         F.min(column).alias("min"), F.max(column).alias("max"),
     ).withColumn("q", quartiles).select(
         F.lit(column).alias("column"), "count", "mean", "std", "min",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orderlens.operators.joins import splittable_join
 from orderlens.session import materialize
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row index in its lower 33 bits
@@ -76,7 +77,7 @@ def top_ranks(df: DataFrame, group: str, value: str, key: str, ranks: int, name:
     )
     rank = 1 + F.size(F.filter("_leading", lambda lead: lead > F.col(value)))
     return (
-        df.join(leaders, group)
+        splittable_join(df, leaders, group)
         .filter(F.col(value) >= F.element_at("_leading", -1))
         .withColumn(name, rank)
         .drop("_leading")

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orderlens.contracts import CONTRACTS
 from orderlens.operators import cleaning, quality
@@ -46,7 +47,7 @@ def csv_round_trip(w: Warehouse, name: str) -> DataFrame:
 def discover_report(w: Warehouse) -> DataFrame:
     """Every CSV data set of a folder with its columns and rows, types inferred."""
     folder = scratch_path(w.spark, "discover")
-    csv.write_csv_warehouse(w, folder, "customers", "products", "sellers", "category_translation")
+    csv.write_csv_warehouse(w, folder)
     reports = [
         (path, csv.read_inferred(w.spark, path)) for path in csv.discover(w.spark, folder)]
     return quality.union(
@@ -153,8 +154,8 @@ def renamed(w: Warehouse) -> DataFrame:
     raw = cleaning.clean_headers(as_raw_text(w, "products"))
     return raw.withColumnsRenamed(CONTRACTS["products"].renames).select(
         cleaning.strip_all(F.col("product_id")).alias("product_id"),
-        F.col("product_name_length").cast("double").cast("int").alias("product_name_length"),
-        F.col("product_description_length").cast("double").cast("int").alias("product_description_length"))
+        *[cleaning.whole_number(F.col(c), T.IntegerType()).alias(c)
+          for c in ("product_name_length", "product_description_length")])
 
 
 def geolocation_places(w: Warehouse) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.functions import mean, money, money_sum, pct, ratio, wide
+from orderlens.operators.joins import splittable_join
 from orderlens.operators.ranking import top_n
 from orderlens.operators.rollups import item_totals, review_totals
 from orderlens.warehouse import Warehouse
@@ -62,8 +63,7 @@ def _reviewed(w: Warehouse, how: str = "inner") -> DataFrame:
     One review row per order meets the items, so the pairs an order's reviews and
     items would form are never built; their sums follow by multiplication.
     """
-    return item_totals(w.order_items, "order_id", "product_id").join(
-        review_totals(w.reviews), "order_id", how)
+    return splittable_join(item_totals(w.order_items, "order_id", "product_id"), review_totals(w.reviews), "order_id", how)
 
 
 def category_reviews_fanout(w: Warehouse) -> DataFrame:

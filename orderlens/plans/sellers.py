@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.functions import money, money_sum, pct, ratio, wide
+from orderlens.operators.joins import splittable_join
 from orderlens.operators.ranking import top_n
 from orderlens.operators.rollups import item_totals, review_totals
 from orderlens.plans.products import total_revenue
@@ -34,7 +35,7 @@ def avg_price(w: Warehouse) -> DataFrame:
 
 def reviews(w: Warehouse) -> DataFrame:
     """Reviewed orders only, each item weighted with its order's average review."""
-    reviewed = item_totals(w.order_items, "seller_id", "order_id").join(review_totals(w.reviews), "order_id")
+    reviewed = splittable_join(item_totals(w.order_items, "seller_id", "order_id"), review_totals(w.reviews), "order_id")
     return reviewed.groupBy("seller_id").agg(
         F.count("*").alias("orders_handled"),
         F.sum("items").alias("units_sold"),

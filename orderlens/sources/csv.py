@@ -12,6 +12,8 @@ from orderlens.warehouse import Warehouse
 _OPTIONS = {"header": "true", "encoding": "UTF-8", "quote": '"', "escape": '"'}
 # Free text may hold line breaks. Such a file cannot be split, so only this table pays for it.
 _MULTILINE = {"reviews"}
+# The writer would strip text at both ends otherwise.
+_WRITE = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
 def read_raw(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -33,21 +35,33 @@ def read_csv_warehouse(spark: SparkSession, folder: str, files: dict[str, str] |
 
 
 def discover(spark: SparkSession, folder: str) -> list[str]:
-    """The CSV data sets of a folder, by path. Only file names travel to the driver."""
-    listed = spark.read.format("binaryFile").options(
-        recursiveFileLookup="true", pathGlobFilter="*.csv").load(folder)
-    inside = F.substring_index(F.col("path"), folder.rstrip("/") + "/", -1)
-    names = listed.select(F.substring_index(inside, "/", 1).alias("name")).distinct().orderBy("name")
-    return [f"{folder.rstrip('/')}/{row.name}" for row in names.collect()]
+    """The CSV files and data set folders directly below a folder, by path.
+
+    They are listed by the file system that the folder's URI names, one name for each data set.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    listed = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    names = sorted(status.getPath().getName() for status in listed)
+    return [f"{folder.rstrip('/')}/{name}" for name in names if name.endswith(".csv")]
+
+
+def has_line_breaks(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted value of the data set holds a line break: some line then has an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
 
 
 def read_inferred(spark: SparkSession, path: str) -> DataFrame:
-    """A data set with header and inferred types, for profiling unknown files only."""
-    return spark.read.options(**_OPTIONS, multiLine="true", inferSchema="true").csv(path)
+    """A data set with header and inferred types, for profiling unknown files only.
+
+    Only a file with line breaks inside quotes is read whole by one task.
+    """
+    multiline = str(has_line_breaks(spark, path)).lower()
+    return spark.read.options(**_OPTIONS, multiLine=multiline, inferSchema="true").csv(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("errorifexists").options(**_OPTIONS, timestampNTZFormat=TIMESTAMP_FORMAT).csv(path)
+    df.write.mode("errorifexists").options(**_OPTIONS, **_WRITE, timestampNTZFormat=TIMESTAMP_FORMAT).csv(path)
 
 
 def write_csv_warehouse(w: Warehouse, folder: str, *names: str) -> None:

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from orderlens.contracts import CONTRACTS
 from orderlens.plans.marts import MARTS
 from orderlens.warehouse import Warehouse
 
 # Facts that meet on the order are bucketed by it, so their joins need no shuffle.
+SPREAD = 4
 ORDER_BUCKETED = ("orders", "order_items", "payments", "reviews")
 
 
@@ -60,8 +63,11 @@ def write_by_status(orders: DataFrame, path: str) -> None:
 
 
 def save_bucketed(df: DataFrame, name: str, path: str, buckets: int, key: str = "order_id") -> DataFrame:
-    """One file per bucket: rows are brought together by key before they are written."""
-    df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    """``SPREAD`` files per bucket at most: rows are brought together by bucket before they are written, the rows
+    of one bucket, and so of a hot key, by that many tasks."""
+    bucket = F.pmod(F.hash(key), F.lit(buckets))  # as the writer deals rows out
+    part = F.pmod(F.xxhash64(*df.columns), F.lit(SPREAD))
+    df.repartition(buckets * SPREAD, bucket, part).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
     return df.sparkSession.table(name)
 
 
@@ -72,11 +78,44 @@ def save_order_layout(w: Warehouse, folder: str, prefix: str, buckets: int) -> W
     return Warehouse(w.spark, lambda name: saved[name] if name in saved else w.table(name))
 
 
+_NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
+def conformed(df: DataFrame, name: str) -> DataFrame:
+    """A stored table in the types of its contract.
+
+    Amounts stored as doubles or with more decimals are rounded to the contract's scale. Ids may be whole numbers
+    instead of text, whole numbers of another width. A missing column or any other type raises.
+    """
+    stored = {f.name: f.dataType for f in df.schema.fields}
+    columns = []
+    for column, kind, _ in CONTRACTS[name].columns:
+        if column not in stored:
+            raise ValueError(f"{name}.{column} is missing")
+        found = stored[column]
+        amount = isinstance(kind, T.DecimalType) and isinstance(found, (T.DecimalType, T.DoubleType, T.FloatType, *_NUMBERS))
+        whole = isinstance(kind, T.IntegerType) and isinstance(found, _NUMBERS)
+        number_id = isinstance(kind, T.StringType) and isinstance(found, _NUMBERS) and column.endswith("_id")
+        if amount and isinstance(found, T.DecimalType) and found.scale == kind.scale:
+            columns.append(F.col(column))
+        elif amount:
+            columns.append(F.round(F.col(column).cast("decimal(38,18)"), kind.scale).cast(kind).alias(column))
+        elif whole:
+            columns.append(F.col(column).cast(kind))
+        elif number_id or found == kind:
+            columns.append(F.col(column))
+        elif isinstance(kind, T.TimestampNTZType) and isinstance(found, (T.TimestampType, T.DateType)):
+            columns.append(F.col(column).cast(kind))
+        else:
+            raise TypeError(f"{name}.{column} is {found.simpleString()}, not {kind.simpleString()}")
+    return df.select(columns)
+
+
 def read_parquet_warehouse(spark: SparkSession, folder: str) -> Warehouse:
     """Contract tables stored as ``<name>.parquet`` or as Parquet folders of that name."""
-    return Warehouse(spark, lambda name: spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet"))
+    return Warehouse(spark, lambda name: conformed(spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet"), name))
 
 
 def read_catalog_warehouse(spark: SparkSession, database: str) -> Warehouse:
     """Contract tables of a catalog database."""
-    return Warehouse(spark, lambda name: spark.table(f"{database}.{name}"))
+    return Warehouse(spark, lambda name: conformed(spark.table(f"{database}.{name}"), name))

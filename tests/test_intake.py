@@ -1,6 +1,7 @@
 """Cleaning, CSV, tables and checks on small inputs."""
 
 import datetime
+from decimal import Decimal
 
 import pytest
 from builders import build, one, rows
@@ -158,3 +159,84 @@ def test_profile_counts_duplicates_with_nulls(spark):
     df = spark.createDataFrame([(1, None), (1, None), (2, "x")], "a int, b string")
     profile = {r["column"]: r for r in rows(quality.profile_table(df, "t"))}
     assert (profile["b"]["nulls"], profile["b"]["duplicate_rows"], profile["a"]["type"]) == (2, 1, "int")
+
+
+def test_csv_keeps_outer_white_space(spark, tmp_path):
+    df = spark.createDataFrame([("  hello  ",), ("\ttab",)], "a string")
+    csv.write_csv(df, str(tmp_path / "x.csv"))
+    back = spark.read.options(header="true", quote='"', escape='"').csv(str(tmp_path / "x.csv"))
+    assert sorted(r.a for r in back.collect()) == ["\ttab", "  hello  "]
+
+
+@pytest.mark.parametrize("form", ["file://{}", "{}", "relative"])
+def test_discovery_on_any_uri(spark, tmp_path, form, monkeypatch):
+    folder = tmp_path / "raw data" / "raw data"
+    folder.mkdir(parents=True)
+    (folder / "loose.csv").write_text('a,b\n1,"x\ny"\n')
+    (folder / "plain.csv").write_text("a,b\n1,x\n2,y\n")
+    (folder / "notes.txt").write_text("no")
+    import os
+    named = os.path.relpath(folder, os.getcwd()) if form == "relative" else form.format(folder)
+    if form == "relative" and not os.path.exists(named):
+        pytest.skip("no relative path")
+    found = csv.discover(spark, named)
+    assert [p.rsplit("/", 1)[-1] for p in found] == ["loose.csv", "plain.csv"]
+    assert [csv.read_inferred(spark, p).count() for p in found] == [1, 2]
+    assert [csv.has_line_breaks(spark, p) for p in found] == [True, False]
+
+
+def test_fractions_do_not_become_whole_numbers(spark):
+    from pyspark.sql import types as T
+    df = spark.createDataFrame([("40.0",), ("7",), (None,)], "a string")
+    assert [r[0] for r in df.select(cleaning.whole_number(F.col("a"), T.IntegerType())).collect()] == [40, 7, None]
+    bad = spark.createDataFrame([("40.7",)], "a string").select(cleaning.whole_number(F.col("a"), T.IntegerType()))
+    with pytest.raises(Exception, match="not a whole number: 40.7"):
+        bad.collect()
+
+
+def test_describe_keeps_the_scale_of_the_column(spark):
+    from orderlens.operators import quality
+    fine = spark.createDataFrame([(Decimal(f"0.00{i}"),) for i in range(1, 6)], "x decimal(11,8)")
+    row = quality.describe_numeric(fine, "x").first()
+    assert (row.p25, row.p50, row.p75) == (Decimal("0.002"), Decimal("0.003"), Decimal("0.004"))
+    assert row["mean"] == Decimal("0.003")
+    doubles = quality.describe_numeric(spark.createDataFrame([(0.001 * i,) for i in range(1, 6)], "x double"), "x").first()
+    assert doubles.p50 == pytest.approx(0.003) and doubles["mean"] == pytest.approx(0.003)
+
+
+def test_stored_tables_take_the_types_of_their_contract(spark, tmp_path):
+    from orderlens.functions import cents_sum
+    prices = spark.createDataFrame([("p", 0.29), ("p", 1.15)], "k string, price double")
+    assert prices.agg(cents_sum("price")).first()[0] == 144
+    row = ("o", 1, "credit_card", 1, 10.005)
+    kinds = "order_id string, payment_sequential int, payment_type string, payment_installments int"
+    spark.createDataFrame([row], f"{kinds}, payment_value double").write.parquet(str(tmp_path / "payments.parquet"))
+    stored = tables.read_parquet_warehouse(spark, str(tmp_path)).payments
+    assert dict(stored.dtypes)["payment_value"] == "decimal(10,2)"
+    with pytest.raises(TypeError, match="payment_value is string"):
+        tables.conformed(spark.createDataFrame([(*row[:4], "x")], f"{kinds}, payment_value string"), "payments")
+    with pytest.raises(ValueError, match="payment_value is missing"):
+        tables.conformed(spark.createDataFrame([row[:4]], kinds), "payments")
+
+
+def test_a_hot_key_is_split(spark):
+    """Half of all rows have one key; the join must split its partition."""
+    from orderlens.operators.joins import splittable_join
+    rows = spark.range(40_000).select(F.when(F.col("id") % 2 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"),
+                                      F.col("id").alias("v"))
+    unique = rows.groupBy("k").agg(F.count("*").alias("n"))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+                "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        joined = splittable_join(rows.repartition(16), unique, "k")
+        assert joined.agg(F.sum("n")).first()[0] == 20_000 * 20_000 + 20_000
+        joined.write.format("noop").mode("overwrite").save()
+        kept = joined.collect()
+        text = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    assert len(kept) == 40_000 and "skew=true" in text
