@@ -312,7 +312,8 @@ _MARTS = {
     "vw_customers": f"""
         SELECT customer_unique_id, customer_city, customer_state, orders AS total_orders, items AS total_items,
                {money('revenue')} AS total_revenue, {money('freight')} AS total_freight, first AS first_purchase_date,
-               last AS last_purchase_date, {_TYPE} AS customer_type
+               last AS last_purchase_date, {day("date_trunc('month', first)")} AS first_purchase_month,
+               {_TYPE} AS customer_type
         FROM people""",
     "vw_products": f"""
         SELECT product_id, nullif(trim(p.product_category_name), '') AS product_category, count(*) AS units_sold,

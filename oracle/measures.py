@@ -18,8 +18,19 @@ _PAID = "t_payments JOIN bought USING (order_id) WHERE order_status = 'delivered
 _STATUS_REVIEWS = "t_reviews JOIN arrived USING (order_id)"
 _LOW = "count(*) FILTER (review_score <= 2)"
 _LOW_COLUMNS = f"{_LOW} AS low_reviews, count(*) AS reviews, {pct(_LOW, 'count(*)')} AS low_score_pct"
-_MIX = f"""payment_type, {money('sum(payment_value)')} AS payment_value,
-           {pct('sum(payment_value)', 'sum(sum(payment_value)) OVER ()')} AS share_pct"""
+
+
+def tenth_pct(part: str, whole: str) -> str:
+    """A percentage with one decimal, rounded once."""
+    return rnd(part, whole, 1000, 1)
+
+
+def _mix(share=pct) -> str:
+    return f"""payment_type, {money('sum(payment_value)')} AS payment_value,
+           {share('sum(payment_value)', 'sum(sum(payment_value)) OVER ()')} AS share_pct"""
+
+
+_MIX = _mix()
 _TOP_CATEGORIES = f"SELECT product_category, {_REVENUE} FROM sold GROUP BY 1 ORDER BY sum(price) DESC, 1 LIMIT 10"
 _TOP_STATES = f"SELECT customer_state, {_REVENUE} FROM sold GROUP BY 1 ORDER BY sum(price) DESC, 1 LIMIT 10"
 _FREIGHT = f"""
@@ -32,32 +43,56 @@ _PRICED = f"""
     SELECT product_category, {rnd('sum(price)', 'count(*)')} AS avg_item_price
     FROM sold GROUP BY 1 HAVING count(*) >= 5 AND count(*) * 1000 >= (SELECT count(*) FROM sold)
     ORDER BY 2 DESC, 1 LIMIT 1"""
-_BY_STATE = f"""
+
+
+def _by_state(share=pct) -> str:
+    return f"""
     SELECT customer_state, count(DISTINCT customer_unique_id) AS customers,
-           {pct('count(DISTINCT customer_unique_id)', '(SELECT count(DISTINCT customer_unique_id) FROM sold)')} AS share_pct
+           {share('count(DISTINCT customer_unique_id)', '(SELECT count(DISTINCT customer_unique_id) FROM sold)')} AS share_pct
     FROM sold GROUP BY 1 ORDER BY 2 DESC, 1"""
+
+
+_BY_STATE = _by_state()
 _RATED = f"""
     SELECT customer_state, {avg_int('review_score')} AS avg_review_score FROM {_REVIEWED}
     GROUP BY 1 ORDER BY 2, 1"""
-_CATEGORY_SHARE = f"""
-    SELECT {money('top')} AS top_revenue, {money('total')} AS revenue, {pct('top', 'total')} AS share_pct
+
+
+def _category_share(share=pct) -> str:
+    return f"""
+    SELECT {money('top')} AS top_revenue, {money('total')} AS revenue, {share('top', 'total')} AS share_pct
     FROM (SELECT sum(revenue) FILTER (place <= 10) AS top, sum(revenue) AS total
           FROM (SELECT sum(price) AS revenue, row_number() OVER (ORDER BY sum(price) DESC, product_category) AS place
                 FROM sold GROUP BY product_category))"""
-_DECILE = f"""
-    SELECT count(*) FILTER (chosen) AS top_sellers, {pct('sum(revenue) FILTER (chosen)', 'sum(revenue)')} AS share_pct
+
+
+_CATEGORY_SHARE = _category_share()
+
+
+def _decile(share=pct) -> str:
+    return f"""
+    SELECT count(*) FILTER (chosen) AS top_sellers, {share('sum(revenue) FILTER (chosen)', 'sum(revenue)')} AS share_pct
     FROM (SELECT sum(price) AS revenue,
                  row_number() OVER (ORDER BY sum(price) DESC, seller_id) <= (count(*) OVER () + 9) // 10 AS chosen
           FROM sold GROUP BY seller_id)"""
+
+
+_DECILE = _decile()
 _REPEAT = f"""
     SELECT count(*) FILTER (orders > 1) AS repeat_customers, count(*) AS customers,
            {pct('count(*) FILTER (orders > 1)', 'count(*)')} AS repeat_rate_pct
     FROM people"""
 
 
-def _type_share(where: str = "") -> str:
+_AVG_SCORE = f"SELECT {avg_int('review_score')} AS avg_review_score FROM {_REVIEWED}"
+_REVIEW_COUNT = f"SELECT count(*) AS reviews FROM {_REVIEWED}"
+_TOTAL_PAID = f"SELECT {money('sum(payment_value)')} AS payment_value FROM {_PAID}"
+_CARDS = f"SELECT count(*) AS payments FROM {_PAID} AND payment_type = 'credit_card'"
+
+
+def _type_share(where: str = "", share=pct) -> str:
     return f"""
-    SELECT customer_type, {_REVENUE}, {pct('sum(price)', '(SELECT sum(price) FROM sold)')} AS share_pct
+    SELECT customer_type, {_REVENUE}, {share('sum(price)', '(SELECT sum(price) FROM sold)')} AS share_pct
     FROM {_TYPED} {where} GROUP BY 1"""
 
 
@@ -81,19 +116,13 @@ def _txt(column: str, digits: int = 2) -> str:
     return f"{sign} || ({whole}) || '.' || lpad(CAST({rest} AS VARCHAR), {digits}, '0')"
 
 
-def _tenth(column: str) -> str:
-    """A percentage of two decimals written with one, halves away from zero."""
-    hundredths = f"CAST(round(({column}) * 100) AS BIGINT)"
-    return _txt(f"(({hundredths} + 5) // 10) / 10.0", 1)
-
-
 def _sentence(topic: str, source: str, text: str) -> str:
     return f"""SELECT '{topic}' AS topic, coalesce((SELECT {text} FROM ({source}) LIMIT 1),
                'Not enough data in this selection') AS sentence"""
 
 
 _TAKEAWAYS = " UNION ALL ".join((
-    _sentence("category share", _CATEGORY_SHARE, f"'Top 10 categories bring ' || {_tenth('share_pct')} || '% of revenue'"),
+    _sentence("category share", _category_share(tenth_pct), f"'Top 10 categories bring ' || {_txt('share_pct', 1)} || '% of revenue'"),
     _sentence("price", _PRICED,
               f"'Highest average price: ' || product_category || ' (' || {_txt('avg_item_price')} || ')'"),
     _sentence("freight", _FREIGHT,
@@ -104,17 +133,17 @@ _TAKEAWAYS = " UNION ALL ".join((
               f"'Late orders score ' || {_txt('late')} || ' against ' || {_txt('fine')} || ' on time'"),
     _sentence("slowest state", _SLOWEST, "'Slowest state with 100+ orders: ' || customer_state || ' (' || "
               f"{_txt('avg_delivery_days')} || ' days)'"),
-    _sentence("seller share", _DECILE, f"'Top 10% of sellers bring ' || {_tenth('share_pct')} || '% of revenue'"),
+    _sentence("seller share", _decile(tenth_pct), f"'Top 10% of sellers bring ' || {_txt('share_pct', 1)} || '% of revenue'"),
     _sentence("repeat rate", _REPEAT, f"{_txt('repeat_rate_pct')} || '% of customers came back'"),
-    _sentence("repeat revenue", _type_share("WHERE customer_type = 'Repeat Customer'"),
-              f"'Repeat customers bring ' || {_tenth('share_pct')} || '% of revenue'"),
-    _sentence("top state", _BY_STATE, f"customer_state || ' has ' || {_tenth('share_pct')} || '% of customers'"),
+    _sentence("repeat revenue", _type_share("WHERE customer_type = 'Repeat Customer'", tenth_pct),
+              f"'Repeat customers bring ' || {_txt('share_pct', 1)} || '% of revenue'"),
+    _sentence("top state", _by_state(tenth_pct), f"customer_state || ' has ' || {_txt('share_pct', 1)} || '% of customers'"),
     _sentence("lowest rated", _RATED,
               f"'Lowest rated state: ' || customer_state || ' (' || {_txt('avg_review_score')} || ')'"),
     _sentence("low scores", f"SELECT * FROM ({_STATUS_LOW}) WHERE delivery_status = 'Late'",
               f"{_txt('low_score_pct')} || '% of the reviews of late orders are 1 or 2 stars'"),
-    _sentence("payment", f"SELECT * FROM ({_PAYMENT_MIX}) WHERE payment_type = 'credit_card'",
-              f"'Credit cards carry ' || {_tenth('share_pct')} || '% of payment value'"),
+    _sentence("payment", f"SELECT * FROM (SELECT {_mix(tenth_pct)} FROM {_PAID} GROUP BY 1) WHERE payment_type = 'credit_card'",
+              f"'Credit cards carry ' || {_txt('share_pct', 1)} || '% of payment value'"),
 ))
 
 
@@ -203,6 +232,14 @@ MEASURES = {
     "m_lowest_rated_states": f"{_RATED} LIMIT 8",
     "m_low_score_share": f"SELECT {_LOW_COLUMNS} FROM {_REVIEWED}",
     "m_low_score_by_status": _STATUS_LOW,
+    "m_avg_review_score": _AVG_SCORE,
+    "m_avg_review_score_sliced": f"{_AVG_SCORE} AND {_SLICE}",
+    "m_review_count": _REVIEW_COUNT,
+    "m_review_count_sliced": f"{_REVIEW_COUNT} AND {_SLICE}",
+    "m_total_payment_value": _TOTAL_PAID,
+    "m_total_payment_value_sliced": f"{_TOTAL_PAID} AND {_SLICE}",
+    "m_cc_payments": _CARDS,
+    "m_cc_payments_sliced": f"{_CARDS} AND {_SLICE}",
     "m_payment_mix": _PAYMENT_MIX,
     "m_avg_installments_cc": f"""
         SELECT {avg_int('payment_installments')} AS avg_installments FROM {_PAID} AND payment_type = 'credit_card'""",

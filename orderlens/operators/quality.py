@@ -41,22 +41,25 @@ def _status(ok: Column) -> Column:
     return F.when(ok, PASS).otherwise(FAIL).alias("status")
 
 
-def _duplicates(df: DataFrame) -> Column:
-    """Rows beyond the first of equal rows, nulls equal, as a scalar subquery."""
-    groups = df.groupBy(*df.columns).agg(F.count("*").alias("_n"))
-    return F.coalesce(groups.agg(F.sum(F.col("_n") - 1)).scalar(), F.lit(0))
+def _weighted(condition: Column, weight: str = "_n") -> Column:
+    """Rows of groups of equal rows that meet a condition."""
+    return F.coalesce(F.sum(F.when(condition, F.col(weight))), F.lit(0))
 
 
 def profile_table(df: DataFrame, table: str) -> DataFrame:
-    """One row per column: type and nulls, beside rows, columns and duplicate rows of the table."""
-    counts = df.agg(F.count("*").alias("_rows"),
-                    *[count_when(F.col(c).isNull()).alias(c) for c in df.columns])
+    """One row per column: type and nulls, beside rows, columns and duplicate rows of the table.
+
+    Equal rows, nulls equal, are grouped once; everything else follows from the groups and their sizes.
+    """
+    groups = df.groupBy(*df.columns).agg(F.count("*").alias("_n"))
+    counts = groups.agg(_weighted(F.lit(True)).alias("_rows"), F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("_more"),
+                        *[_weighted(F.col(c).isNull()).alias(c) for c in df.columns])
     types = F.create_map(*[F.lit(x) for f in df.schema.fields for x in (f.name, f.dataType.simpleString())])
-    return counts.unpivot("_rows", df.columns, "column", "nulls").select(
+    return counts.unpivot(["_rows", "_more"], df.columns, "column", "nulls").select(
         F.lit(table).alias("table"), "column",
         types[F.col("column")].alias("type"), "nulls",
         F.col("_rows").alias("rows"), F.lit(len(df.columns)).alias("columns"),
-        _duplicates(df).alias("duplicate_rows"))
+        F.col("_more").alias("duplicate_rows"))
 
 
 def profile_all(w: Warehouse) -> DataFrame:
@@ -311,17 +314,27 @@ def required_columns(w: Warehouse) -> DataFrame:
 
 
 def final_validation(w: Warehouse) -> DataFrame:
-    """Per table: rows, columns, duplicate rows, nulls and duplicate keys in one report."""
+    """Per table: rows, columns, duplicate rows, nulls and duplicate keys in one report.
+
+    A table is read once: equal rows are grouped, then groups of one key, then these are summed up.
+    """
     def check(contract: TableContract) -> DataFrame:
         df = w.table(contract.name)
-        nulls = sum((F.sum(F.col(c).isNull().cast("long")) for c in df.columns[1:]),
-                    F.sum(F.col(df.columns[0]).isNull().cast("long")))
-        keys = F.lit(0).cast("long")
+        groups = df.groupBy(*df.columns).agg(F.count("*").alias("_n"))
+        empty = sum((F.col(c).isNull().cast("long") for c in df.columns[1:]), F.col(df.columns[0]).isNull().cast("long"))
+        groups = groups.select(*(contract.key or ()), "_n", (F.col("_n") - 1).alias("_more"), (empty * F.col("_n")).alias("_nulls"))
         if contract.key:
-            keys = F.coalesce(_repeated(df, *contract.key).agg(F.sum(F.col("n") - 1)).scalar(), F.lit(0))
-        return df.agg(F.count("*").alias("rows"), nulls.alias("nulls")).select(
+            groups = groups.groupBy(*contract.key).agg(*[F.sum(c).alias(c) for c in ("_n", "_more", "_nulls")])
+
+        def total(value: Column) -> Column:
+            return F.coalesce(F.sum(value), F.lit(0).cast("long"))
+
+        keys = total(F.col("_n") - 1) if contract.key else F.lit(0).cast("long")
+        return groups.agg(
+            total(F.col("_n")).alias("rows"), total(F.col("_more")).alias("duplicate_rows"),
+            total(F.col("_nulls")).alias("nulls"), keys.alias("duplicate_keys")).select(
             F.lit(contract.name).alias("table"), "rows", F.lit(len(df.columns)).alias("columns"),
-            _duplicates(df).alias("duplicate_rows"), "nulls", keys.alias("duplicate_keys"))
+            "duplicate_rows", "nulls", "duplicate_keys")
     return union(check(c) for c in CONTRACTS.values())
 
 

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orderlens.contracts import CONTRACTS
 from orderlens.operators import cleaning, quality
-from orderlens.session import scratch_path
+from orderlens.session import scratch_path, scratch_table
 from orderlens.sources import csv, tables
 from orderlens.warehouse import Warehouse
 
@@ -57,8 +55,7 @@ def discover_report(w: Warehouse) -> DataFrame:
 
 
 def _load(w: Warehouse, source: DataFrame, name: str) -> DataFrame:
-    table = f"{name}_{uuid.uuid4().hex[:12]}"
-    return tables.load_table(source, table, scratch_path(w.spark, name))
+    return tables.load_table(source, scratch_table(w.spark, name), scratch_path(w.spark, name))
 
 
 def table_load(w: Warehouse) -> DataFrame:
@@ -111,11 +108,13 @@ def status_layout(w: Warehouse) -> DataFrame:
         F.count("*").alias("delivered_orders"))
 
 
-def bucketed_layout(w: Warehouse, buckets: int = 8) -> DataFrame:
+def bucketed_layout(w: Warehouse, buckets: int | None = None) -> DataFrame:
     """Reviews and payments per order status from facts bucketed by order: the joins on
-    the order need no shuffle."""
+    the order need no shuffle. As many buckets as shuffles have partitions, unless given."""
     folder = scratch_path(w.spark, "bucketed")
-    stored = tables.save_order_layout(w, folder, f"b{uuid.uuid4().hex[:12]}_", buckets)
+    buckets = buckets or int(w.spark.conf.get("spark.sql.shuffle.partitions"))
+    names = {name: scratch_table(w.spark, name) for name in tables.ORDER_BUCKETED}
+    stored = tables.save_order_layout(w, folder, names, buckets)
     paid = stored.payments.groupBy("order_id").agg(F.sum("payment_value").alias("paid"))
     scored = stored.reviews.groupBy("order_id").agg(F.count("*").alias("reviews"))
     return stored.orders.join(paid, "order_id").join(scored, "order_id", "left").groupBy("order_status").agg(

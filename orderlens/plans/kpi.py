@@ -111,10 +111,14 @@ def repeat_rate(w: Warehouse) -> DataFrame:
     )
 
 
-# The orders table is keyed by order_id (see quality.key_check), so its rows are its orders.
+def _per_order(orders: DataFrame, condition: Column, *sums: Column) -> DataFrame:
+    """One row per order, as keys are not enforced: whether any of its rows meets the condition, and sums over its rows."""
+    return orders.groupBy("order_id").agg(F.coalesce(F.bool_or(condition), F.lit(False)).alias("met"), *sums)
+
+
 def cancellation(w: Warehouse) -> DataFrame:
-    orders, canceled = F.count("*"), count_when(F.col("order_status") == CANCELED)
-    return w.orders.agg(
+    orders, canceled = F.count("*"), count_when(F.col("met"))
+    return _per_order(w.orders, F.col("order_status") == CANCELED).agg(
         orders.alias("total_orders"),
         canceled.alias("cancelled_orders"),
         pct(canceled, orders).alias("cancellation_rate_pct"),
@@ -136,8 +140,8 @@ def delivery_days(w: Warehouse) -> DataFrame:
 
 
 def late_rate(w: Warehouse) -> DataFrame:
-    orders, late = F.count("*"), count_when(is_late())
-    return _arrived(w, with_estimate=True).agg(
+    orders, late = F.count("*"), count_when(F.col("met"))
+    return _per_order(_arrived(w, with_estimate=True), is_late()).agg(
         orders.alias("delivered_orders"),
         late.alias("late_orders"),
         pct(late, orders).alias("late_delivery_rate_pct"),
@@ -145,10 +149,11 @@ def late_rate(w: Warehouse) -> DataFrame:
 
 
 def delivery_combined(w: Warehouse) -> DataFrame:
-    orders, late = F.count("*"), count_when(is_late())
-    return _arrived(w, with_estimate=True).agg(
+    orders, late, days = F.count("*"), count_when(F.col("met")), full_days(_PURCHASED, _DELIVERED_AT)
+    arrived = _per_order(_arrived(w, with_estimate=True), is_late(), F.sum(days).alias("days"), F.count(days).alias("n"))
+    return arrived.agg(
         orders.alias("delivered_orders"),
-        mean(full_days(_PURCHASED, _DELIVERED_AT)).alias("avg_delivery_days"),
+        ratio(F.sum("days"), F.sum("n")).alias("avg_delivery_days"),
         late.alias("late_orders"),
         pct(late, orders).alias("late_delivery_rate_pct"),
     )

@@ -78,6 +78,7 @@ def customers(w: Warehouse, latest_place: bool = False) -> DataFrame:
         F.col("revenue").alias("total_revenue"),
         F.col("freight").alias("total_freight"),
         "first_purchase_date", "last_purchase_date",
+        month_start("first_purchase_date").alias("first_purchase_month"),
         customer_type(F.col("orders")).alias("customer_type"))
 
 

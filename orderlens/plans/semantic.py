@@ -229,12 +229,12 @@ def top_freight_state(m: Model, min_orders: int = MIN_ORDERS) -> DataFrame:
     return freight_by_state(m, 1, min_orders).drop("orders")
 
 
-def top10_category_share(m: Model, n: int = 10) -> DataFrame:
+def top10_category_share(m: Model, n: int = 10, digits: int = 2) -> DataFrame:
     categories = m.category_sales()
     top = top_n(categories, n, F.col("revenue").desc(), F.col("product_category"))
     return top.agg(F.sum("revenue").alias("top_revenue")).select(
         "top_revenue", categories.agg(F.sum("revenue")).scalar().alias("revenue"),
-    ).withColumn("share_pct", pct("top_revenue", "revenue"))
+    ).withColumn("share_pct", pct("top_revenue", "revenue", digits))
 
 
 def top_price_category(m: Model) -> DataFrame:
@@ -330,14 +330,14 @@ def revenue_by_seller_state(m: Model, n: int = 8) -> DataFrame:
     return top_n(states, n, F.col("revenue").desc(), F.col("seller_state"))
 
 
-def top_decile_seller_share(m: Model, tenths: int = 1) -> DataFrame:
+def top_decile_seller_share(m: Model, tenths: int = 1, digits: int = 2) -> DataFrame:
     """Revenue share of the best tenth of sellers, their number rounded up."""
     sellers = m.sales_by("seller_id").select("seller_id", "revenue")
     ranked = global_row_number(sellers, [F.col("revenue").desc(), F.col("seller_id")], "position", "sellers")
     chosen = F.col("position") <= F.floor((F.col("sellers") * tenths + 9) / 10)
     return ranked.agg(
         count_when(chosen).alias("top_sellers"),
-        pct(F.sum(F.when(chosen, F.col("revenue"))), F.sum("revenue")).alias("share_pct"))
+        pct(F.sum(F.when(chosen, F.col("revenue"))), F.sum("revenue"), digits).alias("share_pct"))
 
 
 def status_split(m: Model) -> DataFrame:
@@ -392,17 +392,17 @@ def _state_people(m: Model) -> DataFrame:
     return per_person.groupBy(_STATE).agg(F.count("*").alias("customers"), F.sum("revenue").alias("revenue"))
 
 
-def customers_by_state(m: Model, n: int = 6) -> DataFrame:
+def customers_by_state(m: Model, n: int = 6, digits: int = 2) -> DataFrame:
     people = m.order_sales(buyer=True).agg(F.count_distinct(_PERSON)).scalar()
-    table = _state_people(m).select(_STATE, "customers", pct(F.col("customers"), people).alias("share_pct"))
+    table = _state_people(m).select(_STATE, "customers", pct(F.col("customers"), people, digits).alias("share_pct"))
     return top_n(table, n, F.col("customers").desc(), F.col(_STATE))
 
 
-def revenue_share_by_type(m: Model) -> DataFrame:
+def revenue_share_by_type(m: Model, digits: int = 2) -> DataFrame:
     """The denominator drops the customer type filter and keeps all others."""
     everything = m.without("customer_types").order_sales().agg(F.sum("revenue")).scalar()
     groups = _people(m).groupBy("customer_type").agg(F.sum("revenue").alias("revenue"))
-    return groups.withColumn("share_pct", pct(F.col("revenue"), everything)).orderBy("customer_type")
+    return groups.withColumn("share_pct", pct(F.col("revenue"), everything, digits)).orderBy("customer_type")
 
 
 def state_customer_revenue_share(m: Model) -> DataFrame:
@@ -440,6 +440,15 @@ def _low_share() -> list[Column]:
     return [low.alias("low_reviews"), F.sum("n").alias("reviews"), pct(low, F.sum("n")).alias("low_score_pct")]
 
 
+def avg_review_score(m: Model) -> DataFrame:
+    """Average score of the selection's reviews; null when it has none."""
+    return m.reviews().agg(_review_mean())
+
+
+def review_count(m: Model) -> DataFrame:
+    return m.reviews().agg(F.coalesce(F.sum("reviews"), F.lit(0)).alias("reviews"))
+
+
 def low_score_share(m: Model) -> DataFrame:
     return _scores(m).agg(*_low_share())
 
@@ -453,12 +462,16 @@ def review_distribution(m: Model) -> DataFrame:
     return _scores(m).groupBy("review_score").agg(F.sum("n").alias("reviews")).orderBy("review_score")
 
 
-def payment_mix(m: Model) -> DataFrame:
+def payment_mix(m: Model, digits: int = 2) -> DataFrame:
     groups = m.payments().groupBy("payment_type").agg(F.sum("payment_value").alias("payment_value"))
-    share = pct(F.col("payment_value"), F.sum("payment_value").over(Window.partitionBy()))
+    share = pct(F.col("payment_value"), F.sum("payment_value").over(Window.partitionBy()), digits)
     return groups.withColumn("share_pct", share).orderBy(F.col("payment_value").desc(), "payment_type")
 
 
+def total_payment_value(m: Model) -> DataFrame:
+    return m.payments().agg(F.sum("payment_value").alias("payment_value"))
+
+
 def _card(m: Model) -> DataFrame:
     return m.payments().filter(F.col("payment_type") == "credit_card")
 
@@ -467,6 +480,10 @@ def avg_installments_cc(m: Model) -> DataFrame:
     return _card(m).agg(mean("payment_installments").alias("avg_installments"))
 
 
+def cc_payments(m: Model) -> DataFrame:
+    return _card(m).agg(F.count("*").alias("payments"))
+
+
 def cc_installments(m: Model) -> DataFrame:
     return _card(m).filter(F.col("payment_installments").between(1, MAX_INSTALLMENTS)).groupBy(
         F.col("payment_installments").alias("installments")).agg(
@@ -505,17 +522,17 @@ def _sentence(topic: str, frame: DataFrame, *parts: str | Column) -> DataFrame:
 
 
 def takeaways(m: Model) -> DataFrame:
-    """The sentences of all report pages."""
+    """The sentences of all report pages. Shares are rounded once, to the decimal that is shown."""
     c = F.col
     one = (c("share_pct").cast("decimal(10,1)"), "%")
     scores = review_by_status(m).agg(
         F.max(F.when(c("delivery_status") == LATE, c("avg_review_score"))).alias("late"),
         F.max(F.when(c("delivery_status") == ON_TIME, c("avg_review_score"))).alias("on_time"))
-    repeat_money = revenue_share_by_type(m).filter(c("customer_type") == marts.REPEAT)
-    card = payment_mix(m).filter(c("payment_type") == "credit_card")
+    repeat_money = revenue_share_by_type(m, digits=1).filter(c("customer_type") == marts.REPEAT)
+    card = payment_mix(m, digits=1).filter(c("payment_type") == "credit_card")
     late_low = low_score_by_status(m).filter(c("delivery_status") == LATE)
     sentences = [
-        _sentence("category share", top10_category_share(m), "Top 10 categories bring ", *one, " of revenue"),
+        _sentence("category share", top10_category_share(m, digits=1), "Top 10 categories bring ", *one, " of revenue"),
         _sentence("price", top_price_category(m), "Highest average price: ", c("product_category"),
                   " (", c("avg_item_price"), ")"),
         _sentence("freight", top_freight_state(m), "Highest freight share: ", c(_STATE),
@@ -523,10 +540,10 @@ def takeaways(m: Model) -> DataFrame:
         _sentence("late reviews", scores, "Late orders score ", c("late"), " against ", c("on_time"), " on time"),
         _sentence("slowest state", slowest_states(m, 1), "Slowest state with ", str(MIN_ORDERS), "+ orders: ",
                   c(_STATE), " (", c("avg_delivery_days"), " days)"),
-        _sentence("seller share", top_decile_seller_share(m), "Top 10% of sellers bring ", *one, " of revenue"),
+        _sentence("seller share", top_decile_seller_share(m, digits=1), "Top 10% of sellers bring ", *one, " of revenue"),
         _sentence("repeat rate", repeat_rate(m), c("repeat_rate_pct"), "% of customers came back"),
         _sentence("repeat revenue", repeat_money, "Repeat customers bring ", *one, " of revenue"),
-        _sentence("top state", customers_by_state(m, 1), c(_STATE), " has ", *one, " of customers"),
+        _sentence("top state", customers_by_state(m, 1, digits=1), c(_STATE), " has ", *one, " of customers"),
         _sentence("lowest rated", lowest_rated_states(m, 1), "Lowest rated state: ", c(_STATE),
                   " (", c("avg_review_score"), ")"),
         _sentence("low scores", late_low, c("low_score_pct"), "% of the reviews of late orders are 1 or 2 stars"),
@@ -570,6 +587,10 @@ MEASURES = {
     "m_lowest_rated_states": lowest_rated_states,
     "m_low_score_share": low_score_share,
     "m_low_score_by_status": low_score_by_status,
+    "m_avg_review_score": avg_review_score,
+    "m_review_count": review_count,
+    "m_total_payment_value": total_payment_value,
+    "m_cc_payments": cc_payments,
     "m_payment_mix": payment_mix,
     "m_avg_installments_cc": avg_installments_cc,
     "m_cc_installments": cc_installments,

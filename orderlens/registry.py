@@ -164,6 +164,7 @@ ANALYSES: dict[str, Callable[[Warehouse], DataFrame]] = {
 SLICED = Context(
     date_from=datetime.date(1996, 1, 1), date_to=datetime.date(2000, 12, 31),
     states=tuple(f"NATION_{n}" for n in range(10)), categories=("ECONOMY", "PROMO", marts.UNCATEGORIZED))
+SLICED_ORDERS = Context(date_from=SLICED.date_from, date_to=SLICED.date_to, states=SLICED.states)
 LATE_ONLY = Context(delivery_statuses=("Late",))
 REPEAT_ONLY = Context(customer_types=(marts.REPEAT,))
 
@@ -181,6 +182,8 @@ MEASURES: dict[str, Callable[[Warehouse], DataFrame]] = {
     "slicer_filter_payments": _measure(semantic.payment_mix, SLICED),
     "slicer_filter_status": _measure(semantic.ontime_pct, LATE_ONLY),
     "slicer_filter_type": _measure(semantic.revenue_share_by_type, REPEAT_ONLY),
+    **{f"{key}_sliced": _measure(semantic.MEASURES[key], SLICED_ORDERS) for key in (
+        "m_avg_review_score", "m_review_count", "m_total_payment_value", "m_cc_payments")},
     **{key: _measure(function, **({"start": TREND_START} if key in _TRENDS else {}))
        for key, function in semantic.MEASURES.items()},
 }

@@ -18,9 +18,19 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
-
-
-def build_session(app: str = "orderlens", master: str | None = None, **conf: str) -> SparkSession:
+# Adaptive execution merges small shuffle partitions but never divides a large one that is not skewed,
+# so a session starts with many: 100 TB then come in parts of a few GB at most, after column pruning far less.
+SHUFFLE_PARTITIONS = 20_000
+LOCAL_SHUFFLE_PARTITIONS = 32
+
+
+def build_session(app: str = "orderlens", master: str | None = None, shuffle_partitions: int | None = None,
+                  **conf: str) -> SparkSession:
+    """A session with the library's settings. ``shuffle_partitions`` is the number that shuffles start with, by default
+    ``SHUFFLE_PARTITIONS``, on a local master ``LOCAL_SHUFFLE_PARTITIONS``."""
+    local = bool(master) and master.startswith("local")
+    start = shuffle_partitions or (LOCAL_SHUFFLE_PARTITIONS if local else SHUFFLE_PARTITIONS)
+    conf = {"spark.sql.shuffle.partitions": str(start), **conf}
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -48,9 +58,39 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+# What this process has written below the shared folder, and saved in the catalog, for each application.
+_OWNED: dict[str, tuple[list[str], list[str]]] = {}
+
+
+def _owned(spark: SparkSession) -> tuple[list[str], list[str]]:
+    return _OWNED.setdefault(spark.sparkContext.applicationId, ([], []))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder; nothing there is ever overwritten."""
-    return f"{shared_dir(spark).rstrip('/')}/orderlens/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path below the shared folder; nothing there is ever overwritten. ``close_scratch`` removes it."""
+    path = f"{shared_dir(spark).rstrip('/')}/orderlens/{name}-{uuid.uuid4().hex[:12]}"
+    _owned(spark)[0].append(path)
+    return path
+
+
+def scratch_table(spark: SparkSession, prefix: str) -> str:
+    """A fresh catalog name, which ``close_scratch`` drops."""
+    name = f"{prefix}_{uuid.uuid4().hex[:12]}"
+    _owned(spark)[1].append(name)
+    return name
+
+
+def close_scratch(spark: SparkSession) -> None:
+    """Drop the catalog tables and remove the folders that analyses of this application have written.
+
+    Call it when no result that reads them is needed any more.
+    """
+    paths, tables = _owned(spark)
+    for name in tables:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    for path in paths:
+        remove_path(spark, path)
+    paths.clear(), tables.clear()
 
 
 class Scratch:

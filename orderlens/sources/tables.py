@@ -71,10 +71,9 @@ def save_bucketed(df: DataFrame, name: str, path: str, buckets: int, key: str =
     return df.sparkSession.table(name)
 
 
-def save_order_layout(w: Warehouse, folder: str, prefix: str, buckets: int) -> Warehouse:
-    """The warehouse with its order facts bucketed by order; other tables stay as they are."""
-    saved = {name: save_bucketed(w.table(name), f"{prefix}{name}", f"{folder}/{name}", buckets)
-             for name in ORDER_BUCKETED}
+def save_order_layout(w: Warehouse, folder: str, names: dict[str, str], buckets: int) -> Warehouse:
+    """The warehouse with its order facts bucketed by order under the given catalog names; other tables stay as they are."""
+    saved = {name: save_bucketed(w.table(name), names[name], f"{folder}/{name}", buckets) for name in ORDER_BUCKETED}
     return Warehouse(w.spark, lambda name: saved[name] if name in saved else w.table(name))
 
 

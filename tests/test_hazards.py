@@ -228,3 +228,37 @@ def test_empty_selection_gives_blanks(spark):
     core = one(semantic.core(nothing))
     assert core["orders"] == 0 and core["revenue"] is None and core["aov"] is None
     assert one(semantic.freight_pct(nothing))["freight_pct"] is None
+
+
+def test_a_share_is_rounded_once(spark):
+    """62.449 shows as 62.4, not by way of 62.45 as 62.5."""
+    from orderlens.functions import pct
+    row = spark.createDataFrame([(62449, 100000)], "a long, b long").select(pct("a", "b", 1)).first()
+    assert str(row[0]) == "62.4"
+
+
+def test_a_repeated_order_counts_once(spark):
+    from orderlens.plans import kpi
+    from orderlens.warehouse import Warehouse
+    stamp = datetime.datetime(2020, 1, 1)
+    rows = [("a", "canceled"), ("a", "canceled"), ("b", "delivered"), ("c", "shipped")]
+    orders = spark.createDataFrame([(i, s, stamp, stamp, stamp) for i, s in rows], "order_id string, order_status string, "
+                                   "order_purchase_timestamp timestamp_ntz, order_delivered_customer_date timestamp_ntz, "
+                                   "order_estimated_delivery_date timestamp_ntz")
+    row = kpi.cancellation(Warehouse.of(spark, orders=orders)).first()
+    assert (row.total_orders, row.cancelled_orders, str(row.cancellation_rate_pct)) == (3, 1, "33.33")
+
+
+def test_scratch_is_removed_when_closed(spark, tmp_path):
+    import os
+
+    from orderlens.session import Scratch, scratch_table
+    with Scratch(spark, "own") as scratch:
+        kept = scratch.keep(spark.range(3).toDF("id"), "numbers")
+        other = scratch.keep(spark.range(3).toDF("id"), "numbers")
+        scratch.remove(kept)
+        assert other.count() == 3 and len(os.listdir(scratch.path)) == 1
+    assert not os.path.exists(scratch.path)
+    name = scratch_table(spark, "t")
+    spark.range(1).write.saveAsTable(name)
+    assert spark.catalog.tableExists(name)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from orderlens import registry
 from orderlens.plans import advanced, intake
-from orderlens.session import scratch_path
+from orderlens.session import scratch_path, scratch_table
 from orderlens.sources import tables
 
 
@@ -51,7 +51,8 @@ def test_status_folders_are_pruned(spark, warehouse):
 
 
 def test_bucketed_facts_join_without_a_shuffle(spark, warehouse):
-    stored = tables.save_order_layout(warehouse, scratch_path(spark, "buckets"), "plan_", 4)
+    stored = tables.save_order_layout(
+        warehouse, scratch_path(spark, "buckets"), {n: scratch_table(spark, n) for n in tables.ORDER_BUCKETED}, 4)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         per_order = stored.order_items.groupBy("order_id").agg(F.sum("price").alias("paid"))
