@@ -24,7 +24,7 @@ HEADLINES = (
     "seller_rank_in_category", "running_and_moving", "customer_revenue_top10",
     "vw_sales", "vw_customers", "vw_products", "vw_sellers", "vw_payments", "vw_delivery", "vw_reviews",
     "vw_monthly_sales", "m_core", "m_category_table", "m_ontime_pct", "m_repeat_rate", "fk_check",
-    "zip_location_counts",
+    "zip_location_counts", "final_validation", "profile_table", "star_relationships", "load_count_check", "m_takeaways",
 )
 
 
