@@ -102,6 +102,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path, self._kept = spark, scratch_path(spark, name), 0
+        self._tables: list[str] = []
 
     def keep(self, df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
         self._kept += 1
@@ -109,6 +110,19 @@ class Scratch:
         df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def keep_bucketed(self, df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+        """As ``keep``, as a table bucketed by a key, so that it meets others on the key without a shuffle.
+
+        Rows stay in the task that made them; a task writes a file for each bucket it has rows of, so it should
+        have few keys.
+        """
+        self._kept += 1
+        table = scratch_table(self.spark, name)
+        self._tables.append(table)
+        df.write.option("compression", "zstd").option("path", f"{self.path}/{self._kept:03d}-{name}").bucketBy(
+            buckets, key).saveAsTable(table)
+        return self.spark.table(table)
+
     def remove(self, *frames: DataFrame) -> None:
         """Remove kept tables that nothing reads any more."""
         for path in {f.rsplit("/part-", 1)[0] for df in frames for f in df.inputFiles()}:
@@ -116,6 +130,8 @@ class Scratch:
             remove_path(self.spark, f"{self.path.rsplit('/', 1)[0]}/{'/'.join(top)}")
 
     def close(self) -> None:
+        for table in self._tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
         remove_path(self.spark, self.path)
 
     def __enter__(self) -> Scratch:
