@@ -273,23 +273,28 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, batc
     blocks = placed.where("kind = 1").select("block", "payload")
     cuts = shard_cuts(partitions * 2)
 
+    asked_schema, told_schema = "shard int, block long, keys binary, counts binary", "block long, shard int, twice binary"
+
     def ask(batches_in):
-        for b in batches_in:
-            for block, payload in zip(b.column("block"), b.column("payload")):
-                keys = np.concatenate([h for d in _unpacked(payload.as_py()) for h in _asked(d, length)])
-                for shard, k, c in questions(*distinct_keys(keys, np.ones(len(keys), np.uint32)), cuts):
-                    yield batch(arrow_schema("shard int, block long, keys binary, counts binary"), [[shard], [block.as_py()], [k], [c]])
+        def rows():
+            for b in batches_in:
+                for block, payload in zip(b.column("block"), b.column("payload")):
+                    keys = np.concatenate([h for d in _unpacked(payload.as_py()) for h in _asked(d, length)])
+                    for shard, k, c in questions(*distinct_keys(keys, np.ones(len(keys), np.uint32)), cuts):
+                        yield shard, block.as_py(), k, c
+        yield from sliced_rows(rows(), arrow_schema(asked_schema))
 
     def add(batches_in):
-        for asked in shard_groups(batches_in, ("shard",)):
-            _, _, own = totals([(r["keys"], r["counts"]) for r in asked])
-            for r, sums in zip(asked, own):
-                yield batch(arrow_schema("block long, shard int, twice binary"), [[r["block"]], [r["shard"]], [np.packbits(
-                    np.concatenate([sums > 1, [True]])).tobytes()]])  # the last bit ends the list
-
-    dealt = map_arrow(blocks, ask, "shard int, block long, keys binary, counts binary") \
+        def rows():
+            for asked in shard_groups(batches_in, ("shard",)):
+                _, _, own = totals([(r["keys"], r["counts"]) for r in asked])
+                for r, sums in zip(asked, own):  # a last bit ends the list
+                    yield r["block"], r["shard"], np.packbits(np.concatenate([sums > 1, [True]])).tobytes()
+        yield from sliced_rows(rows(), arrow_schema(told_schema))
+
+    dealt = map_arrow(blocks, ask, asked_schema) \
         .repartition(partitions, "shard").sortWithinPartitions("shard")
-    answers = scratch.keep(map_arrow(dealt, add, "block long, shard int, twice binary"), "answers")
+    answers = scratch.keep(map_arrow(dealt, add, told_schema), "answers")
     both = (answers.withColumn("payload", F.lit(None).cast("binary"))
             .union(blocks.select("block", F.lit(partitions * 2).alias("shard"), F.lit(None).cast("binary"), "payload"))
             .repartition(partitions, "block").sortWithinPartitions("block", "shard"))
