@@ -149,7 +149,7 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, threshold: float = THRESH
         .join(groups.withColumnRenamed("node", "rep"), "rep", "left")
         .select("h", "g", "least", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("links"),
                 F.coalesce("component", "rep").alias("component")), "placed")
-    least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    least = scratch.keep(placed.groupBy("component").agg(F.min("least").alias("component_id")), "least")
     named = scratch.keep(placed.join(least, "component").select("h", "g", "links", "component_id"), "named")
     return slim.join(named, ["h", "g"], "left").select(
         "vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),

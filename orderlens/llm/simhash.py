@@ -188,7 +188,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = SHINGLE, radi
     groups = components(found, scratch).withColumnRenamed("node", "fp")
     placed = scratch.keep(classes.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp")),
                           "placed")
-    least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    # Written first, so that the join shuffles both sides and a hot component can be split.
+    least = scratch.keep(placed.groupBy("component").agg(F.min("least").alias("component_id")), "least")
     named = scratch.keep(placed.join(least, "component").select("fp", "component_id"), "named")
     return marked.join(named, "fp").select("id", "fp", "component_id")
 
@@ -254,7 +255,7 @@ def similar_documents(docs: DataFrame, scratch: Scratch, size: int = SIMILAR_SHI
     groups = components(links(classes, masks, 1, words, similar_radius(similarity)), scratch)
     placed = scratch.keep(classes.select("node", "least").join(groups, "node", "left")
                           .select("node", "least", F.coalesce("component", "node").alias("component")), "placed")
-    stays = placed.groupBy("component").agg(F.min("least").alias("stays"))
+    stays = scratch.keep(placed.groupBy("component").agg(F.min("least").alias("stays")), "stays")
     named = scratch.keep(placed.join(stays, "component").select("node", "stays"), "named")
     return marked.select("doc", "th", "node").distinct().join(named, "node").select(
         "doc", "th", (F.struct("doc", "th") == F.col("stays")).alias("first"))
