@@ -38,6 +38,7 @@ _SCHEMAS: dict[str, tuple[tuple[tuple[str, str, bool], ...], tuple[str, ...]]] =
     "category_translation": ((("product_category_name", _STR, True), ("product_category_name_english", _STR, True)),
                              ("product_category_name",)),
 }
+_MEASURES = ("product_weight_g", "product_length_cm", "product_height_cm", "product_width_cm")
 _REFERENCES = (("orders", "customers", "customer_id"), ("order_items", "orders", "order_id"),
                ("order_items", "products", "product_id"), ("order_items", "sellers", "seller_id"),
                ("payments", "orders", "order_id"), ("reviews", "orders", "order_id"))
@@ -120,7 +121,11 @@ def _as_text(table: str, *texts: str) -> str:
     """Table columns with the given ids as text and money as doubles."""
     parts = []
     for name, kind, _ in _SCHEMAS[table][0]:
-        if name in texts:
+        if name in _MEASURES:
+            parts.append(f"CAST({name} AS DOUBLE) AS {name}")
+        elif name == "product_category_name":  # blank is null after cleaning
+            parts.append(f"nullif(trim({name}), '') AS {name}")
+        elif name in texts:
             parts.append(f"CAST({name} AS VARCHAR) AS {name}")
         elif kind == _MONEY:
             parts.append(f"{money(name)} AS {name}")
@@ -249,3 +254,8 @@ INTAKE = {
             {f'(SELECT count(*) FROM (SELECT DISTINCT * FROM t_{t}))' if t == 'geolocation' else 'count(*)'} AS clean_rows
             FROM t_{t}""" for t in _SCHEMAS),
 }
+for _table, (_listed, _) in _SCHEMAS.items():
+    _sql = _as_text(_table, *[name for name, kind, _ in _listed if kind == _ID])
+    INTAKE[f"clean_{_table}"] = _sql.replace("SELECT", "SELECT DISTINCT", 1) if _table == "geolocation" else _sql
+    # Reading goes through the recipe, which keeps distinct places only.
+    INTAKE[f"csv_{_table}"] = INTAKE[f"clean_{_table}"]

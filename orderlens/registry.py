@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orderlens.contracts import CONTRACTS
 from orderlens.operators import quality
 from orderlens.operators.calendar import date_dim
 from orderlens.plans import (
@@ -75,6 +76,15 @@ INTAKE: dict[str, Callable[[Warehouse], DataFrame]] = {
     "clean_tables_counts": intake.cleaned_counts,
 }
 
+def _measures_as_double(df: DataFrame) -> DataFrame:
+    """Measures that the star schema leaves empty, as doubles (see above)."""
+    return df.select([F.col(c).cast("double").alias(c) if c in quality.MEASURES else F.col(c) for c in df.columns])
+
+
+# Every table through its cleaning recipe, and written as CSV and read back, value by value.
+INTAKE |= {f"clean_{name}": lambda w, name=name: _measures_as_double(intake.cleaned(w, name)) for name in CONTRACTS}
+INTAKE |= {f"csv_{name}": lambda w, name=name: _measures_as_double(intake.csv_round_trip(w, name)) for name in CONTRACTS}
+
 ANALYSES: dict[str, Callable[[Warehouse], DataFrame]] = {
     "kpi_overall": kpi.overall,
     "kpi_monthly_mom": kpi.monthly_growth,
