@@ -164,6 +164,18 @@ INTAKE = {
         for view in ("vw_customers", "vw_products", "vw_sellers", "vw_monthly_sales", "vw_sales")),
     "layout_status": """
         SELECT customer_id, count(*) AS delivered_orders FROM t_orders WHERE order_status = 'delivered' GROUP BY 1""",
+    "layout_customer_status": """
+        SELECT customer_id, count(*) AS delivered_orders FROM t_orders WHERE order_status = 'delivered' GROUP BY 1""",
+    "collation_lookup": """
+        SELECT count(*) AS customers, count(DISTINCT lower(customer_city)) AS cities
+        FROM t_customers WHERE lower(customer_state) = 'nation_1'""",
+    # Degrees times 10^8 are whole numbers, so sums and quartiles are exact until the last division.
+    "describe_latitude": """
+        SELECT 'geolocation_lat' AS "column", count(*) AS "count", round(sum(x) / 1e8 / count(*), 10) AS mean,
+               round(stddev_samp(x / 1e8), 10) AS std, min(x) / 1e8 AS min, max(x) / 1e8 AS max,
+               round(quantile_cont(x, 0.25) / 1e8, 10) AS p25, round(quantile_cont(x, 0.5) / 1e8, 10) AS p50,
+               round(quantile_cont(x, 0.75) / 1e8, 10) AS p75
+        FROM (SELECT CAST(round(CAST(geolocation_lat AS DOUBLE) * 1e8) AS BIGINT) AS x FROM t_geolocation)""",
     "layout_bucketed": f"""
         SELECT order_status, count(*) AS orders, {money('sum(paid)')} AS paid, CAST(sum(reviews) AS BIGINT) AS reviews
         FROM t_orders JOIN (SELECT order_id, sum(payment_value) AS paid FROM t_payments GROUP BY 1) USING (order_id)

@@ -108,6 +108,20 @@ def status_layout(w: Warehouse) -> DataFrame:
         F.count("*").alias("delivered_orders"))
 
 
+def customer_status_layout(w: Warehouse, buckets: int | None = None) -> DataFrame:
+    """Delivered orders per customer, read from orders stored by status and bucketed by customer."""
+    buckets = buckets or int(w.spark.conf.get("spark.sql.shuffle.partitions"))
+    stored = tables.save_by_customer_status(
+        w.orders, scratch_table(w.spark, "orders_by_customer"), scratch_path(w.spark, "orders-by-customer"), buckets)
+    return stored.filter(F.col("order_status") == "delivered").groupBy("customer_id").agg(F.count("*").alias("delivered_orders"))
+
+
+def collated_lookup(w: Warehouse) -> DataFrame:
+    """Customers of a state that is spelt in another case, under a collation that ignores case and accents."""
+    found = w.collated("UNICODE_CI_AI").customers.filter(F.col("customer_state") == "Nàtion_1")
+    return found.agg(F.count("*").alias("customers"), F.count_distinct("customer_city").alias("cities"))
+
+
 def bucketed_layout(w: Warehouse, buckets: int | None = None) -> DataFrame:
     """Reviews and payments per order status from facts bucketed by order: the joins on
     the order need no shuffle. As many buckets as shuffles have partitions, unless given."""

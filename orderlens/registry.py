@@ -37,7 +37,10 @@ INTAKE: dict[str, Callable[[Warehouse], DataFrame]] = {
     "table_scan": intake.order_preview,
     "view_publish": intake.published_totals,
     "layout_status": intake.status_layout,
+    "layout_customer_status": intake.customer_status_layout,
     "layout_bucketed": intake.bucketed_layout,
+    "collation_lookup": intake.collated_lookup,
+    "describe_latitude": lambda w: quality.describe_numeric(w.geolocation, "geolocation_lat"),
     "profile_table": quality.profile_all,
     "pk_check": quality.pk_check,
     "dup_key_rows": lambda w: quality.dup_key_rows(w.reviews, "review_id"),

@@ -71,6 +71,14 @@ def save_bucketed(df: DataFrame, name: str, path: str, buckets: int, key: str =
     return df.sparkSession.table(name)
 
 
+def save_by_customer_status(orders: DataFrame, name: str, path: str, buckets: int) -> DataFrame:
+    """Orders in one folder per status, in it bucketed by customer: a status filter prunes folders, and a
+    roll-up per customer needs no shuffle."""
+    orders.repartition(buckets, F.pmod(F.hash("customer_id"), F.lit(buckets))).write.mode("overwrite").partitionBy(
+        "order_status").bucketBy(buckets, "customer_id").sortBy("customer_id").option("path", path).saveAsTable(name)
+    return orders.sparkSession.table(name)
+
+
 def save_order_layout(w: Warehouse, folder: str, names: dict[str, str], buckets: int) -> Warehouse:
     """The warehouse with its order facts bucketed by order under the given catalog names; other tables stay as they are."""
     saved = {name: save_bucketed(w.table(name), names[name], f"{folder}/{name}", buckets) for name in ORDER_BUCKETED}

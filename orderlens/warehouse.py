@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orderlens.contracts import CONTRACTS
 
@@ -26,6 +28,15 @@ class Warehouse:
             self._tables[name] = self._load(name)
         return self._tables[name]
 
+    def collated(self, collation: str) -> Warehouse:
+        """The same tables with their text under a collation, ``UNICODE_CI_AI`` for one that ignores case and accents.
+        Filters, joins and groups on text then follow it."""
+        def load(name: str) -> DataFrame:
+            df = self.table(name)
+            return df.select([F.collate(F.col(f.name), collation).alias(f.name) if isinstance(f.dataType, T.StringType)
+                              else F.col(f.name) for f in df.schema.fields])
+        return Warehouse(self.spark, load)
+
     def tables(self) -> dict[str, DataFrame]:
         return {name: self.table(name) for name in CONTRACTS}
 

@@ -72,3 +72,8 @@ def test_single_task_windows_only_see_reports(spark, warehouse):
 def test_published_views_agree(spark, warehouse):
     totals = {(r["items"], r["revenue"]) for r in intake.published_totals(warehouse).collect()}
     assert len(totals) == 1
+
+
+def test_customer_status_layout_prunes_folders_and_needs_no_shuffle(warehouse):
+    text = plan(intake.customer_status_layout(warehouse, 4))
+    assert re.search(r"PartitionFilters: \[[^\]]*order_status[^\]]*delivered", text) and "Exchange" not in text
