@@ -178,7 +178,6 @@ def test_chat_formatting_stays_native(spark):
 # --- archives ---------------------------------------------------------------------------------
 
 def test_archives_come_back_whole(spark, scratch):
-    from orderlens.llm.common import arrow_schema  # noqa: F401
     long = "WARC/1.1\r\n\r\nContent-Length: 5\r\n\r\n" * 9000
     pages = [(3, "http://a b\r\nX: y", "p" * 100), (1, "http://u", "p" * 100), (2, None, "p" * 99), (4, "u", "p" * 99), (5, "u", None),
              (6, "u", ""), (7, "u", long), (8, "u", long), (9, "u", long + "é"), (9, "u", long + "é"), (None, "u", "n" * 200), (11, "u", "\r\n\r\n")]
