@@ -226,7 +226,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, batc
     matched = scratch.keep(matched, "matched")
     kinds = scratch.keep(matched.groupBy("key", "stretch").agg(
         F.count("*").alias("n"), F.min(F.struct("doc", "th", "first")).alias("asker")), "kinds")
-    several = kinds.groupBy("key").agg(F.count("*").alias("kinds"))
+    several = scratch.keep(kinds.groupBy("key").agg(F.count("*").alias("kinds")), "counts")
     kinds = scratch.keep(kinds.join(several, "key"), "several")
     known = (matched.join(kinds, ["key", "stretch"])
              .select("doc", "th", "first", "runs", ((F.col("n") > 1) | F.col("repeated")).alias("repeated"),
