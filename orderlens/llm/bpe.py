@@ -12,13 +12,15 @@ import base64
 import hashlib
 import re
 import zlib
+from functools import cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.llm.blocks import blocks, from_planes, gathered, planes
-from orderlens.llm.common import arrow_schema, batch, map_arrow, shuffle_partitions, utf8
+from orderlens.llm.common import arrow_schema, batch, map_arrow, shuffle_partitions, sliced_rows, utf8
 from orderlens.session import Scratch
 
 STORED = "block long, documents int, ids binary, lengths binary, numbers binary, words int, word_lengths binary, word_bytes binary"
@@ -32,6 +34,16 @@ def ranks_of(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
 
 
+@cache
+def token_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all tokens in the order of their ids, with the start and length of each."""
+    table = ranks_of(path)
+    tokens = sorted(table, key=table.__getitem__)
+    length = np.zeros(max(table.values()) + 1, np.int64)
+    length[[table[t] for t in tokens]] = [len(t) for t in tokens]
+    return np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(length) - length, length
+
+
 def splitter(pattern: str):
     """Finds the pre-tokens of a text. Texts of Latin-1 characters alone go through the standard library's
     matcher with the classes written out, which gives the same and is faster."""
@@ -85,37 +97,41 @@ def stored_blocks(docs: DataFrame, pattern: str, shards: int) -> DataFrame:
 def encoded_words(stored: DataFrame, ranks_path: str, pattern: str, shards: int) -> DataFrame:
     """Ids of the words of every block and shard, each distinct word encoded once."""
     def ask(batches):
-        for b in batches:
-            for block, packed, data in zip(b.column("block"), b.column("word_lengths"), b.column("word_bytes")):
-                packed, data = packed.as_py(), data.as_py()
-                counts = np.frombuffer(packed[:4 * shards], np.uint32)
-                lengths = from_planes(packed[4 * shards:], np.uint32)
-                ends, at = np.cumsum(counts), np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
-                for s in np.flatnonzero(counts):
-                    i, j = ends[s] - counts[s], ends[s]
-                    yield batch(arrow_schema(ASKED), [[block.as_py()], [int(s)], [int(counts[s])], [planes(lengths[i:j])],
-                                                      [data[at[i]:at[j]]]])
+        def rows():
+            for b in batches:
+                for block, packed, data in zip(b.column("block"), b.column("word_lengths"), b.column("word_bytes")):
+                    packed, data = packed.as_py(), data.as_py()
+                    counts = np.frombuffer(packed[:4 * shards], np.uint32)
+                    lengths = from_planes(packed[4 * shards:], np.uint32)
+                    ends, at = np.cumsum(counts), np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+                    for s in np.flatnonzero(counts).tolist():
+                        i, j = int(ends[s] - counts[s]), int(ends[s])
+                        yield block.as_py(), s, j - i, planes(lengths[i:j]), data[at[i]:at[j]]
+        yield from sliced_rows(rows(), arrow_schema(ASKED))
 
     def answer(batches):
         import tiktoken
         encoding = tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=ranks_of(ranks_path), special_tokens={})
-        known: dict[bytes, bytes] = {}
-        shard = None
-        for b in batches:
-            for block, s, n, packed, data in zip(*(b.column(c).to_pylist() for c in ("block", "shard", "words", "word_lengths", "word_bytes"))):
-                if s != shard:
-                    shard, known = s, {}
-                found, at = [], 0
-                for length in from_planes(packed, np.uint32).tolist():
-                    word = data[at:at + length]
-                    at += length
-                    ids = known.get(word)
-                    if ids is None:
-                        ids = known[word] = np.array(encoding.encode_ordinary(word.decode()), "<u4").tobytes()
-                    found.append(ids)
-                lengths = np.fromiter(map(len, found), np.uint32, n) // 4
-                yield batch(arrow_schema(ANSWER), [[block], [s], [n], [planes(lengths)],
-                                                   [planes(np.frombuffer(b"".join(found), "<u4"))]])
+
+        def rows():
+            known: dict[bytes, bytes] = {}
+            shard = None
+            for b in batches:
+                for block, s, n, packed, data in zip(*(b.column(c).to_pylist() for c in
+                                                       ("block", "shard", "words", "word_lengths", "word_bytes"))):
+                    if s != shard:
+                        shard, known = s, {}
+                    found, at = [], 0
+                    for length in from_planes(packed, np.uint32).tolist():
+                        word = data[at:at + length]
+                        at += length
+                        ids = known.get(word)
+                        if ids is None:
+                            ids = known[word] = np.array(encoding.encode_ordinary(word.decode()), "<u4").tobytes()
+                        found.append(ids)
+                    lengths = np.fromiter(map(len, found), np.uint32, n) // 4
+                    yield block, s, n, planes(lengths), planes(np.frombuffer(b"".join(found), "<u4"))
+        yield from sliced_rows(rows(), arrow_schema(ANSWER))
 
     asked = map_arrow(stored.select("block", "word_lengths", "word_bytes"), ask, ASKED)
     dealt = asked.repartition(shuffle_partitions(stored.sparkSession), "shard").sortWithinPartitions("shard")
@@ -131,46 +147,34 @@ def encode(docs: DataFrame, scratch: Scratch, ranks_path: str, pattern: str) ->
     """
     partitions = shuffle_partitions(docs.sparkSession)
     shards = partitions
-    stored = scratch.keep(stored_blocks(docs, pattern, shards), "blocks")
+    stored = scratch.keep_bucketed(stored_blocks(docs, pattern, shards), "blocks", "block", partitions)
     answers = encoded_words(stored, ranks_path, pattern, shards)
-    own = stored.select("block", F.lit(shards).alias("part"), F.col("documents").alias("words"),
-                        F.concat("ids", "lengths").alias("word_lengths"), F.col("numbers").alias("data"))
-    dealt = answers.union(own).repartition(partitions, "block").sortWithinPartitions("block", "part")
-
-    def place(batches):
-        table = ranks_of(ranks_path)
-        tokens = sorted(table, key=table.__getitem__)
-        token_bytes = np.frombuffer(b"".join(tokens), np.uint8)
-        token_length = np.zeros(max(table.values()) + 1, np.int64)
-        token_length[[table[t] for t in tokens]] = [len(t) for t in tokens]
-        token_start = np.cumsum(token_length) - token_length
-        held: dict[int, tuple] = {}
-        for b in batches:
-            for part, n, packed, data in zip(*(b.column(c).to_pylist() for c in ("part", "words", "word_lengths", "data"))):
-                if part < shards:
-                    held[part] = from_planes(packed, np.uint32).astype(np.int64), from_planes(data, np.uint32)
-                    continue
-                size = max((len(x) for x, _ in held.values()), default=0) * shards
-                length, start, every, at = np.zeros(size, np.int64), np.zeros(size, np.int64), [], 0
-                for s, (lengths, ids) in held.items():
-                    where = np.arange(len(lengths)) * shards + s
-                    length[where], start[where] = lengths, at + np.cumsum(lengths) - lengths
-                    every.append(ids)
-                    at += len(ids)
-                every, held = np.concatenate(every) if every else np.empty(0, np.uint32), {}
-                doc_ids, lengths = from_planes(packed[:8 * n], np.int64), from_planes(packed[8 * n:], np.uint32)
-                numbers, at, rows = from_planes(data, np.uint32), 0, []
-                for doc_id, count in zip(doc_ids.tolist(), lengths.tolist()):
-                    here = numbers[at:at + count]
-                    at += count
-                    ids = gathered(every, start[here], length[here])
-                    decoded = hashlib.sha256()
-                    for k in range(0, len(ids), 1 << 16):  # a long text is decoded piece by piece
-                        some = ids[k:k + (1 << 16)]
-                        decoded.update(gathered(token_bytes, token_start[some], token_length[some]))
-                    rows.append((None if doc_id == -1 << 63 else doc_id, len(ids),
-                                 hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), decoded.hexdigest()))
-                if rows:
-                    yield batch(arrow_schema(RESULT), zip(*rows))
-
-    return map_arrow(dealt.drop("block"), place, RESULT)
+    own = stored.select("block", "documents", "ids", "lengths", "numbers")
+
+    def place(told, block):
+        token_bytes, token_start, token_length = token_table(ranks_path)
+        held = {part: (from_planes(packed, np.uint32).astype(np.int64), from_planes(data, np.uint32)) for part, packed, data in zip(
+            *(told.column(c).to_pylist() for c in ("part", "word_lengths", "data")))}
+        size = max((len(x) for x, _ in held.values()), default=0) * shards
+        length, start, every, at = np.zeros(size, np.int64), np.zeros(size, np.int64), [np.empty(0, np.uint32)], 0
+        for s, (lengths, ids) in held.items():
+            where = np.arange(len(lengths)) * shards + s
+            length[where], start[where] = lengths, at + np.cumsum(lengths) - lengths
+            every.append(ids)
+            at += len(ids)
+        every, row = np.concatenate(every), block.to_pylist()[0]
+        doc_ids, lengths = from_planes(row["ids"], np.int64), from_planes(row["lengths"], np.uint32)
+        numbers, at, rows = from_planes(row["numbers"], np.uint32), 0, []
+        for doc_id, count in zip(doc_ids.tolist(), lengths.tolist()):
+            here = numbers[at:at + count]
+            at += count
+            ids = gathered(every, start[here], length[here])
+            decoded = hashlib.sha256()
+            for k in range(0, len(ids), 1 << 16):  # a long text is decoded piece by piece
+                some = ids[k:k + (1 << 16)]
+                decoded.update(gathered(token_bytes, token_start[some], token_length[some]))
+            rows.append((None if doc_id == -1 << 63 else doc_id, len(ids),
+                         hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), decoded.hexdigest()))
+        return pa.Table.from_batches([batch(arrow_schema(RESULT), zip(*rows))])
+
+    return answers.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(place, RESULT)
