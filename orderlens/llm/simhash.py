@@ -16,7 +16,9 @@ forest of the links leaves it.
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import accumulate
+from operator import add
 
 import numpy as np
 import xxhash
@@ -205,8 +207,10 @@ SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
 WORDS, MARGIN = 8, 12
 #: Odd numbers that spread a shingle's hash over the words.
 _SPREAD = np.random.default_rng(8).integers(0, 1 << 63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
-#: Zones of the search fingerprint of single words: a pair with up to 8 differing bits of 64 has at most 2 in one of them.
-SEARCH_ZONES = 3
+#: Independent search keys of a document, each of so many least shingle hashes: a pair at the similarity of 0.8 shares
+#: none with a chance of (1 - 0.8 ** 5) ** 20, about 0.0004, however its words differ.
+BANDS, ROWS = 20, 5
+_ORDERS = np.random.default_rng(80).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def similar_radius(similarity: float = SIMILARITY) -> int:
@@ -224,35 +228,74 @@ def _majority(hashes: np.ndarray, words: int) -> list[int]:
     return np.packbits(counts * 2 > len(hashes)).view(np.int64).tolist()
 
 
+def _digest(data: bytes, seed: int = 0) -> int:
+    return int.from_bytes(xxhash.xxh64_digest(data, seed), "big", signed=True)
+
+
+def bands(shingles: np.ndarray) -> list[int]:
+    """Search keys of a set of shingles; two sets share each one with the chance of their similarity to the power of ``ROWS``."""
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for at in range(0, len(shingles), 1 << 10):
+        np.minimum(least, (shingles[at:at + (1 << 10), None] * _ORDERS).min(0), out=least)
+    return [_digest(part.tobytes(), i) for i, part in enumerate(least.reshape(BANDS, ROWS))]
+
+
+def _possible(left: str, right: str, words: tuple[str, ...], similarity: float, radius: int):
+    """Whether a pair can be similar by the sizes of its sets and by its fingerprints."""
+    apart = reduce(add, [F.bit_count(F.col(f"{left}.{w}").bitwiseXOR(F.col(f"{right}.{w}"))) for w in words])
+    x, y = F.col(f"{left}.n"), F.col(f"{right}.n")
+    return (F.least(x, y) >= F.lit(similarity) * F.greatest(x, y) - 1e-6) & (apart <= radius)
+
+
 def similar_documents(docs: DataFrame, scratch: Scratch, size: int = SIMILAR_SHINGLE,
                       similarity: float = SIMILARITY) -> DataFrame:
     """(doc, th, first): every row by its id and text hash, and whether it is the one of its group that stays.
 
-    Pairs are found by the variants of a fingerprint of their distinct single words, which edits hardly change, and
-    decided by a fingerprint of ``WORDS`` times 64 bits of their word shingles. The row with the least id stays,
+    Equal sets of word shingles are one class. Classes that share one of ``BANDS`` keys meet: first each with the least
+    of its key, then, where a key still holds several groups, those outside the group of the least with all of others.
+    A meeting is decided by a fingerprint of ``WORDS`` times 64 bits of the shingles. The row with the least id stays,
     with the least hash among repeated ids; rows that are equal in both are one. Null ids come first.
     """
     words = tuple(f"w{i}" for i in range(WORDS))
-    schema = ", ".join(f"{c} long" for c in ("doc", "th", "fp", *words))
+    schema = ", ".join(("doc long, th long, node long, n long, keys array<long>", *(f"{w} long" for w in words)))
 
     def work(batches):
         for b in batches:
             rows = []
             for text in b.column("text"):
-                data = text.as_py()
-                single = np.fromiter(map(xxhash.xxh64_intdigest, set(data.lower().split())), np.uint64)
-                rows.append((*_majority(single, 1), *_majority(shingle_hashes(data, size), WORDS)))
-            yield batch(arrow_schema(schema), [b.column("doc"), b.column("th"), *zip(*rows)])
+                shingles = np.unique(shingle_hashes(text.as_py(), size))
+                rows.append((_digest(shingles.tobytes()), len(shingles), bands(shingles), *_majority(shingles, WORDS)))
+            if rows:
+                yield batch(arrow_schema(schema), [b.column("doc"), b.column("th"), *zip(*rows)])
 
     source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1 << 63)).alias("doc"),
                          F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), utf8().alias("text"))
-    marked = scratch.keep(map_arrow(source, work, schema).withColumn("node", F.xxhash64("fp", *words)), "marked")
-    classes = scratch.keep(marked.groupBy("node").agg(F.first("fp").alias("fp"), *[F.first(w).alias(w) for w in words],
+    marked = scratch.keep(map_arrow(source, work, schema), "marked")
+    classes = scratch.keep(marked.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "keys", *words)],
                                                       F.min(F.struct("doc", "th")).alias("least")), "classes")
-    every = (1 << 64) - 1
-    cuts = [64 * i // SEARCH_ZONES for i in range(SEARCH_ZONES + 1)]
-    masks = [np.uint64(every ^ sum(1 << i for i in range(x, y))) for x, y in zip(cuts, cuts[1:])]
-    groups = components(links(classes, masks, 1, words, similar_radius(similarity)), scratch)
+    bits, radius = classes.select("node", "n", *words), similar_radius(similarity)
+    keyed = classes.select(F.explode("keys").alias("key"), "node")
+    heads = scratch.keep(keyed.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("rows"))
+                         .where("rows > 1").select("key", "head"), "heads")
+    met = scratch.keep(keyed.join(heads, "key"), "met")
+    pairs = scratch.keep(met.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    near = pairs.join(bits.alias("x"), F.col("a") == F.col("x.node")).join(bits.alias("y"), F.col("b") == F.col("y.node"))
+    found = scratch.keep(near.where(_possible("x", "y", words, similarity, radius)).select("a", "b"), "found")
+    groups = components(found, scratch)
+    # Keys with several groups: whoever is outside the group of the least meets all of other groups.
+    placed = scratch.keep(met.join(groups, "node", "left").select(
+        "key", "node", "head", F.coalesce("component", "node").alias("own")), "met-placed")
+    several = scratch.keep(placed.groupBy("key").agg(
+        F.max(F.when(F.col("node") == F.col("head"), F.col("own"))).alias("home"), F.min("own").alias("low"),
+        F.max("own").alias("high")).where("low <> high").select("key", "home"), "several")
+    apart = scratch.keep(placed.select("key", "node", "own").join(several, "key"), "apart")
+    apart = scratch.keep(apart.join(bits, "node"), "apart-bits")
+    x, y = apart.where("own <> home").alias("x"), apart.alias("y")
+    crossed = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.own") != F.col("y.own"))
+                     & _possible("x", "y", words, similarity, radius))
+    crossed = scratch.keep(crossed.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+                           .distinct(), "crossed")
+    groups = components(found.union(crossed), scratch)
     placed = scratch.keep(classes.select("node", "least").join(groups, "node", "left")
                           .select("node", "least", F.coalesce("component", "node").alias("component")), "placed")
     stays = scratch.keep(placed.groupBy("component").agg(F.min("least").alias("stays")), "stays")

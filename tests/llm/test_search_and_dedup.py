@@ -115,6 +115,48 @@ def test_similar_documents_keep_one_of_a_group(spark, scratch):
     assert simhash.similar_documents(documents(spark).limit(0), scratch).count() == 0
 
 
+def jaccard(left, right):
+    x, y = (set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in (left, right))
+    return len(x & y) / len(x | y)
+
+
+def edited_pairs(low, high, each=24):
+    """Texts with an appended, truncated or scattered edit of it whose exact similarity is in a range."""
+    random, pairs = np.random.default_rng(21), []
+    for n in (10, 40, 300, 1000, 5000):
+        kinds = Counter()
+        while min(kinds[k] for k in range(3)) < each // (1 + n // 1000) and sum(kinds.values()) < 3 * each:
+            words = [f"w{i}" for i in random.zipf(1.3, n) % 50_000]
+            share = random.uniform(1 - high, 1 - low)
+            kind = int(np.argmin([kinds[k] for k in range(3)]))
+            if kind == 0:
+                other = words + [f"v{i}" for i in random.zipf(1.3, max(1, round(n * share / (1 - share)))) % 50_000]
+            elif kind == 1:
+                other = words[:n - max(1, round(n * share))]
+            else:
+                other = list(words)
+                for at in random.choice(n, max(1, round(n * share / 10)), replace=False):
+                    other[at] = f"e{at}"
+            left, right = " ".join(words), " ".join(other)
+            kinds[kind] += 1
+            if low <= jaccard(left, right) < high:
+                pairs.append((left, right))
+    return pairs
+
+
+def kept_of_pairs(spark, scratch, pairs):
+    rows = [(2 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p)]
+    found = simhash.similar_documents(documents(spark, *rows), scratch)
+    return {r.doc for r in found.where("first").collect()}
+
+
+def test_appended_truncated_and_scattered_copies_meet(spark, scratch):
+    pairs = edited_pairs(0.84, 0.92)
+    assert len(pairs) > 150
+    kept = kept_of_pairs(spark, scratch, pairs)
+    assert sum(2 * i + 1 in kept for i in range(len(pairs))) <= 0.01 * len(pairs)
+
+
 # --- embeddings -------------------------------------------------------------------------------
 
 def clusters(seed=0, dim=16):
