@@ -112,6 +112,8 @@ def encoded_words(stored: DataFrame, ranks_path: str, pattern: str, shards: int)
     def answer(batches):
         import tiktoken
         encoding = tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=ranks_of(ranks_path), special_tokens={})
+        # A word is a pre-token already: merges alone, as tiktoken's matcher raises on a million of white space.
+        merged = encoding._core_bpe.encode_single_piece
 
         def rows():
             known: dict[bytes, bytes] = {}
@@ -127,7 +129,7 @@ def encoded_words(stored: DataFrame, ranks_path: str, pattern: str, shards: int)
                         at += length
                         ids = known.get(word)
                         if ids is None:
-                            ids = known[word] = np.array(encoding.encode_ordinary(word.decode()), "<u4").tobytes()
+                            ids = known[word] = np.array(merged(word), "<u4").tobytes()
                         found.append(ids)
                     lengths = np.fromiter(map(len, found), np.uint32, n) // 4
                     yield block, s, n, planes(lengths), planes(np.frombuffer(b"".join(found), "<u4"))

@@ -13,12 +13,15 @@ tokens at least fill is done at once, as nothing can be better.
 from __future__ import annotations
 
 import json
+import re
 import zlib
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orderlens.llm.bpe import splitter
 from orderlens.llm.common import arrow_schema, batch, map_arrow, shuffle_partitions, sliced_rows, utf8
 from orderlens.session import Scratch
 
@@ -43,17 +46,44 @@ def encoding_of(path: str, pattern: str):
     return tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
 
+#: Characters from which a text is cut into pre-tokens outside tiktoken, whose matcher raises where a million of white
+#: space follow each other.
+WHOLE_CHARACTERS = 500_000
+
+
+def encoder(path: str, pattern: str):
+    """Gives the ids of a text of any length, as the tokenizer file's own library does."""
+    encoding, split = encoding_of(path, pattern), splitter(pattern)
+    special = {t: encoding.encode_single_token(t) for t in encoding.special_tokens_set}
+    parts_of = re.compile(f"({'|'.join(map(re.escape, sorted(special, key=len, reverse=True)))})").split if special else lambda t: [t]
+    # One pre-token at a time, by merges alone.
+    merged = encoding._core_bpe.encode_single_piece
+
+    def encode(text: str) -> np.ndarray:
+        if len(text) < WHOLE_CHARACTERS:
+            return np.array(encoding.encode(text, allowed_special="all"), "<u4")
+        ids = array("I")
+        for part in parts_of(text):
+            if part in special:
+                ids.append(special[part])
+            else:
+                for word in split(part):
+                    ids.extend(merged(word.encode()))
+        return np.frombuffer(ids, np.uint32).astype("<u4")
+
+    return encode
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, pattern: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document; null texts are empty and hold the end id alone."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
     def work(batches):
-        encoding = encoding_of(tokenizer_path, pattern)
+        encode = encoder(tokenizer_path, pattern)
 
         def rows(b):
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
-                ids = encoding.encode(text.as_py().decode("utf-8", "replace"), allowed_special="all")
-                ids = np.array([*ids, end_id], "<u4").tobytes()
+                ids = np.append(encode(text.as_py().decode("utf-8", "replace")), np.array([end_id], "<u4")).tobytes()
                 count = len(ids) // 4
                 cuts = [0, *range(count % length or length, count + 1, length)]
                 for k, (s, e) in enumerate(zip(cuts, cuts[1:])):

@@ -247,6 +247,23 @@ def test_pieces_and_sequences(spark, scratch):
     assert packing.pack(empty, scratch).count() == 0
 
 
+@pytest.mark.parametrize("characters", [" ", "\n", " \n", "\t  x"])
+def test_very_long_runs_have_the_ids_of_the_tokenizer(spark, scratch, characters):
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    text = "a<|endoftext|> b" + characters * (2_000_000 // len(characters)) + "c's é漢 <|endoftext|>"
+    ids = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    found = packing.pieces(documents(spark, [(1, text)]), path, public_tokenizers.PATTERN, 1 << 30).collect()
+    expected = np.array([*ids, 0], "<u4").tobytes()
+    assert [(r.start, r.length, r.ids_crc32) for r in found] == [(0, len(ids) + 1, zlib.crc32(expected))]
+    plain = "b" + characters * (2_000_000 // len(characters)) + "c's é漢"
+    ids = np.array(Tokenizer.from_file(path).encode(plain, add_special_tokens=False).ids, "<u4")
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    (row,) = bpe.encode(documents(spark, [(1, plain)]), scratch, ranks, public_tokenizers.PATTERN).collect()
+    assert (row.n_tokens, row.ids_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest())
+    assert row.decoded_sha256 == hashlib.sha256(plain.encode()).hexdigest()
+
+
 def test_crossover_keeps_every_item_once_and_never_overfills():
     random = np.random.default_rng(0)
     sizes = random.integers(300, 1500, 400)
