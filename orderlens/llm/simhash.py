@@ -21,11 +21,12 @@ from itertools import accumulate
 from operator import add
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import arrow_schema, batch, bounds, forest, map_arrow, runs, shuffle_partitions, utf8
+from orderlens.llm.common import arrow_schema, batch, bounds, forest, map_arrow, runs, shuffle_partitions, sliced_rows, utf8
 from orderlens.llm.components import components
 from orderlens.session import Scratch
 
@@ -205,6 +206,9 @@ SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
 #: Words of 64 bits of the compared fingerprint, and bits by which a pair may miss the expected
 #: distance of the similarity itself, about one and a half standard deviations.
 WORDS, MARGIN = 8, 12
+#: The same margin for candidates that are compared by their shingles afterwards: five standard deviations, for the
+#: shortest texts as well, whose odd and even sets differ most.
+CANDIDATE_MARGIN = 65
 #: Odd numbers that spread a shingle's hash over the words.
 _SPREAD = np.random.default_rng(8).integers(0, 1 << 63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
 #: Independent search keys of a document, each of so many least shingle hashes: a pair at the similarity of 0.8 shares
@@ -213,9 +217,9 @@ BANDS, ROWS = 20, 5
 _ORDERS = np.random.default_rng(80).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def similar_radius(similarity: float = SIMILARITY) -> int:
+def similar_radius(similarity: float = SIMILARITY, margin: int = MARGIN) -> int:
     """Differing bits at a Jaccard similarity: its cosine gives the angle, the angle the share of bits."""
-    return round(WORDS * 64 * math.acos(2 * similarity / (1 + similarity)) / math.pi) + MARGIN
+    return round(WORDS * 64 * math.acos(2 * similarity / (1 + similarity)) / math.pi) + margin
 
 
 def _majority(hashes: np.ndarray, words: int) -> list[int]:
@@ -247,13 +251,44 @@ def _possible(left: str, right: str, words: tuple[str, ...], similarity: float,
     return (F.least(x, y) >= F.lit(similarity) * F.greatest(x, y) - 1e-6) & (apart <= radius)
 
 
+def _alike(pairs: DataFrame, source: DataFrame, classes: DataFrame, scratch: Scratch, size: int, similarity: float) -> DataFrame:
+    """The stored pairs (a, b) of classes whose sets of shingles are similar, by the text of one document of each."""
+    def shingled(batches):
+        out = arrow_schema("node long, shingles binary")
+
+        def rows():
+            for b in batches:
+                for node, text in zip(b.column("node").to_pylist(), b.column("text")):
+                    yield node, np.unique(shingle_hashes(text.as_py(), size)).tobytes()
+        yield from sliced_rows(rows(), out)
+
+    def compare(batches):
+        for b in batches:
+            hit = []
+            for x, y in zip(b.column("x"), b.column("y")):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                hit.append(both >= similarity * (len(x) + len(y) - both) - 1e-6)
+            yield b.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
+
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ends = scratch.keep(classes.select("node", "least.*").join(ends, "node"), "ends")
+    texts = source.join(ends, ["doc", "th"]).select("node", "text")
+    # Repeated rows have the same text.
+    sets = scratch.keep(map_arrow(texts, shingled, "node long, shingles binary").groupBy("node").agg(
+        F.first("shingles").alias("shingles")), "shingles")
+    both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+            .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b"))
+    return scratch.keep(map_arrow(both.select("a", "b", "x", "y"), compare, "a long, b long"), "alike")
+
+
 def similar_documents(docs: DataFrame, scratch: Scratch, size: int = SIMILAR_SHINGLE,
                       similarity: float = SIMILARITY) -> DataFrame:
     """(doc, th, first): every row by its id and text hash, and whether it is the one of its group that stays.
 
     Equal sets of word shingles are one class. Classes that share one of ``BANDS`` keys meet: first each with the least
     of its key, then, where a key still holds several groups, those outside the group of the least with all of others.
-    A meeting is decided by a fingerprint of ``WORDS`` times 64 bits of the shingles. The row with the least id stays,
+    Those that can be similar by their sizes and fingerprints are compared by their shingles themselves. The row with the least id stays,
     with the least hash among repeated ids; rows that are equal in both are one. Null ids come first.
     """
     words = tuple(f"w{i}" for i in range(WORDS))
@@ -273,7 +308,7 @@ def similar_documents(docs: DataFrame, scratch: Scratch, size: int = SIMILAR_SHI
     marked = scratch.keep(map_arrow(source, work, schema), "marked")
     classes = scratch.keep(marked.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "keys", *words)],
                                                       F.min(F.struct("doc", "th")).alias("least")), "classes")
-    bits, radius = classes.select("node", "n", *words), similar_radius(similarity)
+    bits, radius = classes.select("node", "n", *words), similar_radius(similarity, CANDIDATE_MARGIN)
     keyed = classes.select(F.explode("keys").alias("key"), "node")
     heads = scratch.keep(keyed.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("rows"))
                          .where("rows > 1").select("key", "head"), "heads")
@@ -281,6 +316,7 @@ def similar_documents(docs: DataFrame, scratch: Scratch, size: int = SIMILAR_SHI
     pairs = scratch.keep(met.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     near = pairs.join(bits.alias("x"), F.col("a") == F.col("x.node")).join(bits.alias("y"), F.col("b") == F.col("y.node"))
     found = scratch.keep(near.where(_possible("x", "y", words, similarity, radius)).select("a", "b"), "found")
+    found = _alike(found, source, classes, scratch, size, similarity)
     groups = components(found, scratch)
     # Keys with several groups: whoever is outside the group of the least meets all of other groups.
     placed = scratch.keep(met.join(groups, "node", "left").select(
@@ -295,6 +331,7 @@ def similar_documents(docs: DataFrame, scratch: Scratch, size: int = SIMILAR_SHI
                      & _possible("x", "y", words, similarity, radius))
     crossed = scratch.keep(crossed.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
                            .distinct(), "crossed")
+    crossed = _alike(crossed, source, classes, scratch, size, similarity)
     groups = components(found.union(crossed), scratch)
     placed = scratch.keep(classes.select("node", "least").join(groups, "node", "left")
                           .select("node", "least", F.coalesce("component", "node").alias("component")), "placed")

@@ -157,6 +157,29 @@ def test_appended_truncated_and_scattered_copies_meet(spark, scratch):
     assert sum(2 * i + 1 in kept for i in range(len(pairs))) <= 0.01 * len(pairs)
 
 
+def test_similar_documents_are_those_of_the_exact_similarity(spark, scratch):
+    pairs = edited_pairs(0.68, 0.92)
+    similar = [jaccard(*p) >= 0.8 for p in pairs]
+    assert sum(similar) > 50 and similar.count(False) > 50
+    kept = kept_of_pairs(spark, scratch, pairs)
+    assert {2 * i for i in range(len(pairs))} <= kept
+    gone = [2 * i + 1 not in kept for i in range(len(pairs))]
+    assert not any(g for g, s in zip(gone, similar) if not s)
+    assert sum(s and not g for g, s in zip(gone, similar)) <= 0.01 * sum(similar)
+
+
+def test_groups_that_share_a_key_with_a_lesser_class_are_found(spark, scratch, monkeypatch):
+    """With one key for all, every group is found beside the first."""
+    monkeypatch.setattr(simhash, "bands", lambda shingles: [1, 2])
+    random = np.random.default_rng(5)
+    rows = []
+    for g in range(6):
+        words = [f"w{i}" for i in random.integers(0, 10_000, 200)]
+        rows += [(10 * g + k, " ".join(words + [f"x{j}" for j in range(k)])) for k in range(5)]
+    found = simhash.similar_documents(documents(spark, *rows), scratch)
+    assert {r.doc for r in found.where("first").collect()} == {0, 10, 20, 30, 40, 50}
+
+
 # --- embeddings -------------------------------------------------------------------------------
 
 def clusters(seed=0, dim=16):
