@@ -7,7 +7,7 @@ counts would add up to less than the support. The union of the locally frequent
 candidates. Then every shard counts the candidates that it has not counted yet, and the sums are exact.
 
 Phrases travel as sorted 64-bit keys of word sequences, packed by key range. Which phrases may be candidates is
-told to the shards by a sieve of the candidate keys of at most ``SIEVE_BYTES``; a sieve that is too small for
+told to the shards by a sieve of the candidate keys of at most ``sieve.SIEVE_BYTES``; a sieve that is too small for
 its keys lets more through, which the sum per key then leaves out. A second sieve names, for each frequent phrase,
 the one shard that writes its words down.
 
@@ -28,11 +28,12 @@ from pyspark.sql import functions as F
 
 from orderlens.llm.blocks import Block, distinct_keys, from_planes, planes, questions, shard_cuts, shard_groups
 from orderlens.llm.common import arrow_schema, batch, map_arrow, shuffle_partitions, sliced_rows, utf8
+from orderlens.llm.sieve import PARTS, Sieve, joined, sieve_of
 from orderlens.session import Scratch
 
 SUPPORT, LONGEST, SCALE, PERCENT, TOP = 100, 5, 1000, 100, 2000
-#: Bytes of text of a shard's block; keys of a range of keys; most bytes of a sieve.
-SHARD_BYTES, RANGE_KEYS, SIEVE_BYTES = 32 << 20, 8 << 20, 16 << 20
+#: Bytes of text of a shard's block; keys of a range of keys.
+SHARD_BYTES, RANGE_KEYS = 32 << 20, 8 << 20
 #: Parts of a language whose first phrases are taken before they are ranked together.
 SALTS = 256
 
@@ -82,35 +83,6 @@ def shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     return map_arrow(source.coalesce(max(1, math.ceil(size / shard_bytes))), work, SHARDS)
 
 
-class Sieve:
-    """A set of keys that may hold more than it was given: four bits in the 64-bit word that the key's upper bits name."""
-
-    def __init__(self, words: np.ndarray):
-        self.words, self.shift = words, np.uint64(64 - int(len(words)).bit_length() + 1)
-
-    @staticmethod
-    def size(keys: int, most: int = SIEVE_BYTES) -> int:
-        """Words for so many keys, a power of two: 16 bits a key, as far as ``most`` bytes allow."""
-        return 1 << max(1, min((most // 8).bit_length() - 1, math.ceil(math.log2(max(1, keys) / 4 + 1))))
-
-    @staticmethod
-    def _bits(keys: np.ndarray) -> np.ndarray:
-        mask = np.zeros(len(keys), np.uint64)
-        for shift in (0, 6, 12, 18):
-            mask |= np.uint64(1) << ((keys >> np.uint64(shift)) & np.uint64(63))
-        return mask
-
-    @classmethod
-    def of(cls, keys: np.ndarray, size: int) -> Sieve:
-        sieve = cls(np.zeros(size, np.uint64))
-        np.bitwise_or.at(sieve.words, (keys >> sieve.shift).astype(np.int64), cls._bits(keys))
-        return sieve
-
-    def may(self, keys: np.ndarray) -> np.ndarray:
-        mask = self._bits(keys)
-        return (self.words[(keys >> self.shift).astype(np.int64)] & mask) == mask
-
-
 def _mixed(keys: np.ndarray) -> np.ndarray:
     keys = (keys ^ (keys >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     keys = (keys ^ (keys >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -193,7 +165,7 @@ def mined(stored: DataFrame, support: int, longest: int, ranges: int) -> DataFra
                 every, counts = _counted(keys)
                 often = counts >= least
                 found.append((every[often], counts[often]))
-                return np.ones(len(keys), bool) if least == 1 else Sieve.of(every[often], Sieve.size(int(often.sum()))).may(keys)
+                return np.ones(len(keys), bool) if least == 1 else Sieve.empty(Sieve.size(int(often.sum()))).add(every[often]).may(keys)
 
             for _ in shard.phrases(keep, longest):
                 pass
@@ -230,29 +202,16 @@ def _by_range(sent: DataFrame) -> DataFrame:
     return sent.repartition(shuffle_partitions(sent.sparkSession), "range").sortWithinPartitions("range")
 
 
-def sieve_words(sent: DataFrame, size: int) -> DataFrame:
-    """The words of the sieve of all keys that were sent: (place of the first, words) per range."""
+def sieve_parts(sent: DataFrame, size: int) -> DataFrame:
+    """The sieve of all keys that were sent, in parts of each task."""
     def work(batches):
-        for asked in shard_groups(batches, ("range",)):
-            held = np.zeros(size, np.uint64)
-            for r in asked:
-                keys = np.cumsum(from_planes(r["keys"], np.uint64), dtype=np.uint64)
-                held |= Sieve.of(keys, size).words
-            there = np.flatnonzero(held)
-            if len(there):
-                yield batch(arrow_schema("place long, words binary"),
-                            [[int(there[0])], [held[there[0]:there[-1] + 1].tobytes()]])
-
-    return map_arrow(_by_range(sent.select("range", "keys")), work, "place long, words binary")
-
+        held = Sieve.empty(size)
+        for b in batches:
+            for keys in b.column("keys"):
+                held.add(np.cumsum(from_planes(keys.as_py(), np.uint64), dtype=np.uint64))
+        yield from sliced_rows(held.parts(), arrow_schema(PARTS))
 
-def gathered_sieve(parts: DataFrame, size: int) -> np.ndarray:
-    """The sieve as a whole; it has at most ``SIEVE_BYTES``."""
-    words = np.zeros(size, np.uint64)
-    for row in parts.toLocalIterator():
-        part = np.frombuffer(bytes(row.words), np.uint64)
-        words[row.place:row.place + len(part)] |= part
-    return words
+    return map_arrow(sent.select("keys"), work, PARTS)
 
 
 def frequent(sent: DataFrame, support: int) -> DataFrame:
@@ -278,20 +237,14 @@ def frequent(sent: DataFrame, support: int) -> DataFrame:
     return map_arrow(_by_range(sent), work, FREQUENT)
 
 
-def nominated(found: DataFrame, size: int) -> DataFrame:
-    """The words of the sieve of (phrase, shard that writes it down): partial sieves of each task."""
+def nominated(found: DataFrame) -> DataFrame:
+    """The key of (phrase, shard that writes it down) for each frequent phrase."""
     def work(batches):
-        held = np.zeros(size, np.uint64)
         for b in batches:
             keys = _written_by(b.column("key").to_numpy().view(np.uint64), b.column("shard").to_numpy())
-            held |= Sieve.of(keys, size).words
-        there = np.flatnonzero(held)
-        if len(there):
-            place, kind = there.astype(np.int64), arrow_schema("place long, word long")
-            yield batch(kind, [place, held[there].view(np.int64)])
+            yield batch(arrow_schema("key long"), [keys.view(np.int64)])
 
-    parts = map_arrow(found, work, "place long, word long")
-    return parts.groupBy("place").agg(F.bit_or("word").alias("word"))
+    return map_arrow(found, work, "key long")
 
 
 def written(stored: DataFrame, candidates, writers, longest: int) -> DataFrame:
@@ -344,14 +297,10 @@ def collocations(docs: DataFrame, scratch: Scratch, support: int = SUPPORT, long
     placed = stored.join(totals.where("total > 0"), "lang")
     first = scratch.keep(mined(placed, support, longest, ranges), "locally-frequent")
     size = Sieve.size(first.agg(F.sum("sent")).first()[0] or 0)
-    candidates = spark.sparkContext.broadcast(gathered_sieve(sieve_words(first, size), size))
+    candidates = spark.sparkContext.broadcast(joined(sieve_parts(first, size), size))
     again = scratch.keep(recounted(placed, candidates, support, longest, ranges), "counted-again")
     found = scratch.keep(frequent(first.union(again), support), "frequent")
-    size = Sieve.size(found.count())
-    words = np.zeros(size, np.uint64)
-    for part in nominated(found, size).toLocalIterator():
-        words[part.place] = np.uint64(part.word & (1 << 64) - 1)
-    writers = spark.sparkContext.broadcast(words)
+    writers = spark.sparkContext.broadcast(sieve_of(nominated(found), found.count()))
     counts = found.select("key", "f")
     phrases = scratch.keep(written(stored, candidates, writers, longest).join(counts.withColumnRenamed("f", "a"), "key")
                            .dropDuplicates(["key"]), "phrases")
