@@ -4,10 +4,11 @@ Only some suffixes are kept: of each run of ``length`` bytes the one whose first
 leftmost on ties. Equal runs keep the suffix at the same place, so nothing is missed. Successive
 runs with one kept suffix form a stretch; a stretch is known by the key of its suffix and a hash of all its bytes.
 
-Documents come in batches. Every batch gets a suffix array: its kept suffixes in the order of
-their first bytes, dealt out by range, with their places. It is scanned against every existing level by
-merging on the suffix keys, for itself and for the level; then it joins the family, where two levels of one
-size merge into the next. Keys found twice are all that long matches can have.
+Documents come in batches. The suffix array of a batch is its kept suffixes by their first ``GRAM`` bytes, in the
+order of these bytes, divided into ranges whose borders all arrays of a family share. A new array is merged with every
+existing level, range by range; neighbours in the merged order whose longest common prefix reaches ``GRAM``
+are matches, within the batch and across. Then the array joins the family, where two levels of one size
+merge into the next. Suffixes matched anywhere are all that long matches can have.
 
 An exact check follows. Equal stretches are repeats as a whole. Where stretches of one key differ,
 one of each kind asks how often each of its runs occurs (``blocks.py``); every run found twice is a repeat.
@@ -19,24 +20,29 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.llm.blocks import BLOCK, distinct_keys, questions, shard_cuts, shard_groups, totals
+from orderlens.llm.blocks import BLOCK, distinct_keys, from_planes, planes, questions, shard_cuts, shard_groups, totals
 from orderlens.llm.common import arrow_schema, batch, map_arrow, shuffle_partitions, sliced_rows, utf8
+from orderlens.llm.sieve import Sieve, sieve_of
 from orderlens.session import Scratch
 
 LENGTH, GRAM, BATCHES = 400, 32, 4
 #: Runs that are looked at together: a longer text is taken piece by piece.
 PIECE = 1 << 20
+#: Suffixes of a range of an array; suffixes that a task holds before it sends them; bytes of texts on which borders are chosen.
+RANGE, HELD, SAMPLED = 1 << 18, 1 << 21, 16 << 20
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD))
 _SHIFT, _PLACE = np.uint64(24), np.uint64((1 << 24) - 1)
 # Powers of an odd number and of its inverse modulo 2^64, and a value for each byte, for run fingerprints.
 _BASE = 0x9E3779B97F4A7C15
 _BYTE = np.random.default_rng(400).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 
-STRETCHES = "kind int, doc long, th long, head long, key long, stretch long, first long, runs int, repeated boolean"
+STRETCHES = "kind int, doc long, th long, key long, stretch long, first long, runs int, repeated boolean, batch int, range int, prefixes binary, counts binary"
+ARRAYS = "kind int, range int, prefixes binary, counts binary"
 PLACED = "kind int, block long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, payload binary"
 RESULT = "doc_id long, th long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
@@ -45,9 +51,13 @@ def _gram_hashes(text: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the ``GRAM`` bytes from every place."""
     words = np.ndarray((len(text) - 7,), "<u8", text.data, strides=(1,))
     n = len(text) - GRAM + 1
-    h = words[:n] * _MIX[0]
-    for k in range(8, GRAM, 8):
-        h = (h ^ (h >> np.uint64(29))) * _MIX[k // 8] + words[k:k + n]
+    return _mixed([words[k:k + n] for k in range(0, GRAM, 8)])
+
+
+def _mixed(words: list[np.ndarray]) -> np.ndarray:
+    h = words[0] * _MIX[0]
+    for word, mix in zip(words[1:], _MIX[1:]):
+        h = (h ^ (h >> np.uint64(29))) * mix + word
     h = (h ^ (h >> np.uint64(32))) * _MIX[1]
     return h ^ (h >> np.uint64(29))
 
@@ -103,69 +113,181 @@ def _spans(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[at].tolist(), reach[np.append(at[1:], len(reach)) - 1].tolist()))
 
 
-def suffixes(docs: DataFrame, length: int) -> DataFrame:
-    """Kind 0: one row per stretch kind of a document. Kind 1: spans that repeat within a document."""
+def _prefixes(text: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The first ``GRAM`` bytes of suffixes."""
+    return np.lib.stride_tricks.sliding_window_view(text, GRAM)[places].view(f"S{GRAM}").ravel()
+
+
+def _bytes_of(prefixes: np.ndarray) -> np.ndarray:
+    return prefixes.view(np.uint8).reshape(-1, GRAM)
+
+
+def _packed(prefixes: np.ndarray) -> bytes:
+    """All first bytes together, then all second ones, and so on."""
+    return _bytes_of(prefixes).T.tobytes()
+
+
+def _unpacked_prefixes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(GRAM, -1).T).view(f"S{GRAM}").ravel()
+
+
+def _keys(prefixes: np.ndarray) -> np.ndarray:
+    """The hash of each prefix by which its stretches know it."""
+    words = _bytes_of(prefixes).view("<u8").reshape(-1, GRAM // 8)
+    return _mixed([words[:, k] for k in range(GRAM // 8)])
+
+
+def common_prefixes(ordered: np.ndarray) -> np.ndarray:
+    """Bytes that each suffix but the first has in common with the one before, ``GRAM`` at most."""
+    differ = _bytes_of(ordered)[1:] != _bytes_of(ordered)[:-1]
+    return np.where(differ.any(1), differ.argmax(1), GRAM)
+
+
+def suffixes(docs: DataFrame, length: int, borders: np.ndarray | None = None) -> DataFrame:
+    """Kind 0: one row per stretch kind of a document. Kind 1: spans that repeat within a document. Kind 2: kept suffixes
+    of a batch in order, for one range between the ``borders``."""
+    borders = np.empty(0, f"S{GRAM}") if borders is None else borders
+
     def work(batches):
+        held: dict[int, list] = {}
+
         def rows(b):
-            for doc, th, data in zip(b.column("doc").to_pylist(), b.column("th").to_pylist(), b.column("text")):
+            for doc, th, number, data in zip(*(b.column(c).to_pylist() for c in ("doc", "th", "batch")), b.column("text")):
                 data = data.as_py()
                 if len(data) < length:
                     continue
-                text, seen, again = np.frombuffer(data, np.uint8), {}, []
+                text, seen, again, places = np.frombuffer(data, np.uint8), {}, [], []
                 for first, runs, place, key in stretches(text, length):
                     name = xxhash.xxh3_64_intdigest(data[first:first + runs + length - 1])
                     known = seen.get((key, name))
                     if known is None:
-                        seen[key, name] = [first, runs, place, False]
+                        seen[key, name] = [first, runs, False]
+                        places.append(place)
                     else:
-                        again += [(first, runs), (known[0], known[1])] if not known[3] else [(first, runs)]
-                        known[3] = True
-                for (key, name), (first, runs, place, repeated) in seen.items():
-                    head = int.from_bytes(data[place:place + 8], "big") - (1 << 63)
-                    yield 0, doc, th, head, key, name - (1 << 63), first, runs, repeated
+                        again += [(first, runs), (known[0], known[1])] if not known[2] else [(first, runs)]
+                        known[2] = True
+                held.setdefault(number, []).append(_prefixes(text, np.array(places)))
+                for (key, name), (first, runs, repeated) in seen.items():
+                    yield 0, doc, th, key, name - (1 << 63), first, runs, repeated, None, None, None, None
                 if again:
                     starts, runs = (np.array(x, np.int64) for x in zip(*again))
                     for s, e in _spans(starts, starts + runs + length - 1):
-                        yield 1, doc, th, 0, 0, 0, s, e - s - length + 1, True
+                        yield 1, doc, th, 0, 0, s, e - s - length + 1, True, None, None, None, None
+
+        def sent():
+            for number, parts in held.items():
+                ordered, counts = np.unique(np.concatenate(parts), return_counts=True)
+                at = [0, *np.searchsorted(ordered, borders).tolist(), len(ordered)]
+                for r, (s, e) in enumerate(zip(at, at[1:])):
+                    if e > s:
+                        yield (2, 0, 0, 0, 0, 0, 0, False, number, r, _packed(ordered[s:e]), planes(counts[s:e].astype(np.uint32)))
+            held.clear()
+
+        out = arrow_schema(STRETCHES)
         for b in batches:
-            yield from sliced_rows(rows(b), arrow_schema(STRETCHES), 1 << 15)
+            yield from sliced_rows(rows(b), out, 1 << 15)
+            if sum(len(p) for parts in held.values() for p in parts) >= HELD:
+                yield from sliced_rows(sent(), out)
+        yield from sliced_rows(sent(), out)
 
     return map_arrow(docs, work, STRETCHES)
 
 
+def range_borders(docs: DataFrame, length: int) -> np.ndarray:
+    """First suffixes of all ranges but the first, chosen on texts of about ``SAMPLED`` bytes, 64 suffixes of each
+    at most, so that a range has about ``RANGE`` suffixes. Any borders give the same result."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = total * 2 // max(1, length - GRAM) // RANGE + 1
+    part = docs if total <= SAMPLED else docs.where(F.pmod(F.xxhash64("th"), F.lit(1 << 30)) < int((1 << 30) * SAMPLED / total))
+
+    def work(batches):
+        for b in batches:
+            found = []
+            for data in b.column("text"):
+                text = np.frombuffer(data.as_py()[:PIECE], np.uint8)
+                if len(text) >= length:
+                    place = np.array([p for _, _, p, _ in stretches(text, length)])
+                    found += _prefixes(text, place[::-(-len(place) // 64)]).tolist()
+            # Trailing zero bytes fall away in the list.
+            yield batch(arrow_schema("prefix binary"), [[p.ljust(GRAM, bytes(1)) for p in found]])
+
+    if ranges == 1:
+        return np.empty(0, f"S{GRAM}")
+    chosen = np.unique(np.array([bytes(r.prefix) for r in map_arrow(part, work, "prefix binary").toLocalIterator()], f"S{GRAM}"))
+    return np.unique(chosen[np.arange(1, ranges) * len(chosen) // ranges]) if len(chosen) else chosen
+
+
 class IndexFamily:
-    """Suffix arrays of geometrically growing sizes, each a sorted table in the shared folder."""
+    """Suffix arrays of geometrically growing sizes; each is a table in the shared folder, in order within its ranges."""
 
     def __init__(self, scratch: Scratch, partitions: int):
         self.scratch, self.partitions = scratch, partitions
         self.levels: list[tuple[int, DataFrame]] = []
         self.repeated: list[DataFrame] = []
 
-    def _sorted(self, entries: DataFrame, name: str) -> DataFrame:
-        order = ("head", "key", "doc", "first")
-        return self.scratch.keep(entries.repartitionByRange(self.partitions, *order).sortWithinPartitions(*order), name)
-
-    def add(self, entries: DataFrame) -> None:
-        """Sort a batch, scan it against itself and every level, and let equal levels merge."""
-        new = self._sorted(entries.select("head", "key", "doc", "first"), "batch")
-        keys = new.groupBy("head", "key").count()
-        found = keys.where("count > 1").select("key")
-        for _, level in self.levels:
-            found = found.union(level.select("head", "key").distinct().join(keys, ["head", "key"]).select("key"))
-        self.repeated.append(self.scratch.keep(found, "repeated"))
-        size = 0
-        while self.levels and self.levels[-1][0] == size:
-            _, level = self.levels.pop()
-            merged = self._sorted(level.union(new), "level")
-            self.scratch.remove(level, new)
-            new, size = merged, size + 1
-        self.levels.append((size, new))
+    def _merging(self) -> int:
+        """How many of the last levels merge now, as two of one size do."""
+        n, size = min(1, len(self.levels)), self.levels[-1][0] if self.levels else 0
+        while n < len(self.levels) and self.levels[-1 - n][0] == size:
+            n, size = n + 1, size + 1
+        return n
+
+    def add(self, arrays: DataFrame) -> None:
+        """Merge-scan a batch (range, prefixes, counts) against itself and every level. Levels of one size, which the scan
+        before has left, merge on the way: one pass for each batch."""
+        merging = self._merging()
+        stay = len(self.levels) - merging if merging > 1 else len(self.levels)
+        parts = arrays.select("range", F.lit(-1).alias("level"), "prefixes", "counts")
+        for i, (_, level) in enumerate(self.levels):
+            parts = parts.union(level.select("range", F.lit(i).alias("level"), "prefixes", F.lit(None).cast("binary")))
+
+        def work(batches):
+            out = arrow_schema(ARRAYS)
+            for group in shard_groups(batches, ("range",)):
+                own = [r for r in group if r["level"] == -1]
+                levels = {r["level"]: _unpacked_prefixes(r["prefixes"]) for r in group if r["level"] >= 0}
+                place = group[0]["range"]
+                if own:
+                    every = np.concatenate([_unpacked_prefixes(r["prefixes"]) for r in own])
+                    often = np.concatenate([from_planes(r["counts"], np.uint32) for r in own])
+                    order = np.argsort(every, kind="stable")
+                    every, often = every[order], often[order]
+                    same = common_prefixes(every) >= GRAM if len(every) else np.empty(0, bool)
+                    first = np.flatnonzero(np.append(True, ~same))
+                    twice = np.add.reduceat(often, first, dtype=np.int64) > 1
+                    new = every[first]
+                    found = [new[twice]]
+                    for level in levels.values():
+                        merged = np.sort(np.concatenate([level, new]), kind="stable")
+                        found.append(merged[1:][common_prefixes(merged) >= GRAM])
+                    keys = np.unique(_keys(np.concatenate(found)))
+                    yield batch(out, [[0], [place], [_packed(new)], [None]])
+                    if len(keys):
+                        yield batch(out, [[2], [place], [planes(keys)], [None]])
+                joined = [v for k, v in levels.items() if k >= stay]
+                if joined:
+                    yield batch(out, [[1], [place], [_packed(np.unique(np.concatenate(joined)))], [None]])
+
+        dealt = parts.repartition(self.partitions, "range").sortWithinPartitions("range", "level")
+        kept = self.scratch.keep(map_arrow(dealt, work, ARRAYS), "scan", ("kind",))
+        self.repeated.append(kept.where("kind = 2").select("prefixes"))
+        if merging > 1:
+            size = self.levels[-1][0] + merging - 1
+            self.levels[stay:] = [(size, kept.where("kind = 1"))]
+        self.levels.append((0, kept.where("kind = 0")))
 
     def repeated_keys(self) -> DataFrame:
+        """(key) of every suffix that was matched."""
         found = self.repeated[0]
         for more in self.repeated[1:]:
             found = found.union(more)
-        return self.scratch.keep(found.distinct(), "keys")
+
+        def work(batches):
+            for b in batches:
+                for keys in b.column(0):
+                    yield batch(arrow_schema("key long"), [from_planes(keys.as_py(), np.uint64).view(np.int64)])
+
+        return self.scratch.keep(map_arrow(found, work, "key long").distinct(), "keys")
 
 
 class _Places:
@@ -176,7 +298,8 @@ class _Places:
         self.repeated, self.asks = np.asarray(repeated, bool), np.asarray(asks, bool)
 
 
-def _result(data: bytes, spans: list[tuple[int, int]], with_text: bool) -> tuple:
+def _result(data: bytes, spans: list[tuple[int, int]], with_text: bool, words: int = 0) -> tuple:
+    spans = [(s, e) for s, e in spans if not words or len(data[s:e].split()) > words]
     kept, at = [], 0
     for s, e in spans:
         kept.append(data[at:s])
@@ -201,11 +324,11 @@ def _whole_characters(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, batches: int = BATCHES,
-                   with_text: bool = False) -> DataFrame:
+                   with_text: bool = False, words: int = 0) -> DataFrame:
     """(doc_id, th, n_bytes, n_removed, n_spans, kept_sha256, kept) of every row.
 
     Removed is every byte under a string of ``length`` bytes that starts anywhere else too, in this or another
-    document; strings are judged on the input. Null texts are empty. Repeated rows are documents of their own, so
+    document; strings are judged on the input. With ``words``, only maximal runs of such bytes with more words are removed. Null texts are empty. Repeated rows are documents of their own, so
     their long strings repeat. Null ids stay. ``th`` is the hash of the text that, with the id, tells rows apart;
     ``kept`` is the rest of a text that lost something, cut at whole characters, if ``with_text``.
     An empty table gives an empty result; other columns are not read.
@@ -215,14 +338,23 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, batc
     nobody = F.lit(-1 << 63).cast("long")
     source = docs.select(F.coalesce(F.col("doc_id").cast("long"), nobody).alias("doc"),
                          F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), utf8().alias("text"))
-    made = scratch.keep(suffixes(source, length).withColumn("batch", F.pmod(F.hash("doc", "th"), F.lit(batches))),
-                        "suffixes", ("kind", "batch"))
-    entries = made.where("kind = 0")
+    dealt = source.withColumn("batch", F.pmod(F.hash("doc", "th"), F.lit(batches)))
+    made = scratch.keep(suffixes(dealt, length, range_borders(source, length)), "suffixes", ("kind",))
+    entries, arrays = made.where("kind = 0"), made.where("kind = 2")
     family = IndexFamily(scratch, partitions)
     for number in range(batches):
-        family.add(entries.where(F.col("batch") == number))
-    matched = entries.join(family.repeated_keys(), "key", "left_semi").select(
-        "doc", "th", "key", "stretch", "first", "runs", "repeated")
+        family.add(arrays.where(F.col("batch") == number))
+    keys = family.repeated_keys()
+    sieve = spark.sparkContext.broadcast(sieve_of(keys, keys.count()))
+
+    def sifted(batches_in):
+        known = Sieve(sieve.value)
+        for b in batches_in:
+            yield b.filter(pa.array(known.may(b.column("key").to_numpy().view(np.uint64))))
+
+    columns = ("doc", "th", "key", "stretch", "first", "runs", "repeated")
+    slim = entries.select(*columns)
+    matched = map_arrow(slim, sifted, slim.schema).join(keys, "key", "left_semi").select(*columns)
     matched = scratch.keep(matched, "matched")
     kinds = scratch.keep(matched.groupBy("key", "stretch").agg(
         F.count("*").alias("n"), F.min(F.struct("doc", "th", "first")).alias("asker")), "kinds")
@@ -259,7 +391,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, batc
                     held.append((doc, th, data, p))
                     weight += len(data)
                 else:
-                    n, removed, spans, digest, kept = _result(data, _spans(p.first, p.first + p.runs + length - 1), with_text)
+                    n, removed, spans, digest, kept = _result(data, _spans(p.first, p.first + p.runs + length - 1), with_text, words)
                     ready.append((0, th, None if doc == -1 << 63 else doc, n, removed, spans, digest, kept, None))
                 if weight >= BLOCK // 2:
                     yield packed()
@@ -317,7 +449,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, batc
                     for first, h in zip(p.first[p.asks].tolist(), hashes):
                         hit = np.flatnonzero(found[np.searchsorted(keys, h)]) + first
                         starts.append(hit), ends.append(hit + length)
-                    result = _result(data, _spans(np.concatenate(starts), np.concatenate(ends)), with_text)
+                    result = _result(data, _spans(np.concatenate(starts), np.concatenate(ends)), with_text, words)
                     rows.append((None if doc == -1 << 63 else doc, th, *result))
                 yield from sliced_rows(rows, arrow_schema(RESULT))
 

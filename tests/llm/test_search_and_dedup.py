@@ -103,83 +103,6 @@ def test_simhash_of_an_empty_table(spark, scratch):
     assert simhash.near_duplicates(documents(spark).limit(0), scratch).count() == 0
 
 
-def test_similar_documents_keep_one_of_a_group(spark, scratch):
-    random = np.random.default_rng(3)
-    words = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
-    text = " ".join(random.choice(words, 400))
-    near = text.split()
-    near[200] = "changed"
-    rows = [(5, text), (3, " ".join(near)), (9, text), (9, text), (7, " ".join(random.choice(words, 400))), (8, None), (6, "")]
-    found = simhash.similar_documents(documents(spark, *rows), scratch)
-    assert {r.doc for r in found.where("first").collect()} == {3, 7, 6}
-    assert simhash.similar_documents(documents(spark).limit(0), scratch).count() == 0
-
-
-def jaccard(left, right):
-    x, y = (set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in (left, right))
-    return len(x & y) / len(x | y)
-
-
-def edited_pairs(low, high, each=24):
-    """Texts with an appended, truncated or scattered edit of it whose exact similarity is in a range."""
-    random, pairs = np.random.default_rng(21), []
-    for n in (10, 40, 300, 1000, 5000):
-        kinds = Counter()
-        while min(kinds[k] for k in range(3)) < each // (1 + n // 1000) and sum(kinds.values()) < 3 * each:
-            words = [f"w{i}" for i in random.zipf(1.3, n) % 50_000]
-            share = random.uniform(1 - high, 1 - low)
-            kind = int(np.argmin([kinds[k] for k in range(3)]))
-            if kind == 0:
-                other = words + [f"v{i}" for i in random.zipf(1.3, max(1, round(n * share / (1 - share)))) % 50_000]
-            elif kind == 1:
-                other = words[:n - max(1, round(n * share))]
-            else:
-                other = list(words)
-                for at in random.choice(n, max(1, round(n * share / 10)), replace=False):
-                    other[at] = f"e{at}"
-            left, right = " ".join(words), " ".join(other)
-            kinds[kind] += 1
-            if low <= jaccard(left, right) < high:
-                pairs.append((left, right))
-    return pairs
-
-
-def kept_of_pairs(spark, scratch, pairs):
-    rows = [(2 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p)]
-    found = simhash.similar_documents(documents(spark, *rows), scratch)
-    return {r.doc for r in found.where("first").collect()}
-
-
-def test_appended_truncated_and_scattered_copies_meet(spark, scratch):
-    pairs = edited_pairs(0.84, 0.92)
-    assert len(pairs) > 150
-    kept = kept_of_pairs(spark, scratch, pairs)
-    assert sum(2 * i + 1 in kept for i in range(len(pairs))) <= 0.01 * len(pairs)
-
-
-def test_similar_documents_are_those_of_the_exact_similarity(spark, scratch):
-    pairs = edited_pairs(0.68, 0.92)
-    similar = [jaccard(*p) >= 0.8 for p in pairs]
-    assert sum(similar) > 50 and similar.count(False) > 50
-    kept = kept_of_pairs(spark, scratch, pairs)
-    assert {2 * i for i in range(len(pairs))} <= kept
-    gone = [2 * i + 1 not in kept for i in range(len(pairs))]
-    assert not any(g for g, s in zip(gone, similar) if not s)
-    assert sum(s and not g for g, s in zip(gone, similar)) <= 0.01 * sum(similar)
-
-
-def test_groups_that_share_a_key_with_a_lesser_class_are_found(spark, scratch, monkeypatch):
-    """With one key for all, every group is found beside the first."""
-    monkeypatch.setattr(simhash, "bands", lambda shingles: [1, 2])
-    random = np.random.default_rng(5)
-    rows = []
-    for g in range(6):
-        words = [f"w{i}" for i in random.integers(0, 10_000, 200)]
-        rows += [(10 * g + k, " ".join(words + [f"x{j}" for j in range(k)])) for k in range(5)]
-    found = simhash.similar_documents(documents(spark, *rows), scratch)
-    assert {r.doc for r in found.where("first").collect()} == {0, 10, 20, 30, 40, 50}
-
-
 # --- embeddings -------------------------------------------------------------------------------
 
 def clusters(seed=0, dim=16):
@@ -283,6 +206,8 @@ def brute_removal(texts, length):
 @pytest.mark.parametrize("length", [48, 400])
 def test_removal_matches_brute_force(spark, scratch, monkeypatch, length):
     monkeypatch.setattr(suffix_dedup, "PIECE", 700)  # longer texts are taken piece by piece
+    monkeypatch.setattr(suffix_dedup, "RANGE", 40)  # many ranges
+    monkeypatch.setattr(suffix_dedup, "HELD", 100)
     random = np.random.default_rng(length)
 
     def text(n):
@@ -315,10 +240,25 @@ def test_characters_stay_whole_where_texts_are_cut():
 
 def test_levels_of_the_family_grow_geometrically(spark, scratch):
     family = suffix_dedup.IndexFamily(scratch, 2)
-    made = suffix_dedup.suffixes(documents(spark, *[(i, f"{i} " * 200) for i in range(8)]).select(
-        F.col("doc_id").alias("doc"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text")), 400)
-    sizes = []
+    texts = [(i, " ".join(hashlib.sha256(f"{k} {i if i % 3 else 0}".encode()).hexdigest() for k in range(20))) for i in range(7)]
+    made = scratch.keep(suffix_dedup.suffixes(documents(spark, *texts).select(
+        F.col("doc_id").alias("doc"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"),
+        F.col("doc_id").cast("int").alias("batch")), 400, np.array([b"5", b"c"], "S32")), "made", ("kind",))
+    sizes, matches = [], []
     for i in range(7):
-        family.add(made.where(F.col("doc") == i))
+        family.add(made.where(F.col("kind") == 2).where(F.col("batch") == i))
         sizes.append([size for size, _ in family.levels])
-    assert sizes == [[0], [1], [1, 0], [2], [2, 0], [2, 1], [2, 1, 0]]
+        matches.append(not family.repeated[-1].isEmpty())
+    # Levels of one size merge when the next batch comes.
+    assert sizes == [[0], [0, 0], [1, 0], [1, 0, 0], [2, 0], [2, 0, 0], [2, 1, 0]]
+    assert matches == [False, False, False, True, False, False, True]
+    for _, level in family.levels:
+        for r in level.collect():
+            held = suffix_dedup._unpacked_prefixes(bytes(r.prefixes))
+            assert (held[1:] > held[:-1]).all()
+            assert all(int(x[:1] >= b"5") + int(x >= b"c") == r.range for x in held)
+
+
+def test_common_prefixes_of_neighbours():
+    ordered = np.array(sorted(["a" * 32, "a" * 32, "a" * 31 + "b", "ab", "\x00"]), "S32")
+    assert suffix_dedup.common_prefixes(ordered).tolist() == [0, 32, 31, 1]
