@@ -7,51 +7,74 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderlens.llm import packing, quality_qda, simhash, suffix_dedup
-from orderlens.llm.common import table
+from orderlens.llm.common import fresh, table
 from orderlens.session import Scratch, materialize, scratch_path
 
-#: A repeated passage in the pipeline has this many bytes at least; passages of over 50 words have more.
-PASSAGE_BYTES = 200
+#: A passage is cut if it has so many bytes that stand elsewhere too in one piece, and more than so many words.
+PASSAGE_BYTES, PASSAGE_WORDS = 150, 50
 
 
-def _row_keys(docs: DataFrame) -> DataFrame:
-    """Rows with the id and text hash by which operators know them."""
-    return docs.withColumns({"row doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1 << 63)),
-                             "row th": F.xxhash64(F.coalesce("text", F.lit("")))})
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """The rows with their id (null: the least long) and the hash of their text, by which operators know them, and the
+    names of both columns, which no column of the rows has."""
+    doc, th = fresh("row doc", docs), fresh("row th", docs)
+    return docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(-1 << 63)),
+                             th: F.xxhash64(F.coalesce("text", F.lit("")))}), doc, th
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents that the quality classifier accepts."""
+    """Keep the documents that the quality classifier accepts, all columns as they are.
+
+    The model is fitted on labelled documents of the input outside the held-out fold, ``quality_qda.FIT_ROWS`` at most.
+    Null texts are empty and judged like any other; null ids are in no label. Repeated rows are judged each. No rows give none.
+    """
     with Scratch(spark, "quality") as scratch:
-        statistics = scratch.keep(quality_qda.described(docs), "statistics")
-        model = quality_qda.fit(statistics, table(spark, sf_dir, "labels"))
+        labels = table(spark, sf_dir, "labels")
+        statistics = scratch.keep(quality_qda.described(quality_qda.labelled(docs, labels)), "statistics")
+        model = quality_qda.fit(statistics, labels)
     return quality_qda.accepted(docs, model)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies."""
+    """Keep one document of each group that the SimHash operator links, all columns as they are.
+
+    The one with the least id stays (null: before all), with the least text hash among repeated ids; of rows with equal id and
+    text any one. Null texts and texts without words have fingerprint zero and are one group. No rows give none.
+    """
+    keyed, doc, th = _keyed(docs)
     with Scratch(spark, "near") as scratch:
-        stays = materialize(simhash.similar_documents(docs, scratch).where("first").select("doc", "th"), "near-stays")
-    keyed = _row_keys(docs).join(stays, (F.col("row doc") == F.col("doc")) & (F.col("row th") == F.col("th")), "left_semi")
-    return keyed.dropDuplicates(["row doc", "row th"]).select(*docs.columns)
+        found = simhash.near_duplicates(keyed, scratch, simhash.SHINGLE, simhash.RADIUS, id_column=doc)
+        firsts = found.groupBy("component").agg(F.min(F.struct("id", "th")).alias("first"))
+        stays = materialize(firsts.select(F.col("first.id").alias(fresh("stay doc", keyed)),
+                                          F.col("first.th").alias(fresh("stay th", keyed))), "near-stays")
+    same = (F.col(doc) == F.col(stays.columns[0])) & (F.col(th) == F.col(stays.columns[1]))
+    return keyed.join(stays, same, "left_semi").dropDuplicates([doc, th]).select(*docs.columns)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut passages that repeat anywhere out of the texts; ``n_chars`` follows."""
+    """Cut passages that repeat anywhere out of the texts, in every place they stand; ``n_chars``, if there, follows.
+
+    A passage is a longest run of bytes under strings of ``PASSAGE_BYTES`` that start elsewhere too, with more than
+    ``PASSAGE_WORDS`` words; texts are cut at whole characters. Other columns and rows stay as they are, null texts, null ids
+    and texts without such a passage too. Repeated rows repeat their passages. No rows give none.
+    """
+    keyed, doc, th = _keyed(docs)
+    own = [fresh(name, keyed) for name in ("cut doc", "cut th", "cut text")]
     with Scratch(spark, "passages") as scratch:
-        found = suffix_dedup.remove_repeats(docs, scratch, PASSAGE_BYTES, with_text=True)
+        found = suffix_dedup.remove_repeats(docs, scratch, PASSAGE_BYTES, with_text=True, words=PASSAGE_WORDS)
         cut = materialize(found.where("kept IS NOT NULL").select(
-            F.coalesce("doc_id", F.lit(-1 << 63)).alias("doc"), "th", F.col("kept").cast("string").alias("kept"))
-            .distinct(), "passages-cut")
-    joined = _row_keys(docs).join(cut, (F.col("row doc") == F.col("doc")) & (F.col("row th") == F.col("th")), "left")
-    text = F.coalesce("kept", "text")
-    return joined.select(*[text.alias(c) if c == "text" else
-                           F.when(F.col("kept").isNotNull(), F.length("kept")).otherwise(F.col(c)).cast(t).alias(c)
+            F.coalesce("doc_id", F.lit(-1 << 63)).alias(own[0]), F.col("th").alias(own[1]),
+            F.col("kept").cast("string").alias(own[2])).dropDuplicates(own[:2]), "passages-cut")
+    joined = keyed.join(cut, (F.col(doc) == F.col(own[0])) & (F.col(th) == F.col(own[1])), "left")
+    left = F.col(own[2])
+    return joined.select(*[F.coalesce(left, c).alias(c) if c == "text" else
+                           F.when(left.isNotNull(), F.length(left)).otherwise(F.col(c)).cast(t).alias(c)
                            if c == "n_chars" else F.col(c) for c, t in docs.dtypes])
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into sequences."""
+    """Pack what is left into sequences: one row per piece of a document. Null texts are empty, null ids stay, repeated rows
+    are packed each, and other columns are not read. No rows give none."""
     with Scratch(spark, "packing") as scratch:
         tokenizer = public_tokenizers.path("byte_bpe_50k.json")
         pieces = scratch.keep(packing.pieces(docs, tokenizer, public_tokenizers.PATTERN), "tokens")

@@ -17,6 +17,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name like ``name`` that no frame has, in any case of its letters."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def utf8(column: str = "text") -> Column:
     """The bytes of a text; a null text is empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")

@@ -20,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import map_arrow, utf8
+from orderlens.llm.common import fresh, map_arrow, utf8
 
 #: Weights of the pooled covariance and of the diagonal, and the least variance of a standardised statistic.
 POOLED, DIAGONAL, RIDGE = 0.15, 0.1, 1e-3
 #: Log densities are divided by this before the logistic function.
 TEMPERATURE = 8.0
 CUT = 0.3
+#: Labelled rows that ``labelled`` chooses at most, about.
+FIT_ROWS = 100_000
 FOLDS, HELD_OUT = 5, 0
 
 _UPPER = bytes(range(65, 91))
@@ -152,6 +154,18 @@ def fit(statistics_table: DataFrame, labels: DataFrame) -> Discriminant:
     return Discriminant(centre, scale, tuple((m - centre) / scale for m in means), tuple(whiten), tuple(half), 0.5)
 
 
+def labelled(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> DataFrame:
+    """The documents of at most about ``most`` labelled ids outside the held-out fold, chosen by the hash of the id: all, if
+    they are no more. ``fit`` needs no others."""
+    given = labels.where(F.col("quality").isin(0, 1) & (fold() != HELD_OUT)).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    share = most / max(1, given.count())
+    if share < 1:
+        given = given.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    # The chosen ids are few by their bound; one long each.
+    own = fresh("labelled id", docs)
+    return docs.join(F.broadcast(given.withColumnRenamed("doc_id", own)), F.col("doc_id").cast("long") == F.col(own), "left_semi")
+
+
 def scored(statistics_table: DataFrame, model: Discriminant) -> DataFrame:
     """(doc_id, held_out, score, predicted). A null id is in no fold."""
     def work(batches):
@@ -175,7 +189,5 @@ def accepted(docs: DataFrame, model: Discriminant, text_column: str = "text") ->
             keep = pa.array(model.scores(x) >= CUT)
             yield pa.RecordBatch.from_arrays([b.column(i).filter(keep) for i in range(len(names))], names=names)
 
-    mark = "statistics of"
-    while mark in names:
-        mark += "_"
+    mark = fresh("statistics of", docs)
     return map_arrow(docs.withColumn(mark, text), work, kinds)

@@ -15,18 +15,14 @@ forest of the links leaves it.
 
 from __future__ import annotations
 
-import math
-from functools import reduce
 from itertools import accumulate
-from operator import add
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import arrow_schema, batch, bounds, forest, map_arrow, runs, shuffle_partitions, sliced_rows, utf8
+from orderlens.llm.common import arrow_schema, batch, bounds, forest, map_arrow, runs, shuffle_partitions, utf8
 from orderlens.llm.components import components
 from orderlens.session import Scratch
 
@@ -63,17 +59,18 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE, id_column: str = "doc_id",
                  text_column: str = "text") -> DataFrame:
-    """(id, fp) with the fingerprint as a signed long. Null texts are empty."""
+    """(id, th, fp): the hash of the text, and its fingerprint as a signed long. Null texts are empty."""
     kind = dict(docs.dtypes)[id_column]
-    schema = "id long, fp long"
+    schema = "id long, th long, fp long"
 
     def work(batches):
         out = arrow_schema(schema)
         for b in batches:
             values = [fingerprint(t.as_py(), size) for t in b.column("text")]
-            yield batch(out, [b.column("id"), np.array(values, np.uint64).view(np.int64)])
+            yield batch(out, [b.column("id"), b.column("th"), np.array(values, np.uint64).view(np.int64)])
 
-    source = docs.select(F.col(id_column).cast("long").alias("id"), utf8(text_column).alias("text"))
+    source = docs.select(F.col(id_column).cast("long").alias("id"),
+                         F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))).alias("th"), utf8(text_column).alias("text"))
     assert kind in ("bigint", "int"), f"{id_column} must be a whole number"
     return map_arrow(source, work, schema)
 
@@ -178,7 +175,8 @@ def links(classes: DataFrame, masks: list[np.uint64], half: int, words: tuple[st
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = SHINGLE, radius: int = RADIUS,
                     id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, fp, component_id) for every row; the component is the least id reachable by links.
+    """(id, th, fp, component_id, component) for every row: the hash of its text, its fingerprint, the least id reachable by
+    links and the least fingerprint reachable, which tells groups apart where ids repeat.
 
     Null and blank texts have fingerprint zero and are linked like any other. Repeated rows
     stay and share a component. Null ids are kept and never name a component, unless a
@@ -193,149 +191,9 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = SHINGLE, radi
                           "placed")
     # Written first, so that the join shuffles both sides and a hot component can be split.
     least = scratch.keep(placed.groupBy("component").agg(F.min("least").alias("component_id")), "least")
-    named = scratch.keep(placed.join(least, "component").select("fp", "component_id"), "named")
-    return marked.join(named, "fp").select("id", "fp", "component_id")
+    named = scratch.keep(placed.join(least, "component").select("fp", "component_id", "component"), "named")
+    return marked.join(named, "fp").select("id", "th", "fp", "component_id", "component")
 
 
 def hex_fingerprint(column: str = "fp"):
     return F.lower(F.lpad(F.hex(column), 16, "0"))
-
-
-# Similar documents: what a pipeline takes for near copies, five-word shingles at a similarity of 0.8.
-SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
-#: Words of 64 bits of the compared fingerprint, and bits by which a pair may miss the expected
-#: distance of the similarity itself, about one and a half standard deviations.
-WORDS, MARGIN = 8, 12
-#: The same margin for candidates that are compared by their shingles afterwards: five standard deviations, for the
-#: shortest texts as well, whose odd and even sets differ most.
-CANDIDATE_MARGIN = 65
-#: Odd numbers that spread a shingle's hash over the words.
-_SPREAD = np.random.default_rng(8).integers(0, 1 << 63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
-#: Independent search keys of a document, each of so many least shingle hashes: a pair at the similarity of 0.8 shares
-#: none with a chance of (1 - 0.8 ** 5) ** 20, about 0.0004, however its words differ.
-BANDS, ROWS = 20, 5
-_ORDERS = np.random.default_rng(80).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def similar_radius(similarity: float = SIMILARITY, margin: int = MARGIN) -> int:
-    """Differing bits at a Jaccard similarity: its cosine gives the angle, the angle the share of bits."""
-    return round(WORDS * 64 * math.acos(2 * similarity / (1 + similarity)) / math.pi) + margin
-
-
-def _majority(hashes: np.ndarray, words: int) -> list[int]:
-    counts = np.zeros(64 * words, np.int64)
-    for at in range(0, len(hashes), AT_ONCE):
-        h = hashes[at:at + AT_ONCE]
-        spread = np.stack([h * m for m in _SPREAD[:words]], 1)
-        spread ^= spread >> np.uint64(32)
-        counts += np.unpackbits(spread.view(np.uint8).reshape(len(h), -1), axis=1).sum(0, dtype=np.int64)
-    return np.packbits(counts * 2 > len(hashes)).view(np.int64).tolist()
-
-
-def _digest(data: bytes, seed: int = 0) -> int:
-    return int.from_bytes(xxhash.xxh64_digest(data, seed), "big", signed=True)
-
-
-def bands(shingles: np.ndarray) -> list[int]:
-    """Search keys of a set of shingles; two sets share each one with the chance of their similarity to the power of ``ROWS``."""
-    least = np.full(BANDS * ROWS, ~np.uint64(0))
-    for at in range(0, len(shingles), 1 << 10):
-        np.minimum(least, (shingles[at:at + (1 << 10), None] * _ORDERS).min(0), out=least)
-    return [_digest(part.tobytes(), i) for i, part in enumerate(least.reshape(BANDS, ROWS))]
-
-
-def _possible(left: str, right: str, words: tuple[str, ...], similarity: float, radius: int):
-    """Whether a pair can be similar by the sizes of its sets and by its fingerprints."""
-    apart = reduce(add, [F.bit_count(F.col(f"{left}.{w}").bitwiseXOR(F.col(f"{right}.{w}"))) for w in words])
-    x, y = F.col(f"{left}.n"), F.col(f"{right}.n")
-    return (F.least(x, y) >= F.lit(similarity) * F.greatest(x, y) - 1e-6) & (apart <= radius)
-
-
-def _alike(pairs: DataFrame, source: DataFrame, classes: DataFrame, scratch: Scratch, size: int, similarity: float) -> DataFrame:
-    """The stored pairs (a, b) of classes whose sets of shingles are similar, by the text of one document of each."""
-    def shingled(batches):
-        out = arrow_schema("node long, shingles binary")
-
-        def rows():
-            for b in batches:
-                for node, text in zip(b.column("node").to_pylist(), b.column("text")):
-                    yield node, np.unique(shingle_hashes(text.as_py(), size)).tobytes()
-        yield from sliced_rows(rows(), out)
-
-    def compare(batches):
-        for b in batches:
-            hit = []
-            for x, y in zip(b.column("x"), b.column("y")):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                hit.append(both >= similarity * (len(x) + len(y) - both) - 1e-6)
-            yield b.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
-
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ends = scratch.keep(classes.select("node", "least.*").join(ends, "node"), "ends")
-    texts = source.join(ends, ["doc", "th"]).select("node", "text")
-    # Repeated rows have the same text.
-    sets = scratch.keep(map_arrow(texts, shingled, "node long, shingles binary").groupBy("node").agg(
-        F.first("shingles").alias("shingles")), "shingles")
-    both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-            .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b"))
-    return scratch.keep(map_arrow(both.select("a", "b", "x", "y"), compare, "a long, b long"), "alike")
-
-
-def similar_documents(docs: DataFrame, scratch: Scratch, size: int = SIMILAR_SHINGLE,
-                      similarity: float = SIMILARITY) -> DataFrame:
-    """(doc, th, first): every row by its id and text hash, and whether it is the one of its group that stays.
-
-    Equal sets of word shingles are one class. Classes that share one of ``BANDS`` keys meet: first each with the least
-    of its key, then, where a key still holds several groups, those outside the group of the least with all of others.
-    Those that can be similar by their sizes and fingerprints are compared by their shingles themselves. The row with the least id stays,
-    with the least hash among repeated ids; rows that are equal in both are one. Null ids come first.
-    """
-    words = tuple(f"w{i}" for i in range(WORDS))
-    schema = ", ".join(("doc long, th long, node long, n long, keys array<long>", *(f"{w} long" for w in words)))
-
-    def work(batches):
-        for b in batches:
-            rows = []
-            for text in b.column("text"):
-                shingles = np.unique(shingle_hashes(text.as_py(), size))
-                rows.append((_digest(shingles.tobytes()), len(shingles), bands(shingles), *_majority(shingles, WORDS)))
-            if rows:
-                yield batch(arrow_schema(schema), [b.column("doc"), b.column("th"), *zip(*rows)])
-
-    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1 << 63)).alias("doc"),
-                         F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), utf8().alias("text"))
-    marked = scratch.keep(map_arrow(source, work, schema), "marked")
-    classes = scratch.keep(marked.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "keys", *words)],
-                                                      F.min(F.struct("doc", "th")).alias("least")), "classes")
-    bits, radius = classes.select("node", "n", *words), similar_radius(similarity, CANDIDATE_MARGIN)
-    keyed = classes.select(F.explode("keys").alias("key"), "node")
-    heads = scratch.keep(keyed.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("rows"))
-                         .where("rows > 1").select("key", "head"), "heads")
-    met = scratch.keep(keyed.join(heads, "key"), "met")
-    pairs = scratch.keep(met.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    near = pairs.join(bits.alias("x"), F.col("a") == F.col("x.node")).join(bits.alias("y"), F.col("b") == F.col("y.node"))
-    found = scratch.keep(near.where(_possible("x", "y", words, similarity, radius)).select("a", "b"), "found")
-    found = _alike(found, source, classes, scratch, size, similarity)
-    groups = components(found, scratch)
-    # Keys with several groups: whoever is outside the group of the least meets all of other groups.
-    placed = scratch.keep(met.join(groups, "node", "left").select(
-        "key", "node", "head", F.coalesce("component", "node").alias("own")), "met-placed")
-    several = scratch.keep(placed.groupBy("key").agg(
-        F.max(F.when(F.col("node") == F.col("head"), F.col("own"))).alias("home"), F.min("own").alias("low"),
-        F.max("own").alias("high")).where("low <> high").select("key", "home"), "several")
-    apart = scratch.keep(placed.select("key", "node", "own").join(several, "key"), "apart")
-    apart = scratch.keep(apart.join(bits, "node"), "apart-bits")
-    x, y = apart.where("own <> home").alias("x"), apart.alias("y")
-    crossed = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.own") != F.col("y.own"))
-                     & _possible("x", "y", words, similarity, radius))
-    crossed = scratch.keep(crossed.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-                           .distinct(), "crossed")
-    crossed = _alike(crossed, source, classes, scratch, size, similarity)
-    groups = components(found.union(crossed), scratch)
-    placed = scratch.keep(classes.select("node", "least").join(groups, "node", "left")
-                          .select("node", "least", F.coalesce("component", "node").alias("component")), "placed")
-    stays = scratch.keep(placed.groupBy("component").agg(F.min("least").alias("stays")), "stays")
-    named = scratch.keep(placed.join(stays, "component").select("node", "stays"), "named")
-    return marked.select("doc", "th", "node").distinct().join(named, "node").select(
-        "doc", "th", (F.struct("doc", "th") == F.col("stays")).alias("first"))
