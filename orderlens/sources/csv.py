@@ -7,19 +7,22 @@ from pyspark.sql import functions as F
 
 from orderlens.contracts import CONTRACTS
 from orderlens.operators.cleaning import TIMESTAMP_FORMAT, clean_table
+from orderlens.sources.records import read_inferred_records, read_records
 from orderlens.warehouse import Warehouse
 
 _OPTIONS = {"header": "true", "encoding": "UTF-8", "quote": '"', "escape": '"'}
-# Free text may hold line breaks. Such a file cannot be split, so only this table pays for it.
-_MULTILINE = {"reviews"}
+# Free text may hold line breaks: such a table is divided into records first.
+_FREE_TEXT = {"reviews"}
 # The writer would strip text at both ends otherwise.
 _WRITE = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
 def read_raw(spark: SparkSession, path: str, name: str) -> DataFrame:
     """A table as text columns, without inference."""
-    return spark.read.options(**_OPTIONS, multiLine=str(name in _MULTILINE).lower()).schema(
-        CONTRACTS[name].raw_schema).csv(path)
+    schema = CONTRACTS[name].raw_schema
+    if name in _FREE_TEXT and has_line_breaks(spark, path):
+        return read_records(spark, path, schema, **_OPTIONS)
+    return spark.read.options(**_OPTIONS).schema(schema).csv(path)
 
 
 def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -52,12 +55,10 @@ def has_line_breaks(spark: SparkSession, path: str) -> bool:
 
 
 def read_inferred(spark: SparkSession, path: str) -> DataFrame:
-    """A data set with header and inferred types, for profiling unknown files only.
-
-    Only a file with line breaks inside quotes is read whole by one task.
-    """
-    multiline = str(has_line_breaks(spark, path)).lower()
-    return spark.read.options(**_OPTIONS, multiLine=multiline, inferSchema="true").csv(path)
+    """A data set with header and inferred types, for profiling unknown files only."""
+    if has_line_breaks(spark, path):
+        return read_inferred_records(spark, path, **_OPTIONS)
+    return spark.read.options(**_OPTIONS, inferSchema="true").csv(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
