@@ -9,18 +9,20 @@ from __future__ import annotations
 
 import datetime
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlens.functions import (
     LATE, ON_TIME, count_when, delivery_status, is_delivered, mean, money,
-    money_sum, month_start, pct, ratio,
+    money_sum, money_total, month_start, pct, ratio,
 )
 from orderlens.operators.calendar import date_dim
 from orderlens.operators.ranking import global_row_number, top_n
 from orderlens.operators.rollups import item_totals, review_totals
 from orderlens.plans import marts
+from orderlens.session import materialize
 from orderlens.warehouse import Warehouse
 
 # Fixed values of the report pages.
@@ -56,12 +58,12 @@ class Model:
     def without(self, *names: str) -> Model:
         return Model(self.warehouse, self.context.without(*names))
 
-    def _all_orders(self, buyer: bool) -> DataFrame:
+    def _all_orders(self, buyer: bool, how: str = "inner") -> DataFrame:
         """Delivered orders before any slicer. Unused columns are pruned from the scan;
         the customer join is left out where neither buyer nor place is needed."""
         orders = self.warehouse.orders.filter(is_delivered())
         if buyer:
-            orders = orders.join(self.warehouse.customers, "customer_id")
+            orders = orders.join(self.warehouse.customers, "customer_id", how)
         arrived = F.col("order_delivered_customer_date")
         return orders.select(
             "order_id", *([_PERSON, _STATE] if buyer else []),
@@ -71,10 +73,10 @@ class Model:
             F.when(arrived.isNotNull(), delivery_status(missing_is_late=True)).alias("delivery_status"),
         )
 
-    def orders(self, buyer: bool = True) -> DataFrame:
-        """The register under the date, state and delivery status slicers."""
+    def orders(self, buyer: bool = True, how: str = "inner") -> DataFrame:
+        """The register under the date, state and delivery status slicers. ``how`` is the join with the buyers."""
         context = self.context
-        orders = self._all_orders(buyer or bool(context.states))
+        orders = self._all_orders(buyer or bool(context.states), how)
         if context.date_from:
             orders = orders.filter(F.col("order_date") >= F.lit(context.date_from))
         if context.date_to:
@@ -156,31 +158,48 @@ RELATIONSHIPS = (
 )
 
 
+def _keys(frame: DataFrame, *uses: tuple[int, str, bool]) -> DataFrame:
+    """(relationship, key, one): a row of the frame for every use, on the one side or the many side of a relationship."""
+    rows = F.array(*[F.struct(F.lit(number).alias("relationship"), F.col(key).cast("string").alias("key"), F.lit(one).alias("one"))
+                     for number, key, one in uses])
+    return frame.select(F.explode(rows).alias("use")).select("use.*")
+
+
 def star_relationships(w: Warehouse) -> DataFrame:
-    """Every relationship with its checks: the one side has unique keys and no many-side key is an orphan."""
-    hub = marts.orders(w).select("order_id", "order_purchase_date")
-    per_order = item_totals(w.order_items, "order_id").join(
-        w.orders.filter(is_delivered()).join(w.customers, "customer_id").select("order_id", _PERSON), "order_id")
-    sold = w.order_items.join(hub, "order_id", "left_semi")
-    dates = date_dim(w.orders).select(F.col("date").alias("order_purchase_date"))
-    one = {"date": dates, "orders": hub, "products": marts.products(w), "sellers": marts.sellers(w),
-           "customers": marts.customers(w)}
-    many = {
-        "orders": hub, "delivery": marts.delivery(w), "reviews": w.reviews.join(hub, "order_id", "left_semi"),
-        "payments": w.payments.join(hub, "order_id", "left_semi"), "sales": sold,
-    }
-    checks = None
-    for position, (parent, child, key) in enumerate(RELATIONSHIPS, 1):
-        children = per_order if key == _PERSON else many[child]
-        keys = one[parent].groupBy(key).agg(F.count("*").alias("n"))
-        unique = keys.agg(F.sum("n").alias("one_rows"), F.count("*").alias("one_keys"))
-        orphans = children.select(key).distinct().join(one[parent].select(key), key, "left_anti").agg(F.count("*"))
-        row = unique.select(
-            F.lit(position).alias("relationship"), F.lit(parent).alias("one_side"),
-            F.lit(child).alias("many_side"), F.lit(key).alias("key"), "one_rows", "one_keys",
-            orphans.scalar().alias("orphan_keys"))
-        checks = row if checks is None else checks.unionAll(row)
-    return checks
+    """Every relationship with its checks: the one side has unique keys and no many-side key is an orphan.
+
+    The keys of all sides go through one grouping. The register, and the keys of the sides that are reports of their own, are
+    written once below the shared folder.
+    """
+    number = {(one, many): i for i, (one, many, _) in enumerate(RELATIONSHIPS, 1)}
+    by_order = [i for (one, _), i in number.items() if one == "orders"]
+    hub = materialize(marts.delivered_hub(w, "order_id", F.to_date("order_purchase_timestamp").alias("order_purchase_date"), _PERSON), "star-register")
+    reports = [_keys(date_dim(w.orders).select(F.col("date").alias("day")), (number["date", "orders"], "day", True))]
+    for name, mart, key in (("products", marts.products(w), "product_id"), ("sellers", marts.sellers(w), "seller_id"),
+                            ("customers", marts.customers(w), _PERSON)):
+        reports.append(_keys(mart.select(key), (number[name, "sales"], key, True)))
+    reports.append(_keys(marts.delivery(w).select("order_id"), (number["orders", "delivery"], "order_id", False)))
+    sold = w.order_items.select("order_id", "product_id", "seller_id").join(hub.select("order_id", _PERSON), "order_id")
+    order_ids = hub.select("order_id")
+    tagged = [
+        materialize(reduce(DataFrame.unionAll, reports), "star-keys"),
+        _keys(hub, (number["date", "orders"], "order_purchase_date", False), *[(i, "order_id", True) for i in by_order]),
+        _keys(sold, *[(number[one, "sales"], key, False) for one, key in (
+            ("orders", "order_id"), ("products", "product_id"), ("sellers", "seller_id"), ("customers", _PERSON))]),
+        _keys(w.reviews.select("order_id").join(order_ids, "order_id", "left_semi"), (number["orders", "reviews"], "order_id", False)),
+        _keys(w.payments.select("order_id").join(order_ids, "order_id", "left_semi"), (number["orders", "payments"], "order_id", False)),
+    ]
+    keys = reduce(DataFrame.unionAll, tagged).groupBy("relationship", "key").agg(
+        count_when(F.col("one")).alias("one"), count_when(~F.col("one")).alias("many"))
+    found = keys.groupBy("relationship").agg(
+        F.nullif(F.sum("one"), F.lit(0)).alias("one_rows"), count_when(F.col("one") > 0).alias("one_keys"),
+        count_when((F.col("one") == 0) & (F.col("many") > 0)).alias("orphan_keys"))
+    listed = F.array(*[F.struct(F.lit(i).alias("relationship"), F.lit(one).alias("one_side"), F.lit(many).alias("many_side"),
+                                F.lit(key).alias("key")) for i, (one, many, key) in enumerate(RELATIONSHIPS, 1)])
+    every = w.spark.range(1).select(F.explode(listed).alias("r")).select("r.*")
+    return every.join(found, "relationship", "left").select(
+        "relationship", "one_side", "many_side", "key", "one_rows", F.coalesce("one_keys", F.lit(0)).alias("one_keys"),
+        F.coalesce("orphan_keys", F.lit(0)).alias("orphan_keys"))
 
 
 # --- Overview and sales -----------------------------------------------------------------------
@@ -332,7 +351,10 @@ def revenue_by_seller_state(m: Model, n: int = 8) -> DataFrame:
 
 def top_decile_seller_share(m: Model, tenths: int = 1, digits: int = 2) -> DataFrame:
     """Revenue share of the best tenth of sellers, their number rounded up."""
-    sellers = m.sales_by("seller_id").select("seller_id", "revenue")
+    return _top_decile(m.sales_by("seller_id").select("seller_id", "revenue"), tenths, digits)
+
+
+def _top_decile(sellers: DataFrame, tenths: int, digits: int) -> DataFrame:
     ranked = global_row_number(sellers, [F.col("revenue").desc(), F.col("seller_id")], "position", "sellers")
     chosen = F.col("position") <= F.floor((F.col("sellers") * tenths + 9) / 10)
     return ranked.agg(
@@ -513,46 +535,138 @@ def reconciliation_by_order(m: Model) -> DataFrame:
 NOTHING = "Not enough data in this selection"
 
 
-def _sentence(topic: str, frame: DataFrame, *parts: str | Column) -> DataFrame:
-    """One sentence from a frame of at most one row, or the fallback when it is empty or blank.
-    A global aggregate always gives one row."""
-    text = F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-    return frame.agg(F.coalesce(F.max(text), F.lit(NOTHING)).alias("sentence")).select(
-        F.lit(topic).alias("topic"), "sentence")
+def _cells(m: Model) -> DataFrame:
+    """The selection in one frame of (state, person, delivery status) with the sums that takeaways need, from one pass over
+    each fact. Orders without a known buyer have no state and person."""
+    w, status, c = m.warehouse, F.col("delivery_status"), F.col
+    scores = w.reviews.groupBy("order_id").agg(
+        F.count("review_score").alias("reviews"), F.count("*").alias("all_reviews"), F.sum("review_score").alias("score"),
+        count_when(c("review_score") <= 2).alias("low"))
+    paid = w.payments.groupBy("order_id").agg(
+        F.sum("payment_value").alias("paid"), F.sum(F.when(c("payment_type") == "credit_card", c("payment_value"))).alias("card"))
+    frame = m.orders(buyer=True, how="left")
+    for totals in (item_totals(m._sold(), "order_id"), scores, paid):
+        frame = frame.join(totals, "order_id", "left")
+    sold = c("items").isNotNull()
+    if m.context.customer_types:
+        chosen = people_types(w).filter(c("customer_type").isin(*m.context.customer_types)).select(_PERSON, F.lit(True).alias("chosen"))
+        frame = frame.join(chosen, _PERSON, "left")
+        sold = sold & F.coalesce("chosen", F.lit(False))
+    return frame.groupBy(_STATE, _PERSON, "delivery_status").agg(
+        count_when(sold).alias("orders"), F.sum(F.when(sold, c("revenue_cents"))).alias("revenue"),
+        F.sum(F.when(sold, c("freight_cents"))).alias("freight"), F.sum("revenue_cents").alias("all_revenue"),
+        F.count(status).alias("delivered"), F.sum(F.when(status.isNotNull(), c("delivery_days"))).alias("days"),
+        F.count(F.when(status.isNotNull(), c("delivery_days"))).alias("timed"),
+        F.count("reviews").alias("reviewed"), F.sum("reviews").alias("reviews"), F.sum("score").alias("score"),
+        F.sum("all_reviews").alias("all_reviews"), F.sum(F.when(c("all_reviews").isNotNull(), c("low"))).alias("low"),
+        F.sum("paid").alias("paid"), F.sum("card").alias("card"))
+
+
+def _first(value: str, wanted: Column, down: bool) -> Column:
+    """The first state by a value, ties by name, among rows that qualify: a struct (value, state)."""
+    key = -F.col(value) if down else F.col(value)
+    first = F.min(F.when(wanted & F.col(value).isNotNull(), F.struct(key.alias("key"), F.col(_STATE).alias("state"))))
+    return F.struct((-first["key"] if down else first["key"]).alias("value"), first["state"].alias("state"))
+
+
+def _of_states(cells: DataFrame) -> DataFrame:
+    """One row: the leading state of every state report, and all buyers."""
+    c = F.col
+    known = c(_PERSON).isNotNull()
+    people = cells.filter(known).groupBy(_STATE, _PERSON).agg(*[F.sum(x).alias(x) for x in (
+        "orders", "revenue", "freight", "delivered", "days", "timed", "reviewed", "reviews", "score")])
+    states = people.groupBy(_STATE).agg(
+        count_when(c("orders") > 0).alias("people"), F.sum("orders").alias("orders"),
+        pct(money_total("freight"), money_total("revenue")).alias("freight_pct"), F.sum("delivered").alias("delivered"),
+        ratio(F.sum("days"), F.sum("timed")).alias("days"), F.sum("reviewed").alias("reviewed"),
+        ratio(F.sum("score"), F.sum("reviews")).alias("score"))
+    return states.agg(
+        _first("freight_pct", c("orders") >= MIN_ORDERS, True).alias("freight"),
+        _first("days", c("delivered") >= MIN_ORDERS, True).alias("slowest"),
+        _first("people", c("people") > 0, True).alias("most"), _first("score", c("reviewed") >= 1, False).alias("lowest"))
+
+
+def _of_people(m: Model, cells: DataFrame) -> DataFrame:
+    """One row: buyers of the selection, those that came back, and what these spent."""
+    c = F.col
+    bought = cells.filter(c(_PERSON).isNotNull()).groupBy(_PERSON).agg(
+        F.sum("orders").alias("orders"), F.sum("revenue").alias("revenue")).filter("orders > 0")
+    if m.context == Context():  # the selection is the whole history
+        bought = bought.withColumn("customer_type", marts.customer_type(c("orders")))
+    else:
+        bought = bought.join(people_types(m.warehouse), _PERSON)
+    repeat = c("customer_type") == marts.REPEAT
+    return bought.agg(F.count("*").alias("people"), count_when(repeat).alias("repeat"), money_total(F.when(repeat, c("revenue"))).alias("revenue"))
+
+
+def _of_all(cells: DataFrame) -> DataFrame:
+    """One row: revenue of all types, reviews by delivery status, payments."""
+    c = F.col
+    late, on_time = c("delivery_status") == LATE, c("delivery_status") == ON_TIME
+
+    def score(wanted: Column) -> Column:
+        return ratio(F.sum(F.when(wanted, c("score"))), F.sum(F.when(wanted, c("reviews"))))
+
+    return cells.agg(
+        money_total("all_revenue").alias("revenue"), score(late).alias("late"), score(on_time).alias("on_time"),
+        pct(F.sum(F.when(late, c("low"))), F.sum(F.when(late, c("all_reviews")))).alias("low"),
+        pct(F.sum("card"), F.sum("paid"), 1).alias("card"),
+        # Revenue by person counts people; the buyers of several states count once here.
+        F.count_distinct(F.when(c("orders") > 0, c(_PERSON))).alias("people"))
 
 
 def takeaways(m: Model) -> DataFrame:
-    """The sentences of all report pages. Shares are rounded once, to the decimal that is shown."""
+    """The sentences of all report pages. Shares are rounded once, to the decimal that is shown.
+
+    Three frames are written once below the shared folder: cells of (state, person, delivery status), sales by product and
+    seller, and sales by category. All sentences come from these.
+    """
     c = F.col
-    one = (c("share_pct").cast("decimal(10,1)"), "%")
-    scores = review_by_status(m).agg(
-        F.max(F.when(c("delivery_status") == LATE, c("avg_review_score"))).alias("late"),
-        F.max(F.when(c("delivery_status") == ON_TIME, c("avg_review_score"))).alias("on_time"))
-    repeat_money = revenue_share_by_type(m, digits=1).filter(c("customer_type") == marts.REPEAT)
-    card = payment_mix(m, digits=1).filter(c("payment_type") == "credit_card")
-    late_low = low_score_by_status(m).filter(c("delivery_status") == LATE)
-    sentences = [
-        _sentence("category share", top10_category_share(m, digits=1), "Top 10 categories bring ", *one, " of revenue"),
-        _sentence("price", top_price_category(m), "Highest average price: ", c("product_category"),
-                  " (", c("avg_item_price"), ")"),
-        _sentence("freight", top_freight_state(m), "Highest freight share: ", c(_STATE),
-                  " (", c("freight_pct"), "% of revenue)"),
-        _sentence("late reviews", scores, "Late orders score ", c("late"), " against ", c("on_time"), " on time"),
-        _sentence("slowest state", slowest_states(m, 1), "Slowest state with ", str(MIN_ORDERS), "+ orders: ",
-                  c(_STATE), " (", c("avg_delivery_days"), " days)"),
-        _sentence("seller share", top_decile_seller_share(m, digits=1), "Top 10% of sellers bring ", *one, " of revenue"),
-        _sentence("repeat rate", repeat_rate(m), c("repeat_rate_pct"), "% of customers came back"),
-        _sentence("repeat revenue", repeat_money, "Repeat customers bring ", *one, " of revenue"),
-        _sentence("top state", customers_by_state(m, 1, digits=1), c(_STATE), " has ", *one, " of customers"),
-        _sentence("lowest rated", lowest_rated_states(m, 1), "Lowest rated state: ", c(_STATE),
-                  " (", c("avg_review_score"), ")"),
-        _sentence("low scores", late_low, c("low_score_pct"), "% of the reviews of late orders are 1 or 2 stars"),
-        _sentence("payment", card, "Credit cards carry ", *one, " of payment value"),
-    ]
-    result = sentences[0]
-    for sentence in sentences[1:]:
-        result = result.unionAll(sentence)
-    return result
+    cells = materialize(_cells(m), "takeaway-cells")
+    sold = m._sold().join(m._buyers(False).select("order_id"), "order_id", "left_semi")
+    pairs = materialize(item_totals(sold, "product_id", "seller_id"), "takeaway-pairs")
+    sums = [F.sum(x).alias(x) for x in ("items", "revenue_cents")]
+    per_product = pairs.groupBy("product_id").agg(*sums).join(marts.product_categories(m.warehouse), "product_id", "left")
+    name = F.coalesce("product_category", F.lit(marts.UNCATEGORIZED)).alias("product_category")
+    categories = materialize(per_product.groupBy(name).agg(
+        F.sum("items").alias("items"), money_total("revenue_cents").alias("revenue")), "takeaway-categories")
+    top = top_n(categories, 10, c("revenue").desc(), c("product_category")).agg(F.sum("revenue")).scalar()
+    whole = categories.agg(F.struct(F.sum("items").alias("items"), F.sum("revenue").alias("revenue"))).scalar()
+    enough = (c("items") >= PRICE_CUTOFF_ITEMS) & (c("items") * PRICE_CUTOFF_SHARE >= whole["items"])
+    price = ratio("revenue", "items")
+    dearest = categories.filter(enough).agg(F.min(F.struct((-price).alias("price"), "product_category"))).scalar()
+    sellers = pairs.groupBy("seller_id").agg(money_total("revenue_cents").alias("revenue"))
+    leading = _top_decile(sellers, 1, 1).agg(F.max("share_pct")).scalar()
+    frame = _of_states(cells).select("*", F.struct(top.alias("top"), whole["revenue"].alias("revenue")).alias("category"), dearest.alias("dearest"),
+                                     leading.alias("sellers"))
+    people = _of_people(m, cells).agg(F.struct(*[F.max(x).alias(x) for x in ("people", "repeat", "revenue")])).scalar()
+    every = _of_all(cells)
+    every = every.agg(F.struct(*[F.max(x).alias(x) for x in every.columns])).scalar()
+    frame = frame.withColumns({"p": people, "e": every})
+
+    def shown(share: Column) -> tuple:
+        return share.cast("decimal(10,1)"), "%"
+
+    def sentence(*parts: str | Column) -> Column:
+        text = F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+        return F.coalesce(text, F.lit(NOTHING))
+
+    said = {
+        "category share": ("Top 10 categories bring ", *shown(pct(c("category.top"), c("category.revenue"), 1)), " of revenue"),
+        "price": ("Highest average price: ", c("dearest.product_category"), " (", -c("dearest.price"), ")"),
+        "freight": ("Highest freight share: ", c("freight.state"), " (", c("freight.value"), "% of revenue)"),
+        "late reviews": ("Late orders score ", c("e.late"), " against ", c("e.on_time"), " on time"),
+        "slowest state": ("Slowest state with ", str(MIN_ORDERS), "+ orders: ", c("slowest.state"), " (", c("slowest.value"), " days)"),
+        "seller share": ("Top 10% of sellers bring ", *shown(c("sellers")), " of revenue"),
+        "repeat rate": (pct(c("p.repeat"), c("p.people")), "% of customers came back"),
+        "repeat revenue": ("Repeat customers bring ", *shown(pct(c("p.revenue"), c("e.revenue"), 1)), " of revenue"),
+        "top state": (c("most.state"), " has ", *shown(pct(c("most.value"), c("e.people"), 1)), " of customers"),
+        "lowest rated": ("Lowest rated state: ", c("lowest.state"), " (", c("lowest.value"), ")"),
+        "low scores": (c("e.low"), "% of the reviews of late orders are 1 or 2 stars"),
+        "payment": ("Credit cards carry ", *shown(c("e.card")), " of payment value"),
+    }
+    rows = F.array(*[F.struct(F.lit(topic).alias("topic"), sentence(*parts).alias("sentence")) for topic, parts in said.items()])
+    return frame.select(F.explode(rows).alias("row")).select("row.*")
 
 
 MEASURES = {

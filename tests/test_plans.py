@@ -7,7 +7,7 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 from orderlens import registry
-from orderlens.plans import advanced, intake
+from orderlens.plans import advanced, intake, semantic
 from orderlens.session import scratch_path, scratch_table
 from orderlens.sources import tables
 
@@ -77,3 +77,10 @@ def test_published_views_agree(spark, warehouse):
 def test_customer_status_layout_prunes_folders_and_needs_no_shuffle(warehouse):
     text = plan(intake.customer_status_layout(warehouse, 4))
     assert re.search(r"PartitionFilters: \[[^\]]*order_status[^\]]*delivered", text) and "Exchange" not in text
+
+
+@pytest.mark.parametrize("report", [semantic.star_relationships, lambda w: semantic.takeaways(semantic.Model(w))])
+def test_reports_of_many_parts_share_their_frames(warehouse, report):
+    """The result reads frames that were written once, and the facts a few times; nothing is expanded."""
+    plan = report(warehouse)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") <= 12 and "Expand " not in plan
