@@ -111,7 +111,9 @@ def calendar_days(start: ColumnOrName, end: ColumnOrName) -> Column:
 
 
 def blank_to_null(column: ColumnOrName) -> Column:
-    return F.nullif(F.trim(column), F.lit(""))
+    """The trimmed text, null if nothing is left. By length, so that text under a collation keeps it."""
+    trimmed = F.trim(column)
+    return F.when(F.length(trimmed) > 0, trimmed)
 
 
 def strip_all(column: ColumnOrName) -> Column:

@@ -45,7 +45,8 @@ def _typed(column: Column, kind: T.DataType, stripped: bool) -> Column:
     if isinstance(kind, T.TimestampNTZType):
         return to_timestamp(column)
     if isinstance(kind, T.StringType):
-        return F.nullif(strip_all(column) if stripped else column, F.lit(""))
+        text = strip_all(column) if stripped else column
+        return F.when(F.length(text) > 0, text)
     text = F.nullif(strip_all(column), F.lit(""))
     if isinstance(kind, T.IntegerType):
         return whole_number(text, kind)

@@ -57,9 +57,14 @@ def save_marts(w: Warehouse, folder: str) -> None:
         mart(w).write.mode("errorifexists").parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def _folder_status(orders: DataFrame) -> DataFrame:
+    """Folders are named by the bytes of a status, so it gives up its collation."""
+    return orders.withColumn("order_status", F.collate("order_status", "UTF8_BINARY"))
+
+
 def write_by_status(orders: DataFrame, path: str) -> None:
     """Orders in one folder per status, so that a status filter prunes folders."""
-    orders.write.mode("errorifexists").partitionBy("order_status").parquet(path)
+    _folder_status(orders).write.mode("errorifexists").partitionBy("order_status").parquet(path)
 
 
 def save_bucketed(df: DataFrame, name: str, path: str, buckets: int, key: str = "order_id") -> DataFrame:
@@ -74,7 +79,7 @@ def save_bucketed(df: DataFrame, name: str, path: str, buckets: int, key: str =
 def save_by_customer_status(orders: DataFrame, name: str, path: str, buckets: int) -> DataFrame:
     """Orders in one folder per status, in it bucketed by customer: a status filter prunes folders, and a
     roll-up per customer needs no shuffle."""
-    orders.repartition(buckets, F.pmod(F.hash("customer_id"), F.lit(buckets))).write.mode("overwrite").partitionBy(
+    _folder_status(orders).repartition(buckets, F.pmod(F.hash("customer_id"), F.lit(buckets))).write.mode("overwrite").partitionBy(
         "order_status").bucketBy(buckets, "customer_id").sortBy("customer_id").option("path", path).saveAsTable(name)
     return orders.sparkSession.table(name)
 

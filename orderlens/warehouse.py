@@ -30,7 +30,7 @@ class Warehouse:
 
     def collated(self, collation: str) -> Warehouse:
         """The same tables with their text under a collation, ``UNICODE_CI_AI`` for one that ignores case and accents.
-        Filters, joins and groups on text then follow it."""
+        Filters, joins and groups on text then follow it in every analysis; folders of a stored layout keep plain text."""
         def load(name: str) -> DataFrame:
             df = self.table(name)
             return df.select([F.collate(F.col(f.name), collation).alias(f.name) if isinstance(f.dataType, T.StringType)
