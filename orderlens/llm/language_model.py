@@ -1,19 +1,19 @@
 """Log-probabilities of texts by a weighted backoff automaton.
 
-States are the contexts that the training text has seen: the empty one, and every word after which
-something came (the start of a text is one as well). A seen n-gram is an arc to the state of its longest
-seen ending; every other word takes the failure arc to the state with one word less, whose weight makes the
-probabilities of a state add up to one:
+States are the contexts that the training text has seen: the empty one, every word and every pair of words after which
+something came (the start of a text is a word too). A seen n-gram is an arc from the state of all its words but the last to
+the state of its longest seen ending. Every other word takes the failure arc to the state with one word less, once or
+twice, until some arc fits; the weights of arcs and failure arcs make the probabilities of a state add up to one:
 
     arc      (c(h w) + K p(w | h')) / (c(h) + K)
     failure  K / (c(h) + K)
 
-with h' the shorter context and the base measure at the empty one. One traversal from left to right carries
-the state and adds up weights. As every ending of a seen n-gram is seen too, the state after a position
-is known from the counts at that position, so the traversal is done for all positions of a block at once.
+with h' the context without its first word, the base measure at the empty one, and a K for each length of context. One
+traversal from left to right carries the state and adds up weights. Long texts are traversed as lanes side by side: what was
+seen before a lane tells its first state, as every ending of a seen n-gram is seen too.
 
-Counting and looking up are one exchange: blocks (``blocks.py``) send the hashes of their distinct words and
-pairs with their own training counts, split by range; every shard adds them up and answers each
+Counting and looking up are one exchange: blocks (``blocks.py``) send the hashes of their distinct words, pairs and
+triples with their own training counts, split by range; every shard adds them up and answers each
 block with the totals in the order of the question.
 """
 
@@ -29,8 +29,11 @@ from orderlens.llm.common import arrow_schema, batch, map_arrow, shuffle_partiti
 from orderlens.session import Scratch
 
 FOLDS, HELD_OUT = 5, 1
-#: n-grams are pairs at most; K of the formula above.
-STRENGTH = 200.0
+#: Words of the longest n-grams; K of the formula above for contexts of one word and of two, chosen on another fold of the training
+#: texts of sf0.1 (id remainder 2, learnt from the other three).
+LONGEST, STRENGTHS = 3, (3000.0, 5.0)
+#: Positions of a lane.
+LANE = 512
 #: Shards for each shuffle partition: a task adds up one shard at a time.
 SHARDS = 4
 
@@ -50,11 +53,11 @@ def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def held_out(id_column: str = "doc_id"):
-    return F.coalesce(F.pmod(F.crc32(F.col(id_column).cast("string").cast("binary")), F.lit(FOLDS)) == HELD_OUT, F.lit(False))
+def held_out(id_column: str = "doc_id", remainder: int = HELD_OUT):
+    return F.coalesce(F.pmod(F.crc32(F.col(id_column).cast("string").cast("binary")), F.lit(FOLDS)) == remainder, F.lit(False))
 
 
-def stored_blocks(docs: DataFrame) -> DataFrame:
+def stored_blocks(docs: DataFrame, remainder: int = HELD_OUT) -> DataFrame:
     def work(batches):
         for number, held in blocks(batches, lambda data: data.lower().split(), ("doc_id", "held")):
             def by_count(words, counts):
@@ -70,40 +73,48 @@ def stored_blocks(docs: DataFrame) -> DataFrame:
                 [number], [len(ids)], [planes(ids)], [np.array([h for _, h in held.ids], np.uint8).tobytes()],
                 [planes(held.lengths())], [planes(numbers)], [hashes.tobytes()]])
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text"), held_out().alias("held"))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text"), held_out(remainder=remainder).alias("held"))
     return map_arrow(source, work, STORED)
 
 
 class Positions:
-    """The positions of a block's texts: a word or the end each, with the word (or start) before."""
-
-    def __init__(self, row: dict):
-        n = row["documents"]
-        self.ids, self.held = from_planes(row["ids"], np.int64), np.frombuffer(row["held"], np.uint8).astype(bool)
-        lengths = from_planes(row["lengths"], np.uint32).astype(np.int64)
-        hashes = np.frombuffer(row["hashes"], np.uint64)
-        self.lengths = lengths + 1
-        self.ends = np.cumsum(self.lengths)
-        inner = np.ones(int(self.lengths.sum()), bool)
-        inner[self.ends - 1] = False
-        self.word = np.full(len(inner), END, np.uint64)
-        self.word[inner] = hashes[from_planes(row["numbers"], np.uint32)]
-        self.before = np.concatenate([np.array([START], np.uint64), self.word[:-1]])
-        self.before[self.ends[:-1]] = START
-        self.training = np.repeat(~self.held, self.lengths)
-        self.documents = n
+    """The positions of a block's texts: a word or the end each, with the word (or start) before and the pair before."""
+
+    def __init__(self, word: np.ndarray, lengths: np.ndarray, training: np.ndarray):
+        self.word, self.lengths = word, lengths
+        self.ends = np.cumsum(lengths)
+        self.first = np.zeros(len(word), bool)
+        self.first[self.ends - lengths] = True
+        self.before = np.concatenate([np.array([START], np.uint64), word[:-1]])
+        self.before[self.first] = START
+        self.training = np.repeat(training, lengths)
+        self.starts = training
+        self.pair = pair_keys(self.before, word)
+
+    @classmethod
+    def of(cls, row: dict) -> Positions:
+        lengths = from_planes(row["lengths"], np.uint32).astype(np.int64) + 1
+        inner = np.ones(int(lengths.sum()), bool)
+        inner[np.cumsum(lengths) - 1] = False
+        word = np.full(len(inner), END, np.uint64)
+        word[inner] = np.frombuffer(row["hashes"], np.uint64)[from_planes(row["numbers"], np.uint32)]
+        return cls(word, lengths, ~np.frombuffer(row["held"], np.uint8).astype(bool))
 
     def keys(self, size: int) -> np.ndarray:
-        return self.word if size == 1 else pair_keys(self.before, self.word)
+        """The n-gram that ends at each position; the first of a text ends none of three words."""
+        if size < 3:
+            return self.pair if size == 2 else self.word
+        inner = np.flatnonzero(~self.first)
+        return pair_keys(self.pair[inner - 1], self.word[inner])
 
     def questions(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Distinct keys in order, and how often this block's training texts have them.
         The start of texts is asked for with the words."""
         keys, counted = self.keys(size), self.training
         if size == 1:
-            keys = np.concatenate([keys, np.full(self.documents, START, np.uint64)])
-            counted = np.concatenate([counted, ~self.held])
-        return distinct_keys(keys, counted)
+            keys = np.concatenate([keys, np.full(len(self.starts), START, np.uint64)])
+            counted = np.concatenate([counted, self.starts])
+        return distinct_keys(keys, counted[~self.first] if size == 3 else counted)
 
 
 def counted(stored: DataFrame, shards: int) -> DataFrame:
@@ -114,8 +125,8 @@ def counted(stored: DataFrame, shards: int) -> DataFrame:
         for b in batches:
             for i in range(b.num_rows):
                 row = b.slice(i, 1).to_pylist()[0]
-                here = Positions(row)
-                for size in (1, 2):
+                here = Positions.of(row)
+                for size in range(1, LONGEST + 1):
                     for shard, keys, counts in questions(*here.questions(size), cuts):
                         yield batch(arrow_schema(ASKED), [[shard], [size], [row["block"]], [keys], [counts]])
 
@@ -135,62 +146,118 @@ def counted(stored: DataFrame, shards: int) -> DataFrame:
 
 
 class Automaton:
-    """Arcs and failure arcs of the states that a block's texts can reach."""
-
-    def __init__(self, words: np.ndarray, word_counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray,
-                 total: int, distinct: int, strength: float = STRENGTH):
-        self.words, self.pairs, self.pair_counts = words, pairs, pair_counts
-        self.word_counts, self.strength = word_counts, strength
-        self.root = np.log10((word_counts + 0.5) / (total + 0.5 * (distinct + 1)))
-        self.failure = np.log10(strength / (word_counts + strength))
-
-    def traverse(self, here: Positions) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Base weight, weight, and count of the word at every position."""
-        word, state = np.searchsorted(self.words, here.word), np.searchsorted(self.words, here.before)
-        arc = self.pair_counts[np.searchsorted(self.pairs, here.keys(2))]
-        base, context = self.root[word], self.word_counts[state]
-        taken = np.log10((arc + self.strength * 10.0 ** base) / (context + self.strength))
-        failed = np.where(context > 0, self.failure[state], 0.0) + base
-        return base, np.where(arc > 0, taken, failed), self.word_counts[word]
-
-
-def score(docs: DataFrame, scratch: Scratch, strength: float = STRENGTH) -> DataFrame:
+    """States, arcs and failure arcs that a block's texts can meet: state 0 is the empty context, then come those of one word,
+    then those of two."""
+
+    def __init__(self, here: Positions, counts: list[np.ndarray], total: int, distinct: int,
+                 strengths: tuple[float, ...] = STRENGTHS):
+        """``counts`` are the totals of the distinct words, pairs and triples of ``here``, in order."""
+        self.here = here
+        words, pairs, triples = (here.questions(size)[0] for size in (1, 2, 3))
+        self.words, self.seen_words, self.seen_pairs, self.seen_triples = len(words), *(c > 0 for c in counts)
+        # Where each position's n-grams stand in these lists.
+        self.word, before = np.searchsorted(words, here.word), np.searchsorted(words, here.before)
+        self.pair = np.searchsorted(pairs, here.pair)
+        inner = np.flatnonzero(~here.first)
+        self.triple = np.zeros(len(here.word), np.int64)
+        self.triple[inner] = np.searchsorted(triples, here.keys(3))
+
+        self.root = np.log10((counts[0] + 0.5) / (total + 0.5 * (distinct + 1)))
+        self.known = counts[0]
+        start = int(np.searchsorted(words, np.uint64(START)))
+        self.start = 1 + start if len(words) and self.seen_words[start] else 0
+
+        def of_each(where: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+            out = np.zeros(n, values.dtype)
+            out[where] = values
+            return out
+
+        first, last = of_each(self.pair, before, len(pairs)), of_each(self.pair, self.word, len(pairs))
+        context = counts[0][first]
+        self.pair_weight = np.log10((counts[1] + strengths[0] * 10.0 ** self.root[last]) / (context + strengths[0]))
+        # What a pair weighs in the state of its first word, seen or not.
+        whole = np.where(context > 0, self.pair_weight, self.root[last])
+        front, ending = (of_each(self.triple[inner], self.pair[x], len(triples)) for x in (inner - 1, inner))
+        context = counts[1][front] if len(triples) else np.empty(0)
+        self.triple_weight = np.log10((counts[2] + strengths[1] * 10.0 ** whole[ending]) / (context + strengths[1])) if len(triples) else context
+        self.failure = np.concatenate([[0.0], np.log10(strengths[0] / (counts[0] + strengths[0])),
+                                       np.log10(strengths[1] / (counts[1] + strengths[1]))])
+        self.shorter = np.concatenate([np.zeros(1 + len(words), np.int64), np.where(self.seen_words[last], 1 + last, 0)])
+
+    def ending(self, at: np.ndarray) -> np.ndarray:
+        """The state after positions: that of their longest seen ending."""
+        word = np.where(self.seen_words[self.word[at]], 1 + self.word[at], 0)
+        return np.where(self.seen_pairs[self.pair[at]], 1 + self.words + self.pair[at], word)
+
+    def step(self, state: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(weights, new states) of reading the words at some positions, each in its state."""
+        weight = np.zeros(len(at))
+        taken = (state > self.words) & self.seen_triples[self.triple[at]] if len(self.seen_triples) else np.zeros(len(at), bool)
+        weight[taken] = self.triple_weight[self.triple[at[taken]]]
+        failed = (state > self.words) & ~taken
+        weight += np.where(failed, self.failure[state], 0.0)
+        state = np.where(failed, self.shorter[state], state)
+        single = (state > 0) & ~taken & self.seen_pairs[self.pair[at]]
+        weight[single] += self.pair_weight[self.pair[at[single]]]
+        failed = (state > 0) & ~taken & ~single
+        weight += np.where(failed, self.failure[state], 0.0)
+        empty = ~taken & ~single
+        weight[empty] += self.root[self.word[at[empty]]]
+        onward = np.where(self.seen_words[self.word[at]], 1 + self.word[at], 0)
+        return weight, np.where(empty, onward, 1 + self.words + self.pair[at])
+
+    def traverse(self, lane: int = LANE) -> np.ndarray:
+        """The weight of every position."""
+        here, n = self.here, len(self.here.word)
+        begin = np.arange(0, n, lane)
+        state = np.append(0, self.ending(begin[1:] - 1))
+        out = np.empty(n)
+        for t in range(min(lane, n)):
+            at = begin + t
+            if at[-1] >= n:
+                at, begin, state = at[:-1], begin[:-1], state[:-1]
+            state = np.where(here.first[at], self.start, state)
+            out[at], state = self.step(state, at)
+        return out
+
+
+def score(docs: DataFrame, scratch: Scratch, strengths: tuple[float, ...] = STRENGTHS, remainder: int = HELD_OUT) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row, learnt from the rows
-    that are not held out.
+    that are not held out, those whose id has the ``remainder``.
 
     Null texts are empty and consist of their end. Null ids are in no fold, so they train. Repeated rows
     count and are scored each. An empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
     partitions = shuffle_partitions(spark)
-    stored = scratch.keep(stored_blocks(docs), "blocks")
+    stored = scratch.keep(stored_blocks(docs, remainder), "blocks")
     answers = scratch.keep(counted(stored, partitions * SHARDS), "answers")
     sums = answers.where("block = -1").agg(F.sum("total").alias("total"), F.sum("distinct").alias("distinct")).first()
     total, distinct = sums.total or 0, sums.distinct or 0
-    own = stored.select("block", F.lit(3).alias("size"), F.lit(0).alias("shard"), F.lit(None).cast("binary").alias("counts"),
+    own = stored.select("block", F.lit(LONGEST + 1).alias("size"), F.lit(0).alias("shard"), F.lit(None).cast("binary").alias("counts"),
                         *stored.columns[1:])
     told = answers.where("block >= 0").select("block", "size", "shard", "counts", *[
         F.lit(None).cast(t).alias(c) for c, t in stored.dtypes[1:]])
-    dealt = told.union(own).repartition(partitions, "block").sortWithinPartitions("block", "size", "shard")
+    dealt = told.union(own).repartitionByRange(partitions, "block").sortWithinPartitions("block", "size", "shard")
 
     def work(batches):
-        held: dict[int, list] = {1: [], 2: []}
+        held: dict[int, list] = {size: [] for size in range(1, LONGEST + 1)}
         for b in batches:
             for i in range(b.num_rows):
                 row = b.slice(i, 1).to_pylist()[0]
-                if row["size"] < 3:
+                if row["size"] <= LONGEST:
                     held[row["size"]].append(from_planes(row["counts"], np.int64))
                     continue
-                here = Positions(row)
-                (words, _), (pairs, _) = here.questions(1), here.questions(2)
-                counts = [np.concatenate(held[k]) for k in (1, 2)]
-                held = {1: [], 2: []}
-                base, weight, known = Automaton(words, counts[0], pairs, counts[1], total, distinct, strength).traverse(here)
+                here = Positions.of(row)
+                counts = [np.concatenate([np.empty(0, np.int64), *held[size]]) for size in held]
+                held = {size: [] for size in held}
+                automaton = Automaton(here, counts, total, distinct, strengths)
                 first = here.ends - here.lengths
-                added = [np.add.reduceat(x, first) for x in (base, weight, (known > 0).astype(np.int64))]
-                n = len(first)
+                base, known = automaton.root[automaton.word], automaton.known[automaton.word] > 0
+                added = [np.add.reduceat(x, first) for x in (base, automaton.traverse(), known.astype(np.int64))]
+                ids = from_planes(row["ids"], np.int64).tolist()
                 yield batch(arrow_schema(RESULT), [
-                    [None if x == -1 << 63 else x for x in here.ids.tolist()], here.held, here.lengths, added[2],
-                    np.full(n, total, np.int64), added[0], added[1]])
+                    [None if x == -1 << 63 else x for x in ids], ~here.starts, here.lengths, added[2],
+                    np.full(len(ids), total, np.int64), added[0], added[1]])
 
     return map_arrow(dealt, work, RESULT)

@@ -62,56 +62,93 @@ def test_the_faster_splitter_gives_the_same(spark):
 
 # --- language model ---------------------------------------------------------------------------
 
-def brute_scores(rows, strength):
-    words, pairs, texts, starts = Counter(), Counter(), {}, 0
+def brute_scores(rows, strengths):
+    """Backed-off probabilities of triples by their definition."""
+    grams, texts = [Counter(), Counter(), Counter()], {}
     for i, t in rows:
-        tokens = [*(t or "").encode().lower().split(), "end"]
+        tokens = ["start", *(t or "").encode().lower().split(), "end"]
         held = i is not None and zlib.crc32(str(i).encode()) % 5 == 1
         texts[i, t] = held, tokens
         if not held:
-            words.update(tokens), pairs.update(zip(["start", *tokens], tokens))
-            starts += 1
+            for n in range(3):
+                grams[n].update(tuple(tokens[k:k + n + 1]) for k in range(len(tokens) - n))
+    words = {w[0]: c for w, c in grams[0].items() if w != ("start",)}
     total, distinct = sum(words.values()), len(words)
+
+    def p(context, word):
+        if not context:
+            return (words.get(word, 0) + 0.5) / (total + 0.5 * (distinct + 1))
+        c, k = grams[len(context) - 1][context], strengths[len(context) - 1]
+        return (grams[len(context)][(*context, word)] + k * p(context[1:], word)) / (c + k) if c else p(context[1:], word)
+
     out = []
     for i, t in rows:
         held, tokens = texts[i, t]
-        base = score = 0.0
-        for before, word in zip(["start", *tokens], tokens):
-            p = (words[word] + 0.5) / (total + 0.5 * (distinct + 1))
-            context = starts if before == "start" else words[before]
-            base, score = base + math.log10(p), score + math.log10((pairs[before, word] + strength * p) / (context + strength))
-        out.append((i, held, len(tokens), sum(words[w] > 0 for w in tokens), total, base, score))
+        base = sum(math.log10(p((), w)) for w in tokens[1:])
+        score = sum(math.log10(p(tuple(tokens[max(0, k - 2):k]), tokens[k])) for k in range(1, len(tokens)))
+        out.append((i, held, len(tokens) - 1, sum(w in words for w in tokens[1:]), total, base, score))
     return out
 
 
-@pytest.mark.parametrize("size", [1 << 24, 50])
-def test_scores_match_brute_force(spark, scratch, monkeypatch, size):
+@pytest.mark.parametrize("size, lane", [(1 << 24, 512), (50, 3)])
+def test_scores_match_brute_force(spark, scratch, monkeypatch, size, lane):
     monkeypatch.setattr(blocks.blocks, "__defaults__", (("doc_id",), size))
-    rows = ODD + [(i, "The cat sat on the mat " * (i % 3)) for i in range(10, 40)]
+    monkeypatch.setattr(language_model.Automaton.traverse, "__defaults__", (lane,))
+    rows = ODD + [(i, "The cat sat on the mat " * (i % 3)) for i in range(10, 40)] + [(i, "the mat sat on a cat again and again") for i in range(40, 60)]
     found = sorted((tuple(r) for r in language_model.score(documents(spark, rows), scratch).collect()), key=repr)
-    expected = sorted(brute_scores(rows, language_model.STRENGTH), key=lambda x: repr(x[:3]))
+    expected = sorted(brute_scores(rows, language_model.STRENGTHS), key=lambda x: repr(x[:3]))
     found.sort(key=lambda x: repr(x[:3]))
     assert [x[:5] for x in found] == [x[:5] for x in expected]
     assert np.allclose([x[5:] for x in found], [x[5:] for x in expected], rtol=1e-9)
     assert language_model.score(documents(spark, rows).limit(0), scratch).count() == 0
-
-
-def test_the_automaton_is_a_distribution():
-    """Weights of all known words and one unknown add up to one in every state."""
-    words = np.array([1, 2, 3], np.uint64)  # 3 is the start of texts
-    counts = np.array([6, 4, 2])
-    pairs = np.sort(language_model.pair_keys(np.repeat(words, 2), np.tile(words[:2], 3)))
-    seen = {(1, 1): 3, (1, 2): 2, (2, 1): 3, (3, 1): 2}
-    names = {int(language_model.pair_keys(np.array([a], np.uint64), np.array([b], np.uint64))[0]): seen.get((a, b), 0)
-             for a in (1, 2, 3) for b in (1, 2)}
-    automaton = language_model.Automaton(words, counts, pairs, np.array([names[int(p)] for p in pairs]), 10, 2, 5.0)
-    for state, context in ((1, 6), (2, 4)):
-        here = language_model.Positions.__new__(language_model.Positions)
-        here.word, here.before = words[:2], np.full(2, state, np.uint64)
-        _, weight, _ = automaton.traverse(here)
-        unknown = 5.0 / (context + 5.0) * 0.5 / (10 + 0.5 * 3)
-        expected = sum((seen.get((state, w), 0) + 5.0 * (counts[w - 1] + 0.5) / 11.5) / (context + 5.0) for w in (1, 2))
-        assert (10.0 ** weight).sum() + unknown == pytest.approx(expected + unknown)
+    none_trained = [r for r in rows if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 == 1]
+    found = language_model.score(documents(spark, none_trained), scratch).collect()
+    assert all(r.train_tokens == 0 and r.score == pytest.approx(r.base_score) for r in found)
+
+
+def automaton_of(texts, held_out, strengths=(5.0, 2.0)):
+    """The automaton of one block, with the counts of its own training texts."""
+    names = {w: k for k, w in enumerate(sorted({w for t in texts for w in t}), 10)}
+    word = np.array([x for t in texts for x in [*(names[w] for w in t), language_model.END]], np.uint64)
+    lengths = np.array([len(t) + 1 for t in texts])
+    here = language_model.Positions(word, lengths, ~np.array(held_out))
+    counts = [here.questions(size)[1].astype(np.int64) for size in (1, 2, 3)]
+    tokens = here.training.sum()
+    distinct = len(set(word[here.training].tolist()))
+    return language_model.Automaton(here, counts, int(tokens), distinct, strengths), names
+
+
+def test_states_are_carried_and_failure_arcs_followed_step_by_step():
+    automaton, names = automaton_of([list("abcab"), list("abca"), list("abxca"), list("zz")], [False, False, True, True])
+    here, n = automaton.here, automaton.words
+    state, orders = np.array([automaton.start]), []
+    for at in range(11, 17):  # a b x c a end, held out
+        weight, state = automaton.step(state, np.array([at]))
+        orders.append(0 if state[0] == 0 else 1 if state[0] <= n else 2)
+        assert state[0] == automaton.ending(np.array([at]))[0]
+    # x is unknown: all context is lost, then grows again word by word.
+    assert orders == [2, 2, 0, 1, 2, 2]
+    whole = automaton.traverse()
+    assert np.allclose(whole, automaton.traverse(2)) and np.allclose(whole, automaton.traverse(100))
+    pair = 1 + n + automaton.pair[12]
+    assert automaton.shorter[pair] == 1 + automaton.word[12] and automaton.shorter[automaton.shorter[pair]] == 0
+    assert whole[13] == pytest.approx(automaton.failure[pair] + automaton.failure[automaton.shorter[pair]] + automaton.root[automaton.word[13]])
+
+
+def test_every_state_is_a_distribution():
+    """Weights of all known words and one unknown add up to one, in a state of two words, of one and of none."""
+    known = list("abc")
+    # Held-out texts read every word after the contexts a b (seen), q b (only b seen) and q (none seen).
+    asked = [[*c, w] for c in ("ab", "qb", "q") for w in [*known, "u"]]
+    trained = [list("abcab"), list("abca"), list("bbacc")]
+    automaton, _ = automaton_of(trained + asked, [False] * 3 + [True] * len(asked))
+    weight, ends = automaton.traverse(), automaton.here.ends
+    for k, context in enumerate(("ab", "qb", "q")):
+        texts = range(3 + 4 * k, 7 + 4 * k)
+        # The word is the last but one of a text; the end of texts is a known word as well.
+        p = sum(10 ** weight[ends[i] - 2] for i in texts)
+        closing, _ = automaton_of(trained + [list(context)], [False] * 3 + [True])
+        assert p + 10 ** closing.traverse()[-1] == pytest.approx(1)
 
 
 # --- quality ----------------------------------------------------------------------------------
