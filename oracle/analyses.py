@@ -59,10 +59,10 @@ _KPI = {
                {_LATE} AS late_orders, {pct(_LATE, 'count(DISTINCT order_id)')} AS late_delivery_rate_pct {_IN_TIME}""",
     "kpi_satisfaction": f"""
         SELECT count(*) AS total_reviews, {avg_int('review_score')} AS avg_review_score,
-               count(*) FILTER (review_score > 3) AS positive_reviews,
-               {pct('count(*) FILTER (review_score > 3)', 'count(*)')} AS positive_review_rate_pct,
-               count(*) FILTER (review_score < 3) AS negative_reviews,
-               {pct('count(*) FILTER (review_score < 3)', 'count(*)')} AS negative_review_rate_pct
+               count(*) FILTER (review_score >= 4) AS positive_reviews,
+               {pct('count(*) FILTER (review_score >= 4)', 'count(*)')} AS positive_review_rate_pct,
+               count(*) FILTER (review_score <= 2) AS negative_reviews,
+               {pct('count(*) FILTER (review_score <= 2)', 'count(*)')} AS negative_review_rate_pct
         FROM t_reviews""",
     "kpi_payment_types": f"""
         SELECT payment_type, count(DISTINCT order_id) AS orders, {money('sum(payment_value)')} AS total_payment_value,

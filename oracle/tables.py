@@ -119,11 +119,12 @@ TABLES = {
                ntile(5) OVER (ORDER BY revenue, customer_unique_id) AS m_score
         FROM people_all""",
     "rfm_named": """
-        SELECT *, CASE WHEN r_score > 3 AND f_score > 3 AND m_score > 3 THEN 'Champions'
-                       WHEN r_score > 3 AND f_score > 3 THEN 'Loyal Customers'
-                       WHEN r_score > 3 AND m_score > 3 THEN 'Big Spenders'
-                       WHEN r_score > 3 AND f_score < 3 THEN 'Recent Customers'
-                       WHEN r_score < 3 AND NOT (f_score < 3 AND m_score < 3) THEN 'At Risk'
+        -- Fixed values: the segments and their limits.
+        SELECT *, CASE WHEN r_score >= 4 AND f_score >= 4 AND m_score >= 4 THEN 'Champions'
+                       WHEN r_score >= 4 AND f_score >= 4 THEN 'Loyal Customers'
+                       WHEN r_score >= 4 AND m_score >= 4 THEN 'Big Spenders'
+                       WHEN r_score >= 4 AND f_score <= 2 THEN 'Recent Customers'
+                       WHEN r_score <= 2 AND (f_score >= 3 OR m_score >= 3) THEN 'At Risk'
                        ELSE 'Lost / Low Value' END AS customer_segment
         FROM rfm""",
     # Products joined to the reviews of their orders, items repeating per review.

@@ -54,10 +54,10 @@ def profile_table(df: DataFrame, table: str) -> DataFrame:
     groups = df.groupBy(*df.columns).agg(F.count("*").alias("_n"))
     counts = groups.agg(_weighted(F.lit(True)).alias("_rows"), F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("_more"),
                         *[_weighted(F.col(c).isNull()).alias(c) for c in df.columns])
-    types = F.create_map(*[F.lit(x) for f in df.schema.fields for x in (f.name, f.dataType.simpleString())])
-    return counts.unpivot(["_rows", "_more"], df.columns, "column", "nulls").select(
-        F.lit(table).alias("table"), "column",
-        types[F.col("column")].alias("type"), "nulls",
+    columns = F.array(*[F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"),
+                                 F.col(f.name).alias("nulls")) for f in df.schema.fields])
+    return counts.select("_rows", "_more", F.explode(columns).alias("_of")).select(
+        F.lit(table).alias("table"), "_of.column", "_of.type", "_of.nulls",
         F.col("_rows").alias("rows"), F.lit(len(df.columns)).alias("columns"),
         F.col("_more").alias("duplicate_rows"))
 

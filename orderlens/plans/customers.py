@@ -10,10 +10,24 @@ from pyspark.sql import functions as F
 from orderlens.functions import calendar_days, pct, ratio
 from orderlens.operators.ranking import ntile_distributed
 from orderlens.operators.rollups import people_totals
+from orderlens.session import materialize
 from orderlens.warehouse import Warehouse
 
 _ID = "customer_unique_id"
 
+# Frequency scores by number of orders (from, to, score).
+FREQUENCY_STEPS = ((1, 1, 1), (2, 2, 2), (3, 3, 3), (4, 5, 4), (6, None, 5))
+# Segments by recency, frequency and monetary score (from, to); the first that fits counts.
+SEGMENTS = (
+    ("Champions", (4, 5), (4, 5), (4, 5)),
+    ("Loyal Customers", (4, 5), (4, 5), (1, 5)),
+    ("Big Spenders", (4, 5), (1, 5), (4, 5)),
+    ("Recent Customers", (4, 5), (1, 2), (1, 5)),
+    ("At Risk", (1, 2), (3, 5), (1, 5)),
+    ("At Risk", (1, 2), (1, 5), (3, 5)),
+)
+OTHER_SEGMENT = "Lost / Low Value"
+
 # Segment names and limits.
 RECENCY_SEGMENTS = (("0-90 days", 90), ("91-180 days", 180), ("181-365 days", 365), ("366-730 days", 730))
 OLDEST_SEGMENT = "731+ days"
@@ -90,27 +104,27 @@ def monetary(w: Warehouse) -> DataFrame:
 
 
 def rfm_scores(w: Warehouse, anchor: datetime.date | None = None) -> DataFrame:
-    """Recency and spend in fifths (best is 5), frequency by fixed steps."""
-    people = _profile(w).select(
-        _ID, _recency(w, anchor), F.col("order_count").alias("frequency"), F.col("total_spent").alias("monetary"))
-    by_recency = ntile_distributed(people, [F.col("recency_days").desc(), F.col(_ID)], 5, "r_score")
-    scored = ntile_distributed(by_recency, [F.col("monetary").asc(), F.col(_ID)], 5, "m_score")
-    orders = F.col("frequency")
-    steps = F.when(orders <= 3, orders).when(orders <= 5, 4).otherwise(5)
-    return scored.select(
+    """Recency and spend in fifths (best is 5), frequency by fixed steps.
+
+    Each score is numbered over what it needs alone; both are joined once.
+    """
+    people = materialize(_profile(w).select(
+        _ID, _recency(w, anchor), F.col("order_count").alias("frequency"), F.col("total_spent").alias("monetary")), "rfm-people")
+    recency = ntile_distributed(people.select(_ID, "recency_days"), [F.col("recency_days").desc(), F.col(_ID)], 5, "r_score")
+    spend = ntile_distributed(people.select(_ID, "frequency", "monetary"), [F.col("monetary").asc(), F.col(_ID)], 5, "m_score")
+    orders, steps = F.col("frequency"), F
+    for low, high, score in FREQUENCY_STEPS:
+        steps = steps.when(orders.between(low, high) if high else orders >= low, score)
+    return recency.join(spend, _ID).select(
         _ID, "recency_days", "frequency", "monetary", "r_score", steps.cast("int").alias("f_score"), "m_score")
 
 
 def _segment() -> Column:
-    r, f, m = F.col("r_score"), F.col("f_score"), F.col("m_score")
-    recent = r >= 4
-    return (
-        F.when(recent & (f >= 4), F.when(m >= 4, "Champions").otherwise("Loyal Customers"))
-        .when(recent & (m >= 4), "Big Spenders")
-        .when(recent & (f <= 2), "Recent Customers")
-        .when((r <= 2) & (F.greatest(f, m) >= 3), "At Risk")
-        .otherwise("Lost / Low Value")
-    )
+    segment = F
+    for name, *limits in SEGMENTS:
+        fits = [F.col(score).between(*limit) for score, limit in zip(("r_score", "f_score", "m_score"), limits)]
+        segment = segment.when(fits[0] & fits[1] & fits[2], name)
+    return segment.otherwise(OTHER_SEGMENT)
 
 
 def rfm_segments(w: Warehouse, anchor: datetime.date | None = None) -> DataFrame:

@@ -9,10 +9,10 @@ from orderlens.functions import mean, pct
 from orderlens.warehouse import Warehouse
 
 CREDIT_CARD = "credit_card"
-# Lower limits of the installment groups.
+# Installment groups (from, to, name).
 INSTALLMENT_GROUPS = (
-    (10, "10+ installments"), (7, "7-9 installments"), (4, "4-6 installments"),
-    (2, "2-3 installments"), (1, "1 installment"),
+    (1, 1, "1 installment"), (2, 3, "2-3 installments"), (4, 6, "4-6 installments"),
+    (7, 9, "7-9 installments"), (10, None, "10+ installments"),
 )
 
 
@@ -51,8 +51,8 @@ def installments(w: Warehouse) -> DataFrame:
 
 def installment_groups(w: Warehouse) -> DataFrame:
     number, label = F.col("payment_installments"), F
-    for lower, name in INSTALLMENT_GROUPS:
-        label = label.when(number >= lower, name)
+    for low, high, name in INSTALLMENT_GROUPS:
+        label = label.when(number.between(low, high) if high else number >= low, name)
     return _card(w).filter(number > 0).groupBy(label.alias("installment_group")).agg(
         F.count("*").alias("payment_count"),
         mean("payment_value").alias("avg_payment_value"),
