@@ -166,6 +166,12 @@ INTAKE = {
         SELECT customer_id, count(*) AS delivered_orders FROM t_orders WHERE order_status = 'delivered' GROUP BY 1""",
     "layout_customer_status": """
         SELECT customer_id, count(*) AS delivered_orders FROM t_orders WHERE order_status = 'delivered' GROUP BY 1""",
+    "layout_month": f"""
+        SELECT CAST(CAST(date_trunc('month', order_purchase_timestamp) AS DATE) AS VARCHAR) AS month, count(*) AS orders,
+               coalesce(CAST(sum(items) AS BIGINT), 0) AS items, {money('sum(cents)')} AS revenue
+        FROM t_orders LEFT JOIN (SELECT order_id, count(*) AS items, sum(price) AS cents FROM t_order_items GROUP BY 1) USING (order_id)
+        WHERE order_status = 'delivered' AND year(order_purchase_timestamp) = 1996 AND quarter(order_purchase_timestamp) = 4
+        GROUP BY 1""",
     "collation_lookup": """
         SELECT count(*) AS customers, count(DISTINCT lower(customer_city)) AS cities
         FROM t_customers WHERE lower(customer_state) = 'nation_1'""",

@@ -8,7 +8,8 @@ from pyspark.sql import types as T
 
 from orderlens.contracts import CONTRACTS
 from orderlens.operators import cleaning, quality
-from orderlens.session import scratch_path, scratch_table
+from orderlens.operators.calendar import date_dim
+from orderlens.session import materialize, scratch_path, scratch_table
 from orderlens.sources import csv, tables
 from orderlens.warehouse import Warehouse
 
@@ -108,6 +109,16 @@ def status_layout(w: Warehouse) -> DataFrame:
         F.count("*").alias("delivered_orders"))
 
 
+def month_layout(w: Warehouse, year: int, quarter: int) -> DataFrame:
+    """Orders and revenue of the months of a quarter, from marts stored by month. The quarter is chosen in the date dimension."""
+    stored = tables.save_months(w, scratch_path(w.spark, "months"))
+    days = materialize(date_dim(w.orders), "date-dimension")
+    chosen = days.filter((F.year("month_start") == year) & (F.quarter("month_start") == quarter)).select(F.col("month_start").alias("month")).distinct()
+    sold = stored["vw_sales"].join(chosen, "month").groupBy("month").agg(F.count("*").alias("items"), F.sum("price").alias("revenue"))
+    placed = stored["vw_orders"].join(chosen, "month").groupBy("month").agg(F.count("*").alias("orders"))
+    return placed.join(sold, "month", "left").select("month", "orders", F.coalesce("items", F.lit(0)).alias("items"), "revenue")
+
+
 def customer_status_layout(w: Warehouse, buckets: int | None = None) -> DataFrame:
     """Delivered orders per customer, read from orders stored by status and bucketed by customer."""
     buckets = buckets or int(w.spark.conf.get("spark.sql.shuffle.partitions"))

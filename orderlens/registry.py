@@ -38,6 +38,7 @@ INTAKE: dict[str, Callable[[Warehouse], DataFrame]] = {
     "view_publish": intake.published_totals,
     "layout_status": intake.status_layout,
     "layout_customer_status": intake.customer_status_layout,
+    "layout_month": lambda w: intake.month_layout(w, PROBE[0].year, 4),
     "layout_bucketed": intake.bucketed_layout,
     "collation_lookup": intake.collated_lookup,
     "describe_latitude": lambda w: quality.describe_numeric(w.geolocation, "geolocation_lat"),

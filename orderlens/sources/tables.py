@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orderlens.contracts import CONTRACTS
+from orderlens.functions import month_start
 from orderlens.plans.marts import MARTS
 from orderlens.warehouse import Warehouse
 
@@ -57,6 +58,19 @@ def save_marts(w: Warehouse, folder: str) -> None:
         mart(w).write.mode("errorifexists").parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def save_months(w: Warehouse, folder: str) -> dict[str, DataFrame]:
+    """The sales and order marts in one folder per month of purchase, ``SPREAD`` files in each at most. A filter on the months, or
+    on the date dimension that is joined by month, reads the folders of these months only."""
+    stored = {}
+    for name in ("vw_sales", "vw_orders"):
+        path = f"{folder.rstrip('/')}/{name}"
+        dated = MARTS[name](w).withColumn("month", month_start("order_purchase_date"))
+        dealt = dated.repartition("month", F.pmod(F.xxhash64("order_id"), F.lit(SPREAD)))
+        dealt.write.mode("errorifexists").partitionBy("month").parquet(path)
+        stored[name] = w.spark.read.parquet(path)
+    return stored
+
+
 def _folder_status(orders: DataFrame) -> DataFrame:
     """Folders are named by the bytes of a status, so it gives up its collation."""
     return orders.withColumn("order_status", F.collate("order_status", "UTF8_BINARY"))

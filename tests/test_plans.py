@@ -84,3 +84,16 @@ def test_reports_of_many_parts_share_their_frames(warehouse, report):
     """The result reads frames that were written once, and the facts a few times; nothing is expanded."""
     plan = report(warehouse)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation") <= 12 and "Expand " not in plan
+
+
+def test_the_date_dimension_prunes_month_folders_at_run_time(warehouse):
+    found = intake.month_layout(warehouse, 1996, 4)
+    assert len(found.collect()) <= 3
+    text = plan(found)
+    assert len(re.findall(r"PartitionFilters: \[[^\]]*dynamicpruning", text)) >= 2
+    months = warehouse.orders.filter("order_status = 'delivered'").select(F.trunc("order_purchase_timestamp", "MM")).distinct().count()
+    stored = tables.save_months(warehouse, scratch_path(warehouse.spark, "months"))
+    every = len(stored["vw_orders"].inputFiles())
+    one = stored["vw_orders"].filter("month = DATE'1996-10-01'")
+    assert months > 12 and every >= months
+    assert 0 < one.select("_metadata.file_path").distinct().count() < every / 6
