@@ -12,6 +12,8 @@ from orderlens.session import Scratch, materialize, scratch_path
 
 #: A passage is cut if it has so many bytes that stand elsewhere too in one piece, and more than so many words.
 PASSAGE_BYTES, PASSAGE_WORDS = 150, 50
+#: Batches of the suffix arrays: fewer write less, more hold less at a time.
+PASSAGE_BATCHES = 2
 
 
 def _keyed(docs: DataFrame) -> tuple[DataFrame, str, str]:
@@ -61,7 +63,7 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     keyed, doc, th = _keyed(docs)
     own = [fresh(name, keyed) for name in ("cut doc", "cut th", "cut text")]
     with Scratch(spark, "passages") as scratch:
-        found = suffix_dedup.remove_repeats(docs, scratch, PASSAGE_BYTES, with_text=True, words=PASSAGE_WORDS)
+        found = suffix_dedup.remove_repeats(docs, scratch, PASSAGE_BYTES, PASSAGE_BATCHES, with_text=True, words=PASSAGE_WORDS)
         cut = materialize(found.where("kept IS NOT NULL").select(
             F.coalesce("doc_id", F.lit(-1 << 63)).alias(own[0]), F.col("th").alias(own[1]),
             F.col("kept").cast("string").alias(own[2])).dropDuplicates(own[:2]), "passages-cut")

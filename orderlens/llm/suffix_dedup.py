@@ -41,7 +41,8 @@ _SHIFT, _PLACE = np.uint64(24), np.uint64((1 << 24) - 1)
 _BASE = 0x9E3779B97F4A7C15
 _BYTE = np.random.default_rng(400).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 
-STRETCHES = "kind int, doc long, th long, key long, stretch long, first long, runs int, repeated boolean, batch int, range int, prefixes binary, counts binary"
+STRETCHES = "kind int, doc long, th long, key long, stretch long, first long, runs int, repeated boolean"
+PARTS = "range int, prefixes binary, counts binary"
 ARRAYS = "kind int, range int, prefixes binary, counts binary"
 PLACED = "kind int, block long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, payload binary"
 RESULT = "doc_id long, th long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -143,54 +144,59 @@ def common_prefixes(ordered: np.ndarray) -> np.ndarray:
     return np.where(differ.any(1), differ.argmax(1), GRAM)
 
 
-def suffixes(docs: DataFrame, length: int, borders: np.ndarray | None = None) -> DataFrame:
-    """Kind 0: one row per stretch kind of a document. Kind 1: spans that repeat within a document. Kind 2: kept suffixes
-    of a batch in order, for one range between the ``borders``."""
-    borders = np.empty(0, f"S{GRAM}") if borders is None else borders
-
+def suffixes(docs: DataFrame, length: int) -> DataFrame:
+    """Kind 0: one row per stretch kind of a document. Kind 1: spans that repeat within a document."""
     def work(batches):
-        held: dict[int, list] = {}
-
         def rows(b):
-            for doc, th, number, data in zip(*(b.column(c).to_pylist() for c in ("doc", "th", "batch")), b.column("text")):
+            for doc, th, data in zip(b.column("doc").to_pylist(), b.column("th").to_pylist(), b.column("text")):
                 data = data.as_py()
                 if len(data) < length:
                     continue
-                text, seen, again, places = np.frombuffer(data, np.uint8), {}, [], []
-                for first, runs, place, key in stretches(text, length):
+                text, seen, again = np.frombuffer(data, np.uint8), {}, []
+                for first, runs, _, key in stretches(text, length):
                     name = xxhash.xxh3_64_intdigest(data[first:first + runs + length - 1])
                     known = seen.get((key, name))
                     if known is None:
                         seen[key, name] = [first, runs, False]
-                        places.append(place)
                     else:
                         again += [(first, runs), (known[0], known[1])] if not known[2] else [(first, runs)]
                         known[2] = True
-                held.setdefault(number, []).append(_prefixes(text, np.array(places)))
                 for (key, name), (first, runs, repeated) in seen.items():
-                    yield 0, doc, th, key, name - (1 << 63), first, runs, repeated, None, None, None, None
+                    yield 0, doc, th, key, name - (1 << 63), first, runs, repeated
                 if again:
                     starts, runs = (np.array(x, np.int64) for x in zip(*again))
                     for s, e in _spans(starts, starts + runs + length - 1):
-                        yield 1, doc, th, 0, 0, s, e - s - length + 1, True, None, None, None, None
+                        yield 1, doc, th, 0, 0, s, e - s - length + 1, True
+        for b in batches:
+            yield from sliced_rows(rows(b), arrow_schema(STRETCHES), 1 << 15)
+
+    return map_arrow(docs, work, STRETCHES)
+
+
+def array_parts(docs: DataFrame, length: int, borders: np.ndarray) -> DataFrame:
+    """(range, prefixes, counts): the kept suffixes of documents in order, in parts of each task and range between the borders."""
+    def work(batches):
+        held: list[np.ndarray] = []
 
         def sent():
-            for number, parts in held.items():
-                ordered, counts = np.unique(np.concatenate(parts), return_counts=True)
+            if held:
+                ordered, counts = np.unique(np.concatenate(held), return_counts=True)
                 at = [0, *np.searchsorted(ordered, borders).tolist(), len(ordered)]
                 for r, (s, e) in enumerate(zip(at, at[1:])):
                     if e > s:
-                        yield (2, 0, 0, 0, 0, 0, 0, False, number, r, _packed(ordered[s:e]), planes(counts[s:e].astype(np.uint32)))
+                        yield r, _packed(ordered[s:e]), planes(counts[s:e].astype(np.uint32))
             held.clear()
 
-        out = arrow_schema(STRETCHES)
         for b in batches:
-            yield from sliced_rows(rows(b), out, 1 << 15)
-            if sum(len(p) for parts in held.values() for p in parts) >= HELD:
-                yield from sliced_rows(sent(), out)
-        yield from sliced_rows(sent(), out)
+            for data in b.column("text"):
+                text = np.frombuffer(data.as_py(), np.uint8)
+                if len(text) >= length:
+                    held.append(_prefixes(text, np.array([place for _, _, place, _ in stretches(text, length)])))
+            if sum(map(len, held)) >= HELD:
+                yield from sliced_rows(sent(), arrow_schema(PARTS))
+        yield from sliced_rows(sent(), arrow_schema(PARTS))
 
-    return map_arrow(docs, work, STRETCHES)
+    return map_arrow(docs.select("text"), work, PARTS)
 
 
 def range_borders(docs: DataFrame, length: int) -> np.ndarray:
@@ -232,9 +238,9 @@ class IndexFamily:
             n, size = n + 1, size + 1
         return n
 
-    def add(self, arrays: DataFrame) -> None:
+    def add(self, arrays: DataFrame, last: bool = False) -> None:
         """Merge-scan a batch (range, prefixes, counts) against itself and every level. Levels of one size, which the scan
-        before has left, merge on the way: one pass for each batch."""
+        before has left, merge on the way: one pass for each batch. The ``last`` one is scanned and not kept."""
         merging = self._merging()
         stay = len(self.levels) - merging if merging > 1 else len(self.levels)
         parts = arrays.select("range", F.lit(-1).alias("level"), "prefixes", "counts")
@@ -261,16 +267,19 @@ class IndexFamily:
                         merged = np.sort(np.concatenate([level, new]), kind="stable")
                         found.append(merged[1:][common_prefixes(merged) >= GRAM])
                     keys = np.unique(_keys(np.concatenate(found)))
-                    yield batch(out, [[0], [place], [_packed(new)], [None]])
+                    if not last:
+                        yield batch(out, [[0], [place], [_packed(new)], [None]])
                     if len(keys):
                         yield batch(out, [[2], [place], [planes(keys)], [None]])
                 joined = [v for k, v in levels.items() if k >= stay]
-                if joined:
+                if joined and not last:
                     yield batch(out, [[1], [place], [_packed(np.unique(np.concatenate(joined)))], [None]])
 
         dealt = parts.repartition(self.partitions, "range").sortWithinPartitions("range", "level")
         kept = self.scratch.keep(map_arrow(dealt, work, ARRAYS), "scan", ("kind",))
         self.repeated.append(kept.where("kind = 2").select("prefixes"))
+        if last:
+            return
         if merging > 1:
             size = self.levels[-1][0] + merging - 1
             self.levels[stay:] = [(size, kept.where("kind = 1"))]
@@ -338,12 +347,12 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, batc
     nobody = F.lit(-1 << 63).cast("long")
     source = docs.select(F.coalesce(F.col("doc_id").cast("long"), nobody).alias("doc"),
                          F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), utf8().alias("text"))
-    dealt = source.withColumn("batch", F.pmod(F.hash("doc", "th"), F.lit(batches)))
-    made = scratch.keep(suffixes(dealt, length, range_borders(source, length)), "suffixes", ("kind",))
-    entries, arrays = made.where("kind = 0"), made.where("kind = 2")
+    made = scratch.keep(suffixes(source, length), "suffixes", ("kind",))
+    entries, borders = made.where("kind = 0"), range_borders(source, length)
     family = IndexFamily(scratch, partitions)
     for number in range(batches):
-        family.add(arrays.where(F.col("batch") == number))
+        dealt = source.where(F.pmod(F.hash("doc", "th"), F.lit(batches)) == number)
+        family.add(array_parts(dealt, length, borders), number == batches - 1)
     keys = family.repeated_keys()
     sieve = spark.sparkContext.broadcast(sieve_of(keys, keys.count()))
 
@@ -400,7 +409,27 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, batc
         if held:
             yield packed()
 
-    joined = source.join(places, ["doc", "th"], "left")
+    # Most documents have no such place and stay where they are; only those that may have one are joined.
+    touched = spark.sparkContext.broadcast(sieve_of(places.select(F.xxhash64("doc", "th").alias("key")), places.count()))
+    keyed = source.select("doc", "th", "text", F.xxhash64("doc", "th").alias("key"))
+
+    def may_be(b):
+        return Sieve(touched.value).may(b.column("key").to_numpy().view(np.uint64))
+
+    def touched_rows(batches_in):
+        for b in batches_in:
+            yield b.filter(pa.array(may_be(b)))
+
+    def untouched(batches_in):
+        for b in batches_in:
+            b = b.filter(pa.array(~may_be(b)))
+
+            def rows():
+                for doc, th, text in zip(b.column("doc").to_pylist(), b.column("th").to_pylist(), b.column("text")):
+                    yield None if doc == -1 << 63 else doc, th, *_result(text.as_py(), [], with_text)
+            yield from sliced_rows(rows(), arrow_schema(RESULT))
+
+    joined = map_arrow(keyed, touched_rows, keyed.schema).drop("key").join(places, ["doc", "th"], "left")
     placed = scratch.keep(map_arrow(joined, place, PLACED), "placed", ("kind",))
     blocks = placed.where("kind = 1").select("block", "payload")
     cuts = shard_cuts(partitions * 2)
@@ -429,7 +458,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, batc
     answers = scratch.keep(map_arrow(dealt, add, told_schema), "answers")
     both = (answers.withColumn("payload", F.lit(None).cast("binary"))
             .union(blocks.select("block", F.lit(partitions * 2).alias("shard"), F.lit(None).cast("binary"), "payload"))
-            .repartition(partitions, "block").sortWithinPartitions("block", "shard"))
+            .repartitionByRange(partitions, "block").sortWithinPartitions("block", "shard"))
 
     def finish(batches_in):
         held: list[np.ndarray] = []
@@ -454,7 +483,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, batc
                 yield from sliced_rows(rows, arrow_schema(RESULT))
 
     ready = placed.where("kind = 0").select("doc_id", F.col("block").alias("th"), *RESULT_COLUMNS)
-    return ready.union(map_arrow(both.select("twice", "payload"), finish, RESULT))
+    return ready.union(map_arrow(both.select("twice", "payload"), finish, RESULT)).union(map_arrow(keyed, untouched, RESULT))
 
 
 RESULT_COLUMNS = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")

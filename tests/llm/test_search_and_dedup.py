@@ -241,12 +241,10 @@ def test_characters_stay_whole_where_texts_are_cut():
 def test_levels_of_the_family_grow_geometrically(spark, scratch):
     family = suffix_dedup.IndexFamily(scratch, 2)
     texts = [(i, " ".join(hashlib.sha256(f"{k} {i if i % 3 else 0}".encode()).hexdigest() for k in range(20))) for i in range(7)]
-    made = scratch.keep(suffix_dedup.suffixes(documents(spark, *texts).select(
-        F.col("doc_id").alias("doc"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"),
-        F.col("doc_id").cast("int").alias("batch")), 400, np.array([b"5", b"c"], "S32")), "made", ("kind",))
+    docs = documents(spark, *texts).select("doc_id", F.col("text").cast("binary").alias("text"))
     sizes, matches = [], []
     for i in range(7):
-        family.add(made.where(F.col("kind") == 2).where(F.col("batch") == i))
+        family.add(suffix_dedup.array_parts(docs.where(F.col("doc_id") == i), 400, np.array([b"5", b"c"], "S32")))
         sizes.append([size for size, _ in family.levels])
         matches.append(not family.repeated[-1].isEmpty())
     # Levels of one size merge when the next batch comes.
