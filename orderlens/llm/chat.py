@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 START, SEP, TURN, END = "<|im_start|>", "<|im_sep|>", "<|im_turn|>", "<|im_end|>\n"
 ESCAPE = "␛"
+#: Elements of an array whose running sums are built at a time.
+CHUNK = 256
 ASSISTANT = "assistant"
 # Control strings of usual templates.
 CONTROL = ("<|im_start|>", "<|im_sep|>", "<|im_turn|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>",
@@ -40,24 +42,35 @@ def _joined(array: Column, separator: str = "") -> Column:
     return F.array_join(array, separator)
 
 
-def _sums(lengths: Column) -> Column:
-    """Running sums before each element."""
-    return F.aggregate(lengths, F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<long>").alias("before")),
+def _running(numbers: Column) -> Column:
+    """Sums before each element; every step copies those before it."""
+    return F.aggregate(numbers, F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<long>").alias("before")),
                        lambda s, n: F.struct((s["sum"] + n).alias("sum"),
                                              F.concat(s["before"], F.array(s["sum"])).alias("before")),
                        lambda s: s["before"])
 
 
+def _sums(lengths: Column) -> Column:
+    """Sums before each element, within chunks of ``CHUNK`` and over the chunks, so that long conversations copy little."""
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / CHUNK).cast("int")),
+                         lambda k: F.slice(lengths, k * CHUNK + 1, CHUNK))
+    totals = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, n: s + n))
+    return F.flatten(F.transform(F.arrays_zip(chunks.alias("own"), _running(totals).alias("offset")),
+                                 lambda z: F.transform(_running(z["own"]), lambda n: n + z["offset"])))
+
+
 def format_chats(turns: DataFrame) -> DataFrame:
     """(conv_id, formatted, loss_spans) from rows (conv_id, turn, role, text).
 
     Null texts and roles are empty. Rows with the same turn are all kept, in the order of role
-    and text; null turns come first. Rows without a conversation form one of their own. An
+    and text; null turns come first. Every row without a conversation is one of its own. An
     empty table gives an empty result; other columns are not read.
     """
     clean = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"),
                          F.coalesce("text", F.lit("")).alias("text"))
-    sorted_turns = clean.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    sorted_turns = clean.withColumn("alone", alone).groupBy("conv_id", "alone").agg(
+        F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
     t = F.col("t")
     first = F.filter(F.sequence(F.lit(0), F.size(t) - 1),
                      lambda i: (i == 0) | (F.get(t, i)["role"] != F.get(t, i - 1)["role"]))

@@ -164,6 +164,30 @@ def test_quality_on_the_held_out_fold(spark, scratch):
     assert right["all"] >= 0.97 and right["kept"] >= 0.98
 
 
+def test_scores_are_those_of_independent_densities(spark, scratch):
+    """Densities by determinants and solved systems instead of Cholesky factors, moments by numpy instead of sums."""
+    docs, labels = (spark.read.parquet(f"{SMALL}/{name}.parquet") for name in ("documents", "labels"))
+    statistics = scratch.keep(quality_qda.described(docs), "statistics")
+    found = {r.doc_id: r for r in quality_qda.scored(statistics, quality_qda.fit(statistics, labels)).collect()}
+    rows = docs.collect()
+    x = {r.doc_id: np.array(quality_qda.statistics((r.text or "").encode())) for r in rows}
+    known = {r.doc_id: r.quality for r in labels.collect() if r.quality in (0, 1) and zlib.crc32(str(r.doc_id).encode()) % 5 != 0}
+    sets = [np.array([x[i] for i, q in known.items() if q == label and i in x]) for label in (0, 1)]
+    covariance = [np.cov(m.T, bias=True) for m in sets]
+    pooled = sum(len(m) * c for m, c in zip(sets, covariance)) / sum(map(len, sets))
+    scale = np.sqrt(np.diag(pooled))
+    logs = []
+    for m, c in zip(sets, covariance):
+        c, p = c / np.outer(scale, scale), pooled / np.outer(scale, scale)
+        c = 0.75 * c + 0.15 * p + 0.1 * np.diag(np.diag(c)) + 1e-3 * np.eye(len(scale))
+        z = (np.array([x[r.doc_id] for r in rows]) - m.mean(0)) / scale
+        logs.append(-0.5 * (np.einsum("ij,ji->i", z, np.linalg.solve(c, z.T)) + np.linalg.slogdet(c)[1]))
+    expected = 1 / (1 + np.exp(-np.clip((logs[1] - logs[0]) / 8, -500, 500)))
+    assert np.allclose([found[r.doc_id].score for r in rows], expected, rtol=1e-6, atol=1e-12)
+    assert all(found[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+    assert all(r.predicted == int(r.score >= 0.3) for r in found.values())
+
+
 def test_scores_of_odd_texts_and_missing_classes(spark, scratch):
     statistics = scratch.keep(quality_qda.described(documents(spark, ODD)), "statistics")
     labels = spark.createDataFrame([(2, 1, 0), (3, 0, 0), (4, 1, 0), (7, None, 0), (None, 1, 0)],
@@ -206,6 +230,23 @@ def test_chats_are_read_back_whatever_they_say(spark):
     assert chat.format_chats(table.limit(0)).count() == 0
 
 
+def test_rows_without_a_conversation_stand_alone(spark):
+    table = spark.createDataFrame([(None, 1, "user", f"u{i}", i) for i in range(50)] + [(7, 1, "assistant", "a", 0)],
+                                  "conv_id long, turn long, role string, text string, alone int")
+    found = chat.digests(chat.format_chats(table)).collect()
+    assert sorted((r.conv_id or 0, r.n_turns) for r in found) == [(0, 1)] * 50 + [(7, 1)]
+    assert len({r.turns_sha256 for r in found}) == 51
+
+
+def test_places_in_long_conversations(spark):
+    n = chat.CHUNK * 5 + 3
+    said = [(1, i, "assistant" if i % 3 else "user", f"text {i} " * (i % 4)) for i in range(n)]
+    table = spark.createDataFrame(said, "conv_id long, turn long, role string, text string")
+    row = chat.format_chats(table).first()
+    spans = [row.formatted[s.start:s.start + s.length] for s in row.loss_spans]
+    assert spans == [t for _, _, role, t in said if role == "assistant"]
+
+
 def test_chat_formatting_stays_native(spark):
     from orderlens.llm import queries
     plan = queries.QUERIES["op4_chat_formatting"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
