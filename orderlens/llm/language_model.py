@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.llm.blocks import blocks, distinct_keys, from_planes, planes, questions, shard_cuts, shard_groups, totals
+from orderlens.llm.blocks import blocks, from_planes, planes, questions, shard_cuts, shard_groups, totals
 from orderlens.llm.common import arrow_schema, batch, map_arrow, shuffle_partitions, utf8
 from orderlens.session import Scratch
 
@@ -107,14 +107,27 @@ class Positions:
         inner = np.flatnonzero(~self.first)
         return pair_keys(self.pair[inner - 1], self.word[inner])
 
+    def ranked(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys in order, and the place among them of each n-gram; with the words, the start of every text comes last."""
+        keys = self.keys(size)
+        if size == 1:
+            keys = np.concatenate([keys, np.full(len(self.starts), START, np.uint64)])
+        order = np.argsort(keys)
+        ordered = keys[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = ordered[1:] != ordered[:-1]
+        place = np.empty(len(keys), np.int64)
+        place[order] = np.cumsum(new) - 1
+        return ordered[new], place
+
     def questions(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Distinct keys in order, and how often this block's training texts have them.
         The start of texts is asked for with the words."""
-        keys, counted = self.keys(size), self.training
+        keys, place = self.ranked(size)
+        counted = self.training[~self.first] if size == 3 else self.training
         if size == 1:
-            keys = np.concatenate([keys, np.full(len(self.starts), START, np.uint64)])
             counted = np.concatenate([counted, self.starts])
-        return distinct_keys(keys, counted[~self.first] if size == 3 else counted)
+        return keys, np.bincount(place[counted], minlength=len(keys)).astype(np.uint32)
 
 
 def counted(stored: DataFrame, shards: int) -> DataFrame:
@@ -153,18 +166,18 @@ class Automaton:
                  strengths: tuple[float, ...] = STRENGTHS):
         """``counts`` are the totals of the distinct words, pairs and triples of ``here``, in order."""
         self.here = here
-        words, pairs, triples = (here.questions(size)[0] for size in (1, 2, 3))
+        (words, word), (pairs, self.pair), (triples, triple) = (here.ranked(size) for size in (1, 2, 3))
         self.words, self.seen_words, self.seen_pairs, self.seen_triples = len(words), *(c > 0 for c in counts)
-        # Where each position's n-grams stand in these lists.
-        self.word, before = np.searchsorted(words, here.word), np.searchsorted(words, here.before)
-        self.pair = np.searchsorted(pairs, here.pair)
+        # Where each position's n-grams stand in these lists, and the start of texts, if there is any.
+        self.word, start = word[:len(here.word)], int(word[-1]) if len(word) else 0
+        before = np.concatenate([[start], self.word[:-1]])
+        before[here.first] = start
         inner = np.flatnonzero(~here.first)
         self.triple = np.zeros(len(here.word), np.int64)
-        self.triple[inner] = np.searchsorted(triples, here.keys(3))
+        self.triple[inner] = triple
 
         self.root = np.log10((counts[0] + 0.5) / (total + 0.5 * (distinct + 1)))
         self.known = counts[0]
-        start = int(np.searchsorted(words, np.uint64(START)))
         self.start = 1 + start if len(words) and self.seen_words[start] else 0
 
         def of_each(where: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
