@@ -33,7 +33,7 @@ from orderlens.session import Scratch
 
 SUPPORT, LONGEST, SCALE, PERCENT, TOP = 100, 5, 1000, 100, 2000
 #: Bytes of text of a shard's block; keys of a range of keys.
-SHARD_BYTES, RANGE_KEYS = 32 << 20, 8 << 20
+SHARD_BYTES, RANGE_KEYS = 16 << 20, 8 << 20
 #: Parts of a language whose first phrases are taken before they are ranked together.
 SALTS = 256
 
@@ -84,9 +84,12 @@ def shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
 
 
 def _mixed(keys: np.ndarray) -> np.ndarray:
-    keys = (keys ^ (keys >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    keys = (keys ^ (keys >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return keys ^ (keys >> np.uint64(32))
+    """Keys with their bits mixed, in place."""
+    for _ in range(2):
+        keys ^= keys >> np.uint64(32)
+        keys *= np.uint64(0xD6E8FEB86659FD93)
+    keys ^= keys >> np.uint64(32)
+    return keys
 
 
 def _written_by(keys: np.ndarray, shards_of: np.ndarray) -> np.ndarray:
@@ -105,27 +108,25 @@ class Shard:
         named = np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, len(self.words))
         self.keys = np.concatenate([np.zeros(1, np.uint64), _mixed(named + lang)])
 
-    def phrases(self, keep, longest: int) -> Iterator[tuple[int, list[np.ndarray], np.ndarray]]:
-        """(size, the kept phrases' keys by position for this and all shorter sizes, their first positions).
+    def phrases(self, keep, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(size, first positions, keys) of the kept phrases, size after size.
 
         ``keep(size, keys)`` says which phrases go on; a phrase needs both of its parts that are one word shorter.
-        Keys of a shorter size stand at their position in arrays as long as the text.
         """
-        position = np.flatnonzero(self.numbers)
-        word = self.keys[self.numbers]
-        keys = word[position]
-        by_size = [word]
+        position = np.flatnonzero(self.numbers).astype(np.int32)
+        keys = self.keys[self.numbers[position]]
         for size in range(1, longest + 1):
             if size > 1:
                 both = np.flatnonzero(position[1:] == position[:-1] + 1)
-                keys = _mixed(keys[both] * np.uint64(0x9E3779B97F4A7C15) + word[position[both] + size - 1])
-                position = position[both]
-                full = np.zeros(len(word), np.uint64)
-                full[position] = keys
-                by_size.append(full)
+                keys, position = keys[both], position[both]
+                del both
+                keys *= np.uint64(0x9E3779B97F4A7C15)
+                keys += self.keys[self.numbers[position + (size - 1)]]
+                _mixed(keys)
             stays = keep(size, keys)
-            keys, position = keys[stays], position[stays]
-            yield size, by_size, position
+            if stays is not None:
+                keys, position = keys[stays], position[stays]
+            yield size, position, keys
 
 
 def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,7 +166,7 @@ def mined(stored: DataFrame, support: int, longest: int, ranges: int) -> DataFra
                 every, counts = _counted(keys)
                 often = counts >= least
                 found.append((every[often], counts[often]))
-                return np.ones(len(keys), bool) if least == 1 else Sieve.empty(Sieve.size(int(often.sum()))).add(every[often]).may(keys)
+                return None if least == 1 else Sieve.empty(Sieve.size(int(often.sum()))).add(every[often]).may(keys)
 
             for _ in shard.phrases(keep, longest):
                 pass
@@ -255,17 +256,24 @@ def written(stored: DataFrame, candidates, writers, longest: int) -> DataFrame:
             shard, sieve, mine = Shard(row), Sieve(candidates.value), Sieve(writers.value)
 
             def rows():
-                for size, by_size, position in shard.phrases(lambda size, keys: sieve.may(keys), longest):
+                held = []
+                for size, position, keys in shard.phrases(lambda size, keys: sieve.may(keys), longest):
+                    held.append((position, keys))
                     if size == 1:
                         continue
-                    keys = by_size[-1][position]
-                    keys, at = np.unique(keys, return_index=True)
-                    here = mine.may(_written_by(keys, np.full(len(keys), shard.id)))
-                    for key, p in zip(keys[here].view(np.int64).tolist(), position[at[here]].tolist()):
+                    every, at = np.unique(keys, return_index=True)
+                    here = mine.may(_written_by(every, np.full(len(every), shard.id)))
+                    every, place = every[here].view(np.int64), position[at[here]]
+
+                    def part(length, shift):
+                        positions, own = held[length - 1]
+                        return own[np.searchsorted(positions, place + shift)].view(np.int64)
+
+                    lefts = np.stack([part(k, 0) for k in range(1, size)], 1).tolist()
+                    rights = np.stack([part(size - k, k) for k in range(1, size)], 1).tolist()
+                    for key, p, left, right in zip(every.tolist(), place.tolist(), lefts, rights):
                         text = b" ".join(shard.words[n - 1] for n in shard.numbers[p:p + size].tolist())
-                        yield (key, shard.lang, text.decode(),
-                               [int(by_size[k - 1][p].view(np.int64)) for k in range(1, size)],
-                               [int(by_size[size - k - 1][p + k].view(np.int64)) for k in range(1, size)])
+                        yield key, shard.lang, text.decode(), left, right
             yield from sliced_rows(rows(), arrow_schema(WRITTEN))
 
     return map_arrow(stored, work, WRITTEN)

@@ -12,6 +12,8 @@ from orderlens.llm.common import arrow_schema, map_arrow, shuffle_partitions, sl
 
 #: Most bytes of a sieve, and words that travel together.
 SIEVE_BYTES, PART = 16 << 20, 4096
+#: Keys that are looked up at once.
+AT_ONCE = 1 << 18
 PARTS = "part int, words binary"
 
 
@@ -39,12 +41,18 @@ class Sieve:
         return cls(np.zeros(size, np.uint64))
 
     def add(self, keys: np.ndarray) -> Sieve:
-        np.bitwise_or.at(self.words, (keys >> self.shift).astype(np.int64), self._bits(keys))
+        for at in range(0, len(keys), AT_ONCE):
+            part = keys[at:at + AT_ONCE]
+            np.bitwise_or.at(self.words, (part >> self.shift).astype(np.int64), self._bits(part))
         return self
 
     def may(self, keys: np.ndarray) -> np.ndarray:
-        mask = self._bits(keys)
-        return (self.words[(keys >> self.shift).astype(np.int64)] & mask) == mask
+        found = np.empty(len(keys), bool)
+        for at in range(0, len(keys), AT_ONCE):
+            part = keys[at:at + AT_ONCE]
+            mask = self._bits(part)
+            found[at:at + AT_ONCE] = (self.words[(part >> self.shift).astype(np.int64)] & mask) == mask
+        return found
 
     def parts(self):
         """(part, words) of all parts that are not empty."""
