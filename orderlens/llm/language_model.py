@@ -48,9 +48,13 @@ RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each pair of word hashes."""
-    x = first * np.uint64(0x9E3779B97F4A7C15) ^ (second + np.uint64(0x7F4A7C159E3779B9)) * np.uint64(0xC2B2AE3D27D4EB4F)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+    x = second + np.uint64(0x7F4A7C159E3779B9)
+    x *= np.uint64(0xC2B2AE3D27D4EB4F)
+    x ^= first * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    return x
 
 
 def held_out(id_column: str = "doc_id", remainder: int = HELD_OUT):
@@ -78,18 +82,15 @@ def stored_blocks(docs: DataFrame, remainder: int = HELD_OUT) -> DataFrame:
 
 
 class Positions:
-    """The positions of a block's texts: a word or the end each, with the word (or start) before and the pair before."""
+    """The positions of a block's texts: a word or the end each. Keys of longer n-grams are made when they are asked for."""
 
     def __init__(self, word: np.ndarray, lengths: np.ndarray, training: np.ndarray):
         self.word, self.lengths = word, lengths
         self.ends = np.cumsum(lengths)
         self.first = np.zeros(len(word), bool)
         self.first[self.ends - lengths] = True
-        self.before = np.concatenate([np.array([START], np.uint64), word[:-1]])
-        self.before[self.first] = START
         self.training = np.repeat(training, lengths)
         self.starts = training
-        self.pair = pair_keys(self.before, word)
 
     @classmethod
     def of(cls, row: dict) -> Positions:
@@ -101,33 +102,46 @@ class Positions:
         return cls(word, lengths, ~np.frombuffer(row["held"], np.uint8).astype(bool))
 
     def keys(self, size: int) -> np.ndarray:
-        """The n-gram that ends at each position; the first of a text ends none of three words."""
-        if size < 3:
-            return self.pair if size == 2 else self.word
-        inner = np.flatnonzero(~self.first)
-        return pair_keys(self.pair[inner - 1], self.word[inner])
-
-    def ranked(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct keys in order, and the place among them of each n-gram; with the words, the start of every text comes last."""
-        keys = self.keys(size)
+        """The n-gram that ends at each position; the first of a text ends none of three words. With the words, the start of
+        every text comes last."""
         if size == 1:
-            keys = np.concatenate([keys, np.full(len(self.starts), START, np.uint64)])
+            return np.concatenate([self.word, np.full(len(self.starts), START, np.uint64)])
+        before = np.concatenate([np.array([START], np.uint64), self.word[:-1]])
+        before[self.first] = START
+        pair = pair_keys(before, self.word)
+        if size == 2:
+            return pair
+        del before
+        inner = ~self.first
+        return pair_keys(pair[:-1][inner[1:]], self.word[inner])
+
+    def ranked(self, size: int) -> tuple[int, np.ndarray]:
+        """How many distinct keys there are, and the place in their order of each n-gram."""
+        _, order, new = self._sorted(size)
+        place = np.empty(len(order), np.int32)
+        place[order] = np.cumsum(new, dtype=np.int32) - 1
+        return int(np.count_nonzero(new)), place
+
+    def _sorted(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys in order, the place each has come from, and whether it differs from the one before."""
+        keys = self.keys(size)
         order = np.argsort(keys)
-        ordered = keys[order]
+        keys = keys[order]
         new = np.ones(len(keys), bool)
-        new[1:] = ordered[1:] != ordered[:-1]
-        place = np.empty(len(keys), np.int64)
-        place[order] = np.cumsum(new) - 1
-        return ordered[new], place
+        new[1:] = keys[1:] != keys[:-1]
+        return keys, order, new
 
     def questions(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Distinct keys in order, and how often this block's training texts have them.
         The start of texts is asked for with the words."""
-        keys, place = self.ranked(size)
+        keys, order, new = self._sorted(size)
         counted = self.training[~self.first] if size == 3 else self.training
         if size == 1:
             counted = np.concatenate([counted, self.starts])
-        return keys, np.bincount(place[counted], minlength=len(keys)).astype(np.uint32)
+        counted = counted[order]
+        del order
+        first = np.flatnonzero(new)
+        return keys[first], np.add.reduceat(counted, first, dtype=np.uint32) if len(first) else np.empty(0, np.uint32)
 
 
 def counted(stored: DataFrame, shards: int) -> DataFrame:
@@ -166,36 +180,47 @@ class Automaton:
                  strengths: tuple[float, ...] = STRENGTHS):
         """``counts`` are the totals of the distinct words, pairs and triples of ``here``, in order."""
         self.here = here
+        # Where each position's n-grams stand in the lists of distinct ones, and the start of texts, if there is any.
         (words, word), (pairs, self.pair), (triples, triple) = (here.ranked(size) for size in (1, 2, 3))
-        self.words, self.seen_words, self.seen_pairs, self.seen_triples = len(words), *(c > 0 for c in counts)
-        # Where each position's n-grams stand in these lists, and the start of texts, if there is any.
+        self.words, self.seen_words, self.seen_pairs, self.seen_triples = words, *(c > 0 for c in counts)
         self.word, start = word[:len(here.word)], int(word[-1]) if len(word) else 0
-        before = np.concatenate([[start], self.word[:-1]])
+        before = np.concatenate([np.array([start], np.int32), self.word[:-1]])
         before[here.first] = start
-        inner = np.flatnonzero(~here.first)
-        self.triple = np.zeros(len(here.word), np.int64)
+        inner = ~here.first
+        self.triple = np.zeros(len(here.word), np.int32)
         self.triple[inner] = triple
 
         self.root = np.log10((counts[0] + 0.5) / (total + 0.5 * (distinct + 1)))
-        self.known = counts[0]
-        self.start = 1 + start if len(words) and self.seen_words[start] else 0
+        self.start = 1 + start if words and self.seen_words[start] else 0
 
         def of_each(where: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
             out = np.zeros(n, values.dtype)
             out[where] = values
             return out
 
-        first, last = of_each(self.pair, before, len(pairs)), of_each(self.pair, self.word, len(pairs))
-        context = counts[0][first]
-        self.pair_weight = np.log10((counts[1] + strengths[0] * 10.0 ** self.root[last]) / (context + strengths[0]))
+        def weighed(counts, strength, shorter, context):
+            """log10((counts + strength * 10 ** shorter) / (context + strength)), with few arrays at a time."""
+            out = np.power(10.0, shorter)
+            out *= strength
+            out += counts
+            out /= context + strength
+            return np.log10(out, out=out)
+
+        first, last = of_each(self.pair, before, pairs), of_each(self.pair, self.word, pairs)
+        del before
+        self.shorter = np.concatenate([np.zeros(1 + words, np.int32), np.where(self.seen_words[last], 1 + last, np.int32(0))])
+        root, context = self.root[last], counts[0][first]
+        del first, last
+        self.pair_weight = weighed(counts[1], strengths[0], root, context)
         # What a pair weighs in the state of its first word, seen or not.
-        whole = np.where(context > 0, self.pair_weight, self.root[last])
-        front, ending = (of_each(self.triple[inner], self.pair[x], len(triples)) for x in (inner - 1, inner))
-        context = counts[1][front] if len(triples) else np.empty(0)
-        self.triple_weight = np.log10((counts[2] + strengths[1] * 10.0 ** whole[ending]) / (context + strengths[1])) if len(triples) else context
+        whole = np.where(context > 0, self.pair_weight, root)
+        del root, context
+        context = counts[1][of_each(triple, self.pair[:-1][inner[1:]], triples)]
+        whole = whole[of_each(triple, self.pair[inner], triples)]
+        self.triple_weight = weighed(counts[2], strengths[1], whole, context)
+        del whole, context
         self.failure = np.concatenate([[0.0], np.log10(strengths[0] / (counts[0] + strengths[0])),
                                        np.log10(strengths[1] / (counts[1] + strengths[1]))])
-        self.shorter = np.concatenate([np.zeros(1 + len(words), np.int64), np.where(self.seen_words[last], 1 + last, 0)])
 
     def ending(self, at: np.ndarray) -> np.ndarray:
         """The state after positions: that of their longest seen ending."""
@@ -234,6 +259,11 @@ class Automaton:
         return out
 
 
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in 32 bits if they fit."""
+    return counts.astype(np.uint32) if not len(counts) or counts.max() < 1 << 32 else counts
+
+
 def score(docs: DataFrame, scratch: Scratch, strengths: tuple[float, ...] = STRENGTHS, remainder: int = HELD_OUT) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row, learnt from the rows
     that are not held out, those whose id has the ``remainder``.
@@ -259,18 +289,21 @@ def score(docs: DataFrame, scratch: Scratch, strengths: tuple[float, ...] = STRE
             for i in range(b.num_rows):
                 row = b.slice(i, 1).to_pylist()[0]
                 if row["size"] <= LONGEST:
-                    held[row["size"]].append(from_planes(row["counts"], np.int64))
+                    held[row["size"]].append(_narrow(from_planes(row["counts"], np.int64)))
                     continue
-                here = Positions.of(row)
-                counts = [np.concatenate([np.empty(0, np.int64), *held[size]]) for size in held]
-                held = {size: [] for size in held}
+                here, ids = Positions.of(row), from_planes(row["ids"], np.int64).tolist()
+                del row
+                counts = [np.concatenate([np.empty(0, np.uint32), *held.pop(size)]) for size in sorted(held)]
+                held = {size: [] for size in range(1, LONGEST + 1)}
                 automaton = Automaton(here, counts, total, distinct, strengths)
+                del counts
                 first = here.ends - here.lengths
-                base, known = automaton.root[automaton.word], automaton.known[automaton.word] > 0
-                added = [np.add.reduceat(x, first) for x in (base, automaton.traverse(), known.astype(np.int64))]
-                ids = from_planes(row["ids"], np.int64).tolist()
+                score = np.add.reduceat(automaton.traverse(), first)
+                base = np.add.reduceat(automaton.root[automaton.word], first)
+                known = np.add.reduceat(automaton.seen_words[automaton.word], first, dtype=np.int64)
                 yield batch(arrow_schema(RESULT), [
-                    [None if x == -1 << 63 else x for x in ids], ~here.starts, here.lengths, added[2],
-                    np.full(len(ids), total, np.int64), added[0], added[1]])
+                    [None if x == -1 << 63 else x for x in ids], ~here.starts, here.lengths, known,
+                    np.full(len(ids), total, np.int64), base, score])
+                del here, automaton
 
     return map_arrow(dealt, work, RESULT)

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -135,6 +136,21 @@ def test_states_are_carried_and_failure_arcs_followed_step_by_step():
     assert whole[13] == pytest.approx(automaton.failure[pair] + automaton.failure[automaton.shorter[pair]] + automaton.root[automaton.word[13]])
 
 
+def test_arrays_of_a_block_take_few_bytes_a_position():
+    pick = np.random.default_rng(1)
+    lengths = np.full(400, 500)
+    word = np.minimum(pick.zipf(1.2, int(lengths.sum())), 1 << 40).astype(np.uint64)
+    here, counts = language_model.Positions(word, lengths, np.arange(400) % 5 > 0), []
+    tracemalloc.start()
+    counts = [here.questions(size)[1] for size in (1, 2, 3)]
+    asked = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    language_model.Automaton(here, counts, int(here.training.sum()), 1000).traverse()
+    scored = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert asked < 70 * len(word) and scored < 100 * len(word)
+
+
 def test_every_state_is_a_distribution():
     """Weights of all known words and one unknown add up to one, in a state of two words, of one and of none."""
     known = list("abc")
