@@ -1,24 +1,26 @@
 """Phrase collocations by partitioning (the SON algorithm).
 
-A shard is the part of one language that one block of documents holds, as word numbers. Every shard is mined
-completely, length by length, at its lowered support: ``support * tokens of the shard / tokens of the
-language``, rounded up. A phrase that is frequent overall reaches that in one shard at least, for otherwise its
-counts would add up to less than the support. The union of the locally frequent phrases is the list of
-candidates. Then every shard counts the candidates that it has not counted yet, and the sums are exact.
+A shard is the part of one language that one block of documents holds, as word numbers. Length by length, every shard
+is mined completely at its lowered support: ``support * tokens of the shard / tokens of the language``, rounded up. A
+phrase that is frequent overall reaches that in one shard at least, for otherwise its counts would add up to less than
+the support. A locally frequent phrase is a candidate if it can reach the support overall: a shard that has not sent it has
+at most one less than its lowered support of it. Then every shard counts the candidates that it has not counted yet, and the
+sums are exact. Only phrases whose parts are frequent overall go on to the next length.
 
 Phrases travel as sorted 64-bit keys of word sequences, packed by key range. Which phrases may be candidates is
 told to the shards by a sieve of the candidate keys of at most ``sieve.SIEVE_BYTES``; a sieve that is too small for
 its keys lets more through, which the sum per key then leaves out. A second sieve names, for each frequent phrase,
 the one shard that writes its words down.
 
-With more than ``support`` shards of one language the lowered support is one: a shard then sends every phrase it has,
-and nothing is left for the second count. Small input partitions are put together so that this comes late.
+With more than ``support`` shards of one language the lowered support is one: a shard then sends each of its distinct phrases
+of frequent parts once, and nothing is left for the second count. Small input partitions are put together so that this comes late.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import xxhash
@@ -26,14 +28,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderlens.llm.blocks import Block, distinct_keys, from_planes, planes, questions, shard_cuts, shard_groups
+from orderlens.llm.blocks import Block, from_planes, planes, questions, shard_cuts, shard_groups
 from orderlens.llm.common import arrow_schema, batch, map_arrow, shuffle_partitions, sliced_rows, utf8
 from orderlens.llm.sieve import PARTS, Sieve, joined, sieve_of
 from orderlens.session import Scratch
 
 SUPPORT, LONGEST, SCALE, PERCENT, TOP = 100, 5, 1000, 100, 2000
 #: Bytes of text of a shard's block; keys of a range of keys.
-SHARD_BYTES, RANGE_KEYS = 16 << 20, 8 << 20
+SHARD_BYTES, RANGE_KEYS = 16 << 20, 4 << 20
 #: Parts of a language whose first phrases are taken before they are ranked together.
 SALTS = 256
 
@@ -42,7 +44,8 @@ BREAK = b"\xff"
 _CLEAN = bytes(0xFF if chr(c) in ".,;:!?\n\x0b\x0c\r" else c for c in bytes(range(256)).lower())
 
 SHARDS = "shard long, lang string, tokens long, words binary, numbers binary"
-SENT = "range int, shard long, first boolean, keys binary, counts binary, sent long"
+SENT = "range int, shard long, unsent long, base long, keys binary, counts binary"
+CANDIDATES = "range int, keys binary, counts binary, shards binary, found long"
 FREQUENT = "key long, f long, shard long"
 WRITTEN = "key long, lang string, phrase string, lefts array<long>, rights array<long>"
 
@@ -140,12 +143,9 @@ def lowered(support: int, tokens: int, total: int) -> int:
     return max(1, -(-support * tokens // total))
 
 
-def _sent(shard: Shard, first: bool, found: list[tuple[np.ndarray, np.ndarray]], cuts: np.ndarray) -> Iterator[tuple]:
-    if not found:
-        return
-    keys, counts = (np.concatenate(x) for x in zip(*found))
-    for r, k, c in questions(*distinct_keys(keys, counts), cuts):
-        yield r, shard.id, first, k, c, len(c) // 4
+def _sent(row: dict, least: int, keys: np.ndarray, counts: np.ndarray, cuts: np.ndarray) -> Iterator[tuple]:
+    for r, k, c in questions(keys, counts, cuts):
+        yield r, row["shard"], least - 1, row["base"], k, c
 
 
 def _rows(batches) -> Iterator[dict]:
@@ -154,57 +154,90 @@ def _rows(batches) -> Iterator[dict]:
             yield b.slice(i, 1).to_pylist()[0]
 
 
-def mined(stored: DataFrame, support: int, longest: int, ranges: int) -> DataFrame:
-    """The locally frequent phrases of every shard, with their counts there."""
+def _of_length(shard: Shard, length: int, sieves: list) -> np.ndarray:
+    """The keys of the shard's phrases of one length; the shorter ones go through their sieves."""
+    keys = shard.keys[:0]
+    for _, _, keys in shard.phrases(lambda size, keys: Sieve(sieves[size - 1].value).may(keys) if size < length else None, length):
+        pass
+    return keys
+
+
+def unsent(stored: DataFrame, totals: DataFrame, support: int) -> DataFrame:
+    """(lang, total, base): all tokens of each language, and how many of a phrase its shards can have together without
+    sending it, one less than the lowered support each."""
+    most = F.greatest(F.expr(f"({support} * tokens + total - 1) div total"), F.lit(1)) - 1
+    return stored.select("lang", "tokens").join(totals.where("total > 0"), "lang").groupBy("lang", "total").agg(F.sum(most).alias("base"))
+
+
+def mined(shards_of: DataFrame, sieves: list, support: int, length: int, ranges: int) -> DataFrame:
+    """The locally frequent phrases of one length of every shard, with their counts there.
+
+    ``sieves`` are those of the shorter phrases that are frequent overall, by length.
+    """
     cuts = shard_cuts(ranges)
 
     def work(batches):
         for row in _rows(batches):
-            shard, least, found = Shard(row), lowered(support, row["tokens"], row["total"]), []
-
-            def keep(size, keys):
-                every, counts = _counted(keys)
-                often = counts >= least
-                found.append((every[often], counts[often]))
-                return None if least == 1 else Sieve.empty(Sieve.size(int(often.sum()))).add(every[often]).may(keys)
+            least = lowered(support, row["tokens"], row["total"])
+            keys, counts = _counted(_of_length(Shard(row), length, sieves))
+            often = counts >= least
+            yield from sliced_rows(_sent(row, least, keys[often], counts[often], cuts), arrow_schema(SENT))
 
-            for _ in shard.phrases(keep, longest):
-                pass
-            yield from sliced_rows(_sent(shard, True, found, cuts), arrow_schema(SENT))
+    return map_arrow(shards_of, work, SENT)
 
-    return map_arrow(stored, work, SENT)
 
-
-def recounted(stored: DataFrame, sieve, support: int, longest: int, ranges: int) -> DataFrame:
-    """The counts of phrases that may be candidates, in the shards in which they are not locally frequent."""
+def recounted(shards_of: DataFrame, sieves: list, sieve, support: int, length: int, ranges: int) -> DataFrame:
+    """The counts of phrases of one length that may be candidates, in the shards in which they are not locally frequent."""
     cuts = shard_cuts(ranges)
 
     def work(batches):
         for row in _rows(batches):
-            least, found, candidates = lowered(support, row["tokens"], row["total"]), [], Sieve(sieve.value)
+            least = lowered(support, row["tokens"], row["total"])
             if least == 1:  # all has been sent
                 continue
-            shard = Shard(row)
-
-            def keep(size, keys):
-                stays = candidates.may(keys)
-                every, counts = _counted(keys[stays])
-                found.append((every[counts < least], counts[counts < least]))
-                return stays
+            keys = _of_length(Shard(row), length, sieves)
+            keys, counts = _counted(keys[Sieve(sieve.value).may(keys)])
+            seldom = counts < least
+            yield from sliced_rows(_sent(row, least, keys[seldom], counts[seldom], cuts), arrow_schema(SENT))
 
-            for _ in shard.phrases(keep, longest):
-                pass
-            yield from sliced_rows(_sent(shard, False, found, cuts), arrow_schema(SENT))
-
-    return map_arrow(stored, work, SENT)
+    return map_arrow(shards_of, work, SENT)
 
 
 def _by_range(sent: DataFrame) -> DataFrame:
     return sent.repartition(shuffle_partitions(sent.sparkSession), "range").sortWithinPartitions("range")
 
 
-def sieve_parts(sent: DataFrame, size: int) -> DataFrame:
-    """The sieve of all keys that were sent, in parts of each task."""
+def _merged(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of packed ones, the order of all, and where each begins in it."""
+    every = np.concatenate([np.cumsum(from_planes(k, np.uint64), dtype=np.uint64) for k in keys])
+    order = np.argsort(every, kind="stable")
+    every = every[order]
+    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+    return every[first], order, first
+
+
+def possible(sent: DataFrame, support: int) -> DataFrame:
+    """The candidates of every range: keys, what has been counted of them, and the least shard in which each is locally frequent."""
+    def work(batches):
+        for asked in shard_groups(batches, ("range",)):
+            every, order, first = _merged([r["keys"] for r in asked])
+            counts = [from_planes(r["counts"], np.uint32).astype(np.int64) for r in asked]
+            size = [len(c) for c in counts]
+            sums = np.add.reduceat(np.concatenate(counts)[order], first)
+            unsent = np.add.reduceat(np.repeat(np.array([r["unsent"] for r in asked]), size)[order], first)
+            # All senders of a phrase are shards of its language.
+            base = np.repeat(np.array([r["base"] for r in asked]), size)[order[first]]
+            hit = sums + base - unsent >= support
+            least = np.minimum.reduceat(np.repeat(np.array([r["shard"] for r in asked]), size)[order], first)
+            yield batch(arrow_schema(CANDIDATES), [
+                [asked[0]["range"]], [planes(np.diff(every[hit], prepend=np.uint64(0)))], [planes(sums[hit])],
+                [planes(least[hit])], [int(hit.sum())]])
+
+    return map_arrow(_by_range(sent), work, CANDIDATES)
+
+
+def sieve_parts(candidates: DataFrame, size: int) -> DataFrame:
+    """The sieve of all candidates, in parts of each task."""
     def work(batches):
         held = Sieve.empty(size)
         for b in batches:
@@ -212,30 +245,28 @@ def sieve_parts(sent: DataFrame, size: int) -> DataFrame:
                 held.add(np.cumsum(from_planes(keys.as_py(), np.uint64), dtype=np.uint64))
         yield from sliced_rows(held.parts(), arrow_schema(PARTS))
 
-    return map_arrow(sent.select("keys"), work, PARTS)
+    return map_arrow(candidates.select("keys"), work, PARTS)
 
 
-def frequent(sent: DataFrame, support: int) -> DataFrame:
+def frequent(candidates: DataFrame, again: DataFrame, support: int) -> DataFrame:
     """(key, f, shard) of every candidate with the support, and the least shard in which it is locally frequent."""
     def work(batches):
-        for asked in shard_groups(batches, ("range",)):
-            keys = [np.cumsum(from_planes(r["keys"], np.uint64), dtype=np.uint64) for r in asked]
-            counts = np.concatenate([from_planes(r["counts"], np.uint32) for r in asked])
-            size = [len(k) for k in keys]
+        for told in shard_groups(batches, ("range",)):
+            every, order, first = _merged([r["keys"] for r in told])
+            counts = [from_planes(r["counts"], np.uint32 if r["shards"] is None else np.int64) for r in told]
             # A shard that only counted again can neither make a candidate nor write it down.
-            shard = np.repeat(np.array([r["shard"] if r["first"] else np.iinfo(np.int64).max for r in asked]), size)
-            every = np.concatenate(keys)
-            order = np.argsort(every, kind="stable")
-            every = every[order]
-            first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
-            sums = np.add.reduceat(counts[order], first, dtype=np.int64)
-            least = np.minimum.reduceat(shard[order], first)
+            shard = [np.full(len(c), np.iinfo(np.int64).max) if r["shards"] is None else from_planes(r["shards"], np.int64)
+                     for r, c in zip(told, counts)]
+            sums = np.add.reduceat(np.concatenate(counts)[order], first, dtype=np.int64)
+            least = np.minimum.reduceat(np.concatenate(shard)[order], first)
             hit = np.flatnonzero((sums >= support) & (least < np.iinfo(np.int64).max))
             for at in range(0, len(hit), 1 << 16):
                 part = hit[at:at + (1 << 16)]
-                yield batch(arrow_schema(FREQUENT), [every[first[part]].view(np.int64), sums[part], least[part]])
+                yield batch(arrow_schema(FREQUENT), [every[part].view(np.int64), sums[part], least[part]])
 
-    return map_arrow(_by_range(sent), work, FREQUENT)
+    columns = ("range", "keys", "counts", "shards")
+    rest = again.select("range", "keys", "counts", F.lit(None).cast("binary").alias("shards"))
+    return map_arrow(_by_range(candidates.where("found > 0").select(*columns).union(rest)), work, FREQUENT)
 
 
 def nominated(found: DataFrame) -> DataFrame:
@@ -248,16 +279,34 @@ def nominated(found: DataFrame) -> DataFrame:
     return map_arrow(found, work, "key long")
 
 
-def written(stored: DataFrame, candidates, writers, longest: int) -> DataFrame:
+def frequent_by_length(shards_of: DataFrame, scratch: Scratch, support: int, longest: int, ranges: int) -> tuple[DataFrame, list]:
+    """(key, f, shard) of all frequent phrases, and their broadcast sieves by length; lengths end where nothing is frequent."""
+    context, found, sieves = shards_of.sparkSession.sparkContext, [], []
+    for length in range(1, longest + 1):
+        candidates = scratch.keep(possible(mined(shards_of, sieves, support, length, ranges), support), "candidates")
+        size = Sieve.size(candidates.agg(F.sum("found")).first()[0] or 0)
+        sieve = context.broadcast(joined(sieve_parts(candidates, size), size))
+        again = recounted(shards_of, sieves, sieve, support, length, ranges)
+        found.append(scratch.keep(frequent(candidates, again, support), "frequent"))
+        scratch.remove(candidates)
+        sieve.unpersist()
+        count = found[-1].count()
+        sieves = [*sieves, context.broadcast(sieve_of(found[-1], count))]
+        if not count:
+            break
+    return reduce(DataFrame.union, found), sieves
+
+
+def written(stored: DataFrame, sieves: list, writers) -> DataFrame:
     """The words of frequent phrases of two words and more, and the keys of both parts of every cut, by the shards that
     are named; now and then by another one too."""
     def work(batches):
         for row in _rows(batches):
-            shard, sieve, mine = Shard(row), Sieve(candidates.value), Sieve(writers.value)
+            shard, often, mine = Shard(row), [Sieve(x.value) for x in sieves], Sieve(writers.value)
 
             def rows():
                 held = []
-                for size, position, keys in shard.phrases(lambda size, keys: sieve.may(keys), longest):
+                for size, position, keys in shard.phrases(lambda size, keys: often[size - 1].may(keys), len(often)):
                     held.append((position, keys))
                     if size == 1:
                         continue
@@ -301,16 +350,12 @@ def collocations(docs: DataFrame, scratch: Scratch, support: int = SUPPORT, long
     stored = scratch.keep(shards(docs, shard_bytes), "shards")
     totals = scratch.keep(stored.groupBy("lang").agg(F.sum("tokens").alias("total")), "totals")
     tokens = totals.agg(F.sum("total")).first()[0] or 0
-    ranges = max(1, math.ceil(tokens * longest / RANGE_KEYS))
-    placed = stored.join(totals.where("total > 0"), "lang")
-    first = scratch.keep(mined(placed, support, longest, ranges), "locally-frequent")
-    size = Sieve.size(first.agg(F.sum("sent")).first()[0] or 0)
-    candidates = spark.sparkContext.broadcast(joined(sieve_parts(first, size), size))
-    again = scratch.keep(recounted(placed, candidates, support, longest, ranges), "counted-again")
-    found = scratch.keep(frequent(first.union(again), support), "frequent")
+    ranges = max(1, math.ceil(tokens / RANGE_KEYS))
+    placed = stored.join(scratch.keep(unsent(stored, totals, support), "unsent"), "lang")
+    found, sieves = frequent_by_length(placed, scratch, support, longest, ranges)
     writers = spark.sparkContext.broadcast(sieve_of(nominated(found), found.count()))
     counts = found.select("key", "f")
-    phrases = scratch.keep(written(stored, candidates, writers, longest).join(counts.withColumnRenamed("f", "a"), "key")
+    phrases = scratch.keep(written(stored, sieves, writers).join(counts.withColumnRenamed("f", "a"), "key")
                            .dropDuplicates(["key"]), "phrases")
 
     # A longer phrase covers a shorter one if one that is a word longer does, for counts only fall.

@@ -14,6 +14,8 @@ from orderlens.llm.common import arrow_schema, map_arrow, shuffle_partitions, sl
 SIEVE_BYTES, PART = 16 << 20, 4096
 #: Keys that are looked up at once.
 AT_ONCE = 1 << 18
+#: Words of a sieve that comes to the driver at once; those of a larger one come part after part.
+SMALL = 1 << 18
 PARTS = "part int, words binary"
 
 
@@ -75,7 +77,8 @@ def joined(parts: DataFrame, size: int) -> np.ndarray:
 
     dealt = parts.repartition(shuffle_partitions(parts.sparkSession), "part").sortWithinPartitions("part")
     words = np.zeros(size, np.uint64)
-    for row in map_arrow(dealt, work, PARTS).toLocalIterator():
+    merged = map_arrow(dealt, work, PARTS)
+    for row in merged.collect() if size <= SMALL else merged.toLocalIterator():
         part = np.frombuffer(bytes(row.words), np.uint64)
         words[row.part * PART:row.part * PART + len(part)] = part
     return words

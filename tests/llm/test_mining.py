@@ -94,6 +94,23 @@ def test_nothing_is_lost_by_a_sieve_that_is_too_small(spark, scratch, monkeypatc
     assert sorted(map(tuple, found.collect())) == brute_collocations(rows, 9)
 
 
+def test_shards_send_only_phrases_of_frequent_parts(spark, scratch, monkeypatch):
+    """With a lowered support of one, phrases with a rare word stay where they are."""
+    sent, mined = [], collocations.mined
+
+    def counted(*args):
+        out = mined(*args)
+        sent.append(out.agg(F.sum(F.octet_length("counts") / 4)).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(collocations, "mined", counted)
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(100)) + " a b a b", "en") for i in range(40)]
+    found = collocations.collocations(documents(spark, rows), scratch, 20, shard_bytes=500)
+    assert sorted(map(tuple, found.collect())) == brute_collocations(rows, 20)
+    words, others = 40 * 102, 40 * 6  # a b, b a, a b a, b a b, a b a b
+    assert 0 < sum(sent) <= words + others
+
+
 def test_collocations_of_no_rows(spark, scratch):
     assert collocations.collocations(documents(spark, phrase_rows(1, 1)).limit(0), scratch).count() == 0
     assert collocations.collocations(documents(spark, [(1, None, None), (2, ".", "en")]), scratch, 1).count() == 0
