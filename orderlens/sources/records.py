@@ -17,6 +17,9 @@ from orderlens.session import materialize
 _SPLIT = ("file", "at")
 # Tried in this order on unknown columns; text is what is left.
 _KINDS = ("int", "bigint", "double", "timestamp_ntz", "boolean")
+# Forms without which a cast fails; most texts are told by them, as a failing cast raises and catches an exception inside.
+_FORMS = {kind: "^[^0-9]*[0-9]+[^0-9]*$" for kind in ("int", "bigint")} | {
+    "boolean": "^[^A-Za-z01]*(?i:t|true|y|yes|1|f|false|n|no|0)[^A-Za-z01]*$"}
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -74,12 +77,18 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType, **options
     return body.select(F.from_csv("text", ddl, {**options, "multiLine": "true", "header": "false"}).alias("row")).select("row.*")
 
 
+def fits(name: str, kind: str) -> Column:
+    """Whether a text column is null or can be cast."""
+    cast = F.expr(f"try_cast({name} AS {kind}) IS NOT NULL")
+    return F.col(name).isNull() | (F.col(name).rlike(_FORMS[kind]) & cast if kind in _FORMS else cast)
+
+
 def read_inferred_records(spark: SparkSession, path: str, **options: str) -> DataFrame:
     """A data set whose columns are named by the header and get the first type that all their values have."""
     head = spark.read.options(**{**options, "header": "true", "multiLine": "true"}).csv(path).columns
     text = read_records(spark, path, T.StructType([T.StructField(c, T.StringType()) for c in head]), **options)
     text = text.toDF(*[f"c{i}" for i in range(len(head))])
-    fits = text.agg(*[F.bool_and(F.expr(f"c{i} IS NULL OR try_cast(c{i} AS {kind}) IS NOT NULL")).alias(f"{kind}{i}")
+    told = text.agg(*[F.bool_and(fits(f"c{i}", kind)).alias(f"{kind}{i}")
                       for i in range(len(head)) for kind in _KINDS], *[F.count(f"c{i}").alias(f"n{i}") for i in range(len(head))]).first()
-    kinds = [next((k for k in _KINDS if fits[f"{k}{i}"] and fits[f"n{i}"]), "string") for i in range(len(head))]
+    kinds = [next((k for k in _KINDS if told[f"{k}{i}"] and told[f"n{i}"]), "string") for i in range(len(head))]
     return text.select(*[F.col(f"c{i}").cast(k).alias(name) for i, (k, name) in enumerate(zip(kinds, head))])

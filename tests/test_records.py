@@ -81,3 +81,15 @@ def test_a_header_alone_gives_no_rows(spark, tmp_path):
     path = tmp_path / "empty.csv"
     path.write_text("id,title,message\n")
     assert records.read_records(spark, str(path), SCHEMA, **OPTIONS).count() == 0
+
+
+def test_kinds_are_those_of_the_casts(spark):
+    """Texts that a form rules out are not cast at all; none of them could be."""
+    odd = ["", " ", "12", " +12 ", "-7\t", "\x009\x7f", "\n3\r\n", "1 2", "1.0", "1e3", "--1", "+", "12a", "９", "99999999999", "9" * 30, "2018-01-02 00:00:00",
+           "true", " TRUE ", "yEs\n", "n", "No", "0", "1", "10", "t t", "ſ", "yeſ", "tr ue", "say 5", "\u00a05", "\x1ft", "NaN", None, 'says "1", no']
+    table = spark.createDataFrame([(v,) for v in odd], "c string")
+    for kind in records._KINDS:
+        plain = F.expr(f"c IS NULL OR try_cast(c AS {kind}) IS NOT NULL")
+        assert table.where(records.fits("c", kind) != plain).count() == 0
+    plan = table.select(records.fits("c", "bigint"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("RLIKE") < plan.index("cast(")
