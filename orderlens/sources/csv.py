@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from orderlens.contracts import CONTRACTS
 from orderlens.operators.cleaning import TIMESTAMP_FORMAT, clean_table
-from orderlens.sources.records import read_inferred_records, read_records
+from orderlens.sources.records import odd_quotes, read_inferred_records, read_records
 from orderlens.warehouse import Warehouse
 
 _OPTIONS = {"header": "true", "encoding": "UTF-8", "quote": '"', "escape": '"'}
@@ -50,8 +49,7 @@ def discover(spark: SparkSession, folder: str) -> list[str]:
 
 def has_line_breaks(spark: SparkSession, path: str) -> bool:
     """Whether a quoted value of the data set holds a line break: some line then has an odd number of quotes."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
-    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+    return not spark.read.text(path).filter(odd_quotes()).isEmpty()
 
 
 def read_inferred(spark: SparkSession, path: str) -> DataFrame:

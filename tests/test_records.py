@@ -93,3 +93,34 @@ def test_kinds_are_those_of_the_casts(spark):
         assert table.where(records.fits("c", kind) != plain).count() == 0
     plan = table.select(records.fits("c", "bigint"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("RLIKE") < plan.index("cast(")
+
+
+YEARS = ["2024", "02024", "12345", "123456", "290000", "294247", "294248", "299999", "300000", "400000", "1234567", "20240102", "-2024", "+12024-01-02", "-290309",
+         "2024-1-2", "2024-01", "2024-13-01", "2024-01-02T10:00:00.123456789Z", "2024-01-02 10:00:00 +01:00", "\t2024-01-02 \x7f", "2024x", "T10:00:00",
+         "10:00", "epoch", "now", "x2024", "2024-01-02 00:00:00"]
+NUMBERS = [".5", "5.", ".", "1e5", "1E+05", "1e", "1.5f", "2D", "1L", "0x1p3", "0x.8P-1", "0x1", "nan", "-Infinity", "+inf", "infin", " 1.5\t", "1.5\x7f", "1,5",
+           "1.5.2", "9" * 400, "2147483647", "2147483648", "-2147483648", "3000000000", "9223372036854775807", "9223372036854775808", "0" * 40 + "7", "-" + "0" * 12 + "7",
+           "21", "12", "2t", "t1", "(1)", "\u06613", "1\n", "1\x85", "1\u2028"]
+
+
+def test_forms_leave_out_no_value_that_a_cast_accepts(spark):
+    table = spark.createDataFrame([(v,) for v in YEARS + NUMBERS], "c string")
+    for kind in records._KINDS:
+        plain = F.expr(f"c IS NULL OR try_cast(c AS {kind}) IS NOT NULL")
+        assert [r.c for r in table.where(records.fits("c", kind) != plain).collect()] == []
+    # What most often fails is told by the form: numbers are no timestamps, timestamps no numbers, no cast raises for these.
+    table = spark.createDataFrame([("1234567",), ("400000",)], "c string")
+    assert table.where(F.col("c").rlike(records._FORMS["timestamp_ntz"])).count() == 0
+    assert table.where(F.lit("2024-01-02 00:00:00").rlike(records._FORMS["double"])).count() == 0
+
+
+def test_lines_are_divided_where_they_are_read(spark, tmp_path, small_splits):
+    """Lines are numbered without shuffling or sorting them; bytes that are no UTF-8 do no harm."""
+    path = tmp_path / "reviews.csv"
+    path.write_bytes(file_text(3, 300).encode() + b'7,"\xe9\n\xff",z\n')
+    numbered = records.numbered_lines(spark, str(path))
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    top = plan[:plan.index("BroadcastExchange")]
+    assert "BroadcastHashJoin" in top and not any(x in top for x in ("Window", "Sort", "Exchange hashpartitioning"))
+    assert numbered.where("hex(value) LIKE '%22E9' OR hex(value) LIKE 'FF22%'").count() == 2
+    assert records.records(spark, str(path)).where("text LIKE '7,\"%z'").count() == 1
