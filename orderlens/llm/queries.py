@@ -30,7 +30,7 @@ def op2_warc_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 def op3_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     with Scratch(spark, "op3") as scratch:
-        found = suffix_dedup.remove_repeats(table(spark, folder, "documents"), scratch)
+        found = suffix_dedup.remove_repeats(table(spark, folder, "documents"), scratch, passages=suffix_dedup.PASSAGE)
         return materialize(found.drop("th", "kept"), "op3-result")
 
 

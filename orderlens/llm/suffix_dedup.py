@@ -13,11 +13,17 @@ merge into the next. Suffixes matched anywhere are all that long matches can hav
 An exact check follows. Equal stretches are repeats as a whole. Where stretches of one key differ,
 one of each kind asks how often each of its runs occurs (``blocks.py``); every run found twice is a repeat.
 So copies are never compared as pairs, and a string that starts in a third of all documents is a sum.
+
+Passages of many words that stand in several documents can be told too, however few bytes they have. Of each run of so many
+words the first ``WORD_GRAM`` words that hash least are kept; blocks ask in how many documents each of these stands,
+and runs around one that stands in several ask the same in the exact check.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +41,11 @@ LENGTH, GRAM, BATCHES = 400, 32, 4
 PIECE = 1 << 20
 #: Suffixes of a range of an array; suffixes that a task holds before it sends them; bytes of texts on which borders are chosen.
 RANGE, HELD, SAMPLED = 1 << 18, 1 << 21, 16 << 20
+#: A passage has more words; words that are looked up together to find one.
+PASSAGE, WORD_GRAM = 50, 16
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 256
+_SPACE, _SPACES = re.compile(rb"[\x09-\x0D\x20]"), np.isin(np.arange(256), [*range(9, 14), 32])
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD))
 _SHIFT, _PLACE = np.uint64(24), np.uint64((1 << 24) - 1)
 # Powers of an odd number and of its inverse modulo 2^64, and a value for each byte, for run fingerprints.
@@ -44,8 +55,12 @@ _BYTE = np.random.default_rng(400).integers(0, 1 << 63, 256, np.uint64) * np.uin
 STRETCHES = "kind int, doc long, th long, key long, stretch long, first long, runs int, repeated boolean"
 PARTS = "range int, prefixes binary, counts binary"
 ARRAYS = "kind int, range int, prefixes binary, counts binary"
-PLACED = "kind int, block long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, payload binary"
-RESULT = "doc_id long, th long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+PLACED = "kind int, block long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, " \
+         "n_passages long, passage_words long, payload binary"
+RESULT = "doc_id long, th long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, " \
+         "n_passages long, passage_words long"
+SAMPLED_WORDS = "kind int, shard int, block long, keys binary, counts binary, payload binary"
+ASKED, TOLD, WORDED = "shard int, block long, keys binary, counts binary", "block long, shard int, twice binary", "doc long, th long, worded binary"
 
 
 def _gram_hashes(text: np.ndarray) -> np.ndarray:
@@ -63,21 +78,26 @@ def _mixed(words: list[np.ndarray]) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _kept(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every ``width`` hashes in a row the place of the least, leftmost on ties: (first run, number of runs, place) of
+    successive runs with one place."""
+    least = (hashes & ~_PLACE) | np.arange(len(hashes), dtype=np.uint64)
+    span, n = 1, len(hashes) - width + 1
+    while span * 2 <= width:
+        least = np.minimum(least[:-span], least[span:])
+        span *= 2
+    place = (np.minimum(least[:n], least[width - span:width - span + n]) & _PLACE).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    return first, np.diff(first, append=n), place[first]
+
+
 def stretches(text: np.ndarray, length: int) -> list[tuple[int, int, int, int]]:
     """(first run, number of runs, place of the kept suffix, key) of every stretch of a text."""
     found = []
     for at in range(0, len(text) - length + 1, PIECE):
         part = text[at:at + PIECE + length - 1]
-        hashes, width = _gram_hashes(part), length - GRAM + 1
-        least = (hashes & ~_PLACE) | np.arange(len(hashes), dtype=np.uint64)
-        span, n = 1, len(part) - length + 1
-        while span * 2 <= width:
-            least = np.minimum(least[:-span], least[span:])
-            span *= 2
-        place = (np.minimum(least[:n], least[width - span:width - span + n]) & _PLACE).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-        runs = np.diff(first, append=n)
-        kept = place[first]
+        hashes = _gram_hashes(part)
+        first, runs, kept = _kept(hashes, length - GRAM + 1)
         found += zip((first + at).tolist(), runs.tolist(), (kept + at).tolist(), hashes[kept].view(np.int64).tolist())
     return found
 
@@ -96,13 +116,74 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def run_hashes(text: np.ndarray, length: int) -> np.ndarray:
     """A 64-bit fingerprint of every run of ``length`` bytes."""
-    up, down = _powers(len(text) + 1)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[text] * down[:len(text)], dtype=np.uint64)])
-    h = (sums[length:] - sums[:-length]) * up[:len(text) - length + 1]
+    return _rolled(_BYTE[text], length)
+
+
+def _rolled(values: np.ndarray, length: int) -> np.ndarray:
+    up, down = _powers(len(values) + 1)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(values * down[:len(values)], dtype=np.uint64)])
+    h = (sums[length:] - sums[:-length]) * up[:len(values) - length + 1]
     h = (h ^ (h >> np.uint64(32))) * _MIX[2]
     return h ^ (h >> np.uint64(29))
 
 
+def _word_hashes(piece: bytes) -> np.ndarray:
+    text = np.frombuffer(piece, np.uint8)
+    space = np.ones(len(text) + 2, bool)
+    space[1:-1] = _SPACES[text]
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    up, down = _powers(len(text) + 1)
+    sums = np.zeros(len(text) + 1, np.uint64)
+    np.cumsum(_BYTE[text] * down[:len(text)], dtype=np.uint64, out=sums[1:])
+    h = (sums[ends] - sums[starts]) * up[starts]
+    h = (h ^ (h >> np.uint64(32))) * _MIX[2]
+    h ^= h >> np.uint64(29)
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(piece[starts[i]:ends[i]])
+    return h
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """A 64-bit hash of every word between white space. Long texts are taken piece by piece; a word that
+    is longer than a piece ends one and goes alone."""
+    found, at = [np.empty(0, np.uint64)], 0
+    while at < len(data):
+        border = _SPACE.search(data, at + PIECE)
+        end = last = border.start() if border else len(data)
+        if end - at > 2 * max(PIECE, LONG_WORD):
+            last = max(at, *(data.rfind(bytes([c]), at, at + PIECE) + 1 for c in np.flatnonzero(_SPACES).tolist()))
+        found.append(_word_hashes(data[at:last]))
+        if last < end:
+            found.append(np.array([xxhash.xxh3_64_intdigest(data[last:end])], np.uint64))
+        at = end
+    return np.concatenate(found)
+
+
+def word_stretches(words: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first run, number of runs, key) of every stretch of runs of ``run`` words."""
+    gram, found = min(WORD_GRAM, run // 2 + 1), [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64))]
+    for at in range(0, len(words) - run + 1, PIECE):
+        hashes = _rolled(words[at:at + PIECE + run - 1], gram)
+        first, runs, kept = _kept(hashes, run - gram + 1)
+        found.append((first + at, runs, hashes[kept]))
+    first, runs, keys = (np.concatenate(x) for x in zip(*found))
+    return first, runs, keys
+
+
+def _word_runs(words: np.ndarray, run: int, stretches_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, fingerprint) of the runs of ``run`` words that the (first run, number of runs) hold."""
+    first, runs = stretches_of
+    new = np.flatnonzero(np.append(True, first[1:] != first[:-1] + runs[:-1]))
+    places, found = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+    for s, n in zip(first[new].tolist(), np.add.reduceat(runs, new).tolist()):
+        for at in range(s, s + n, PIECE):
+            some = min(PIECE, s + n - at)
+            places.append(np.arange(at, at + some))
+            found.append(_rolled(words[at:at + some + run - 1], run))
+    return np.concatenate(places), np.concatenate(found)
+
+
 def _spans(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     """Maximal runs of bytes under any of the spans."""
     if not len(starts):
@@ -300,11 +381,94 @@ class IndexFamily:
 
 
 class _Places:
-    """What is known of a document's stretches: (first run, runs, repeated, asks)."""
+    """What is known of a document's stretches: (first run, runs, repeated, asks), and the (first run, runs) of words that ask."""
 
-    def __init__(self, first, runs, repeated, asks):
+    def __init__(self, first, runs, repeated, asks, worded=b""):
         self.first, self.runs = np.asarray(first, np.int64), np.asarray(runs, np.int64)
-        self.repeated, self.asks = np.asarray(repeated, bool), np.asarray(asks, bool)
+        self.repeated, self.asks, self.worded = np.asarray(repeated, bool), np.asarray(asks, bool), worded
+
+
+def _answers(asked: DataFrame, scratch: Scratch, partitions: int) -> DataFrame:
+    """(block, shard, twice): a bit for each key that a block asks for, set if all counts of the key are over one."""
+    def add(batches_in):
+        def rows():
+            for group in shard_groups(batches_in, ("shard",)):
+                _, _, own = totals([(r["keys"], r["counts"]) for r in group])
+                for r, sums in zip(group, own):  # a last bit ends the list
+                    yield r["block"], r["shard"], np.packbits(np.concatenate([sums > 1, [True]])).tobytes()
+        yield from sliced_rows(rows(), arrow_schema(TOLD))
+
+    dealt = asked.repartition(partitions, "shard").sortWithinPartitions("shard")
+    return scratch.keep(map_arrow(dealt, add, TOLD), "answers")
+
+
+def _meeting(answers: DataFrame, blocks: DataFrame, partitions: int) -> DataFrame:
+    """(twice, payload): the answers to every block in order of their shards, then the block itself."""
+    return (answers.withColumn("payload", F.lit(None).cast("binary"))
+            .union(blocks.select("block", F.lit(partitions * 2).alias("shard"), F.lit(None).cast("binary"), "payload"))
+            .repartitionByRange(partitions, "block").sortWithinPartitions("block", "shard").select("twice", "payload"))
+
+
+def _answered(batches_in) -> Iterator[tuple[bytes, np.ndarray]]:
+    """Every block with the bits of its keys."""
+    held: list[np.ndarray] = []
+    for b in batches_in:
+        for twice, payload in zip(b.column("twice"), b.column("payload")):
+            if twice.as_py() is not None:
+                bits = np.unpackbits(np.frombuffer(twice.as_py(), np.uint8))
+                held.append(bits[:len(bits) - 1 - int(np.argmax(bits[::-1]))].astype(bool))
+                continue
+            yield payload.as_py(), np.concatenate(held) if held else np.empty(0, bool)
+            held = []
+
+
+def shared_words(source: DataFrame, scratch: Scratch, run: int, partitions: int) -> DataFrame:
+    """(doc, th, worded): stretches of runs of ``run`` words whose kept words stand in several documents."""
+    cuts = shard_cuts(partitions * 2)
+
+    def sample(batches_in):
+        from pyspark import TaskContext
+        number, held, weight = TaskContext.get().partitionId() << 24, [], 0
+        out = arrow_schema(SAMPLED_WORDS)
+
+        def packed():
+            once = np.concatenate([np.unique(x[4]) for x in held])
+            keys, counts = distinct_keys(once, np.ones(len(once), np.uint32))
+            first, runs, own = (np.concatenate([x[i] for x in held]) for i in (2, 3, 4))
+            head = [np.array(x, np.int64) for x in zip(*[(doc, th, len(f)) for doc, th, f, _, _ in held])]
+            numbers = [np.array([len(held)], np.int64), *head, first, runs, np.searchsorted(keys, own).astype(np.int64)]
+            yield 1, None, number, None, None, b"".join(a.tobytes() for a in numbers)
+            for shard, k, c in questions(keys, counts, cuts):
+                yield 0, shard, number, k, c, None
+
+        for b in batches_in:
+            for doc, th, text in zip(b.column("doc").to_pylist(), b.column("th").to_pylist(), b.column("text")):
+                data = text.as_py()
+                weight += len(data)
+                if len(data) >= 2 * run - 1 and len((found := word_stretches(word_hashes(data), run))[0]):
+                    held.append((doc, th, *found))
+                if held and weight >= BLOCK:
+                    yield from sliced_rows(packed(), out)
+                    number, held, weight = number + 1, [], 0
+        if held:
+            yield from sliced_rows(packed(), out)
+
+    def tell(batches_in):
+        def rows():
+            for payload, twice in _answered(batches_in):
+                numbers = np.frombuffer(payload, np.int64)
+                n = int(numbers[0])
+                doc, th, size = numbers[1:3 * n + 1].reshape(3, n)
+                first, runs, own = numbers[3 * n + 1:].reshape(3, -1)
+                hit, end = twice[own], np.cumsum(size)
+                for i, (s, e) in enumerate(zip((end - size).tolist(), end.tolist())):
+                    if hit[s:e].any():
+                        yield int(doc[i]), int(th[i]), np.stack([first[s:e][hit[s:e]], runs[s:e][hit[s:e]]]).tobytes()
+        yield from sliced_rows(rows(), arrow_schema(WORDED))
+
+    made = scratch.keep(map_arrow(source.select("doc", "th", "text"), sample, SAMPLED_WORDS), "words", ("kind",))
+    answers = _answers(made.where("kind = 0").select("shard", "block", "keys", "counts"), scratch, partitions)
+    return map_arrow(_meeting(answers, made.where("kind = 1"), partitions), tell, WORDED)
 
 
 def _result(data: bytes, spans: list[tuple[int, int]], with_text: bool, words: int = 0) -> tuple:
@@ -333,13 +497,16 @@ def _whole_characters(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, batches: int = BATCHES,
-                   with_text: bool = False, words: int = 0) -> DataFrame:
-    """(doc_id, th, n_bytes, n_removed, n_spans, kept_sha256, kept) of every row.
+                   with_text: bool = False, words: int = 0, passages: int = 0) -> DataFrame:
+    """(doc_id, th, n_bytes, n_removed, n_spans, kept_sha256, kept, n_passages, passage_words) of every row.
 
     Removed is every byte under a string of ``length`` bytes that starts anywhere else too, in this or another
     document; strings are judged on the input. With ``words``, only maximal runs of such bytes with more words are removed. Null texts are empty. Repeated rows are documents of their own, so
     their long strings repeat. Null ids stay. ``th`` is the hash of the text that, with the id, tells rows apart;
     ``kept`` is the rest of a text that lost something, cut at whole characters, if ``with_text``.
+    With ``passages``, ``n_passages`` counts the maximal runs of more than so many words that stand in another document too,
+    in whatever number of bytes and whatever white space between; ``passage_words`` are their words. They change nothing of
+    what is removed. A word ends at ASCII white space. Without ``passages`` both are null.
     An empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
@@ -374,9 +541,15 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, batc
                      ((F.col("kinds") > 1) & (F.col("asker") == F.struct("doc", "th", "first"))).alias("asks"))
              .where("repeated OR asks"))
     known = known.union(made.where("kind = 1").select("doc", "th", "first", "runs", "repeated", F.lit(False).alias("asks")))
+    known = known.withColumn("worded", F.lit(None).cast("binary"))
+    columns, run = ("first", "runs", "repeated", "asks"), passages + 1
+    if passages:
+        worded = shared_words(source, scratch, run, partitions)
+        known = known.unionByName(worded, allowMissingColumns=True)
     places = scratch.keep(known.groupBy("doc", "th").agg(
-        F.sort_array(F.collect_set(F.struct("first", "runs", "repeated", "asks"))).alias("p")).select(
-        "doc", "th", *[F.col(f"p.{c}").alias(c) for c in ("first", "runs", "repeated", "asks")]), "places")
+        F.sort_array(F.collect_set(F.when(F.col("first").isNotNull(), F.struct(*columns)))).alias("p"), F.max("worded").alias("worded"))
+        .select("doc", "th", *[F.col(f"p.{c}").alias(c) for c in columns], "worded"), "places")
+    none = (0, 0) if passages else (None, None)
 
     def place(batches_in):
         from pyspark import TaskContext
@@ -385,23 +558,23 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, batc
 
         def packed():
             head = [np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.int64)]
-            sizes = [np.array([len(x[2]) for x in held], np.int64), np.array([len(x[3].first) for x in held], np.int64)]
+            sizes = [np.array(n, np.int64) for n in zip(*[(len(x[2]), len(x[3].first), len(x[3].worded)) for x in held])]
             flat = [np.concatenate([getattr(x[3], c).astype(np.int64) for x in held]) for c in ("first", "runs", "repeated", "asks")]
-            text = b"".join(x[2] for x in held)
+            text = b"".join([*(x[3].worded for x in held), *(x[2] for x in held)])
             body = b"".join(a.tobytes() for a in (np.array([len(held), len(flat[0])], np.int64), *head, *sizes, *flat)) + text
-            return batch(out, [[1], [number], [None], [None], [None], [None], [None], [None], [body]])
+            return batch(out, [[1], [number], *[[None]] * 8, [body]])
 
         for b in batches_in:
             ready = []
-            for doc, th, text, first, runs, repeated, asks in zip(*(b.column(c) for c in ("doc", "th", "text", "first", "runs", "repeated", "asks"))):
+            for doc, th, text, first, runs, repeated, asks, worded in zip(*(b.column(c) for c in ("doc", "th", "text", *columns, "worded"))):
                 data, doc, th, first = text.as_py(), doc.as_py(), th.as_py(), first.as_py()
-                p = _Places(first or [], runs.as_py() or [], repeated.as_py() or [], asks.as_py() or [])
-                if p.asks.any():
+                p = _Places(first or [], runs.as_py() or [], repeated.as_py() or [], asks.as_py() or [], worded.as_py() or b"")
+                if p.asks.any() or p.worded:
                     held.append((doc, th, data, p))
                     weight += len(data)
                 else:
                     n, removed, spans, digest, kept = _result(data, _spans(p.first, p.first + p.runs + length - 1), with_text, words)
-                    ready.append((0, th, None if doc == -1 << 63 else doc, n, removed, spans, digest, kept, None))
+                    ready.append((0, th, None if doc == -1 << 63 else doc, n, removed, spans, digest, kept, *none, None))
                 if weight >= BLOCK // 2:
                     yield packed()
                     number, held, weight = number + 1, [], 0
@@ -426,7 +599,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, batc
 
             def rows():
                 for doc, th, text in zip(b.column("doc").to_pylist(), b.column("th").to_pylist(), b.column("text")):
-                    yield None if doc == -1 << 63 else doc, th, *_result(text.as_py(), [], with_text)
+                    yield None if doc == -1 << 63 else doc, th, *_result(text.as_py(), [], with_text), *none
             yield from sliced_rows(rows(), arrow_schema(RESULT))
 
     joined = map_arrow(keyed, touched_rows, keyed.schema).drop("key").join(places, ["doc", "th"], "left")
@@ -434,71 +607,56 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, batc
     blocks = placed.where("kind = 1").select("block", "payload")
     cuts = shard_cuts(partitions * 2)
 
-    asked_schema, told_schema = "shard int, block long, keys binary, counts binary", "block long, shard int, twice binary"
-
     def ask(batches_in):
         def rows():
             for b in batches_in:
                 for block, payload in zip(b.column("block"), b.column("payload")):
-                    keys = np.concatenate([h for d in _unpacked(payload.as_py()) for h in _asked(d, length)])
+                    asked = [_all_asked(d, length, run) for d in _unpacked(payload.as_py())]
+                    # Runs of words are counted by documents.
+                    keys = np.concatenate([k for own, _, shared in asked for k in (*own, np.unique(shared))])
                     for shard, k, c in questions(*distinct_keys(keys, np.ones(len(keys), np.uint32)), cuts):
                         yield shard, block.as_py(), k, c
-        yield from sliced_rows(rows(), arrow_schema(asked_schema))
+        yield from sliced_rows(rows(), arrow_schema(ASKED))
 
-    def add(batches_in):
-        def rows():
-            for asked in shard_groups(batches_in, ("shard",)):
-                _, _, own = totals([(r["keys"], r["counts"]) for r in asked])
-                for r, sums in zip(asked, own):  # a last bit ends the list
-                    yield r["block"], r["shard"], np.packbits(np.concatenate([sums > 1, [True]])).tobytes()
-        yield from sliced_rows(rows(), arrow_schema(told_schema))
-
-    dealt = map_arrow(blocks, ask, asked_schema) \
-        .repartition(partitions, "shard").sortWithinPartitions("shard")
-    answers = scratch.keep(map_arrow(dealt, add, told_schema), "answers")
-    both = (answers.withColumn("payload", F.lit(None).cast("binary"))
-            .union(blocks.select("block", F.lit(partitions * 2).alias("shard"), F.lit(None).cast("binary"), "payload"))
-            .repartitionByRange(partitions, "block").sortWithinPartitions("block", "shard"))
+    answers = _answers(map_arrow(blocks, ask, ASKED), scratch, partitions)
 
     def finish(batches_in):
-        held: list[np.ndarray] = []
-        for b in batches_in:
-            for twice, payload in zip(b.column("twice"), b.column("payload")):
-                if twice.as_py() is not None:
-                    bits = np.unpackbits(np.frombuffer(twice.as_py(), np.uint8))
-                    held.append(bits[:len(bits) - 1 - int(np.argmax(bits[::-1]))].astype(bool))
-                    continue
-                documents = _unpacked(payload.as_py())
-                asked = [_asked(d, length) for d in documents]
-                keys, _ = distinct_keys(np.concatenate([h for a in asked for h in a]), np.ones(sum(len(h) for a in asked for h in a), np.uint32))
-                found, held = np.concatenate(held), []
-                rows = []
-                for (doc, th, data, p), hashes in zip(documents, asked):
-                    starts, ends = [p.first[p.repeated]], [(p.first + p.runs + length - 1)[p.repeated]]
-                    for first, h in zip(p.first[p.asks].tolist(), hashes):
-                        hit = np.flatnonzero(found[np.searchsorted(keys, h)]) + first
-                        starts.append(hit), ends.append(hit + length)
-                    result = _result(data, _spans(np.concatenate(starts), np.concatenate(ends)), with_text, words)
-                    rows.append((None if doc == -1 << 63 else doc, th, *result))
-                yield from sliced_rows(rows, arrow_schema(RESULT))
+        for payload, found in _answered(batches_in):
+            documents = _unpacked(payload)
+            asked = [_all_asked(d, length, run) for d in documents]
+            keys = np.unique(np.concatenate([k for own, _, shared in asked for k in (*own, shared)]))
+            rows = []
+            for (doc, th, data, p), (own, at, shared) in zip(documents, asked):
+                starts, ends = [p.first[p.repeated]], [(p.first + p.runs + length - 1)[p.repeated]]
+                for first, h in zip(p.first[p.asks].tolist(), own):
+                    hit = np.flatnonzero(found[np.searchsorted(keys, h)]) + first
+                    starts.append(hit), ends.append(hit + length)
+                result = _result(data, _spans(np.concatenate(starts), np.concatenate(ends)), with_text, words)
+                hit = at[found[np.searchsorted(keys, shared)]]
+                spans = _spans(hit, hit + run)
+                told = (len(spans), sum(e - s for s, e in spans)) if p.worded else none
+                rows.append((None if doc == -1 << 63 else doc, th, *result, *told))
+            yield from sliced_rows(rows, arrow_schema(RESULT))
 
     ready = placed.where("kind = 0").select("doc_id", F.col("block").alias("th"), *RESULT_COLUMNS)
-    return ready.union(map_arrow(both.select("twice", "payload"), finish, RESULT)).union(map_arrow(keyed, untouched, RESULT))
+    return ready.union(map_arrow(_meeting(answers, blocks, partitions), finish, RESULT)).union(map_arrow(keyed, untouched, RESULT))
 
 
-RESULT_COLUMNS = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+RESULT_COLUMNS = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "n_passages", "passage_words")
 
 
 def _unpacked(payload: bytes) -> list[tuple[int, int, bytes, _Places]]:
     """The documents of a block."""
     n, m = np.frombuffer(payload, np.int64, 2).tolist()
-    numbers = np.frombuffer(payload, np.int64, 4 * n + 4 * m, 16)
-    doc, th, size, count = (numbers[i * n:(i + 1) * n].tolist() for i in range(4))
-    flat = [numbers[4 * n + i * m:4 * n + (i + 1) * m] for i in range(4)]
-    found, at, place = [], 16 + 8 * (4 * n + 4 * m), 0
+    numbers = np.frombuffer(payload, np.int64, 5 * n + 4 * m, 16)
+    doc, th, size, count, worded = (numbers[i * n:(i + 1) * n].tolist() for i in range(5))
+    flat = [numbers[5 * n + i * m:5 * n + (i + 1) * m] for i in range(4)]
+    found, asked, place = [], 16 + 8 * (5 * n + 4 * m), 0
+    at = asked + sum(worded)
     for i in range(n):
-        found.append((doc[i], th[i], payload[at:at + size[i]], _Places(*(x[place:place + count[i]] for x in flat))))
-        at, place = at + size[i], place + count[i]
+        places = _Places(*(x[place:place + count[i]] for x in flat), payload[asked:asked + worded[i]])
+        found.append((doc[i], th[i], payload[at:at + size[i]], places))
+        at, place, asked = at + size[i], place + count[i], asked + worded[i]
     return found
 
 
@@ -507,3 +665,12 @@ def _asked(document: tuple, length: int) -> list[np.ndarray]:
     _, _, data, p = document
     text = np.frombuffer(data, np.uint8)
     return [run_hashes(text[f:f + r + length - 1], length) for f, r in zip(p.first[p.asks].tolist(), p.runs[p.asks].tolist())]
+
+
+def _all_asked(document: tuple, length: int, run: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The fingerprints of ``_asked``, then (place, fingerprint) of the runs of words that ask."""
+    _, _, data, p = document
+    shared = (np.empty(0, np.int64), np.empty(0, np.uint64))
+    if p.worded:
+        shared = _word_runs(word_hashes(data), run, np.frombuffer(p.worded, np.int64).reshape(2, -1))
+    return _asked(document, length), *shared

@@ -232,6 +232,45 @@ def test_repeated_rows_and_null_ids_are_documents_of_their_own(spark, scratch):
     assert suffix_dedup.remove_repeats(documents(spark).limit(0), scratch).count() == 0
 
 
+def brute_passages(texts, more):
+    """(passages, their words): maximal runs under strings of ``more`` + 1 words that another document has too."""
+    words = [(t or "").encode().split() for t in texts]
+    runs = [[tuple(w[i:i + more + 1]) for i in range(len(w) - more)] for w in words]
+    counts = Counter(r for each in runs for r in set(each))
+    out = []
+    for w, each in zip(words, runs):
+        under = np.zeros(len(w) + 1, int)
+        for i, r in enumerate(each):
+            if counts[r] > 1:
+                under[i:i + more + 1] = 1
+        out.append((int((np.diff(np.concatenate([[0], under])) == 1).sum()), int(under.sum())))
+    return out
+
+
+@pytest.mark.parametrize("piece, more", [(1 << 20, 50), (300, 50), (300, 3)])
+def test_short_passages_of_many_words_are_told_by_documents(spark, scratch, monkeypatch, piece, more):
+    monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 4000)  # many blocks
+    random = np.random.default_rng(more)
+
+    def prose(n):
+        return " ".join("".join(random.choice(list("abcdefé"), random.integers(2, 7))) for _ in range(n))
+    passage, other, line = prose(more + 1), prose(3 * more), prose(more + 9)
+    assert len(passage.encode()) < 400
+    texts = [None, "", "short", prose(900), prose(40) + " " + passage + " " + prose(30), passage.replace(" ", "\n"), prose(more + 5),
+             # Too short by a word; repeated within one document alone; longer and overlapping passages; copies.
+             prose(9) + " " + passage.rsplit(" ", 1)[0] + " " + prose(9), line + " " + prose(5) + " " + line,
+             other + " " + prose(7) + " " + other, prose(7) + " " + other[other.index(" "):], "ab " * 700, "ab " * 60, "x" * 3000]
+    texts += [texts[3], texts[3] + " " + passage, prose(20) + " " + " ".join(texts[3].split()[300:500]) + " " + prose(20)]
+    texts += [prose(12) + "\t" + passage + " " + prose(12) for _ in range(40)]
+    rows = [*enumerate(texts), (None, texts[6]), (6, texts[6])]
+    found = suffix_dedup.remove_repeats(documents(spark, *rows), scratch, passages=more).collect()
+    wanted = [(i, *x, *y) for (i, _), x, y in zip(rows, brute_removal([t for _, t in rows], 400), brute_passages([t for _, t in rows], more))]
+    columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "passage_words")
+    assert sorted((tuple(r[c] for c in columns) for r in found), key=str) == sorted(wanted, key=str)
+    assert suffix_dedup.remove_repeats(documents(spark).limit(0), scratch, passages=more).count() == 0
+
+
 def test_characters_stay_whole_where_texts_are_cut():
     data = "é".encode() * 10
     assert suffix_dedup._whole_characters(data, [(1, 7)]) == "é".encode() * 8
