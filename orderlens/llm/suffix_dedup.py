@@ -171,6 +171,26 @@ def word_stretches(words: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray,
     return first, runs, keys
 
 
+def _stretches_of_each(words: list[np.ndarray], run: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``word_stretches`` of each of several texts, found together; only runs within one text stay."""
+    size = np.array([len(w) for w in words], np.int64)
+    end = np.cumsum(size)
+    first, runs, keys = word_stretches(np.concatenate(words), run)
+    text = np.searchsorted(end, first, side="right")
+    # Successive runs of one stretch that lie within a text lie within one: that of the first or the next.
+    found = []
+    for own in (text, np.minimum(np.searchsorted(end, first + runs - 1, side="right"), len(end) - 1)):
+        s, e = np.maximum(first, (end - size)[own]), np.minimum(first + runs, end[own] - run + 1)
+        found.append((own, s, e, e > s))
+    (own, s, e, good), (other, s2, e2, good2) = found
+    good2 &= other != own
+    own, s, e, keys = (np.concatenate([a[good], b[good2]]) for a, b in ((own, other), (s, s2), (e, e2), (keys, keys)))
+    order = np.lexsort((s, own))
+    own, s, e, keys = own[order], s[order], e[order], keys[order]
+    cuts = np.searchsorted(own, np.arange(len(words) + 1)).tolist()
+    return [(s[x:y] - at, e[x:y] - s[x:y], keys[x:y]) for x, y, at in zip(cuts, cuts[1:], (end - size).tolist())]
+
+
 def _word_runs(words: np.ndarray, run: int, stretches_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place, fingerprint) of the runs of ``run`` words that the (first run, number of runs) hold."""
     first, runs = stretches_of
@@ -442,14 +462,15 @@ def shared_words(source: DataFrame, scratch: Scratch, run: int, partitions: int)
                 yield 0, shard, number, k, c, None
 
         for b in batches_in:
-            for doc, th, text in zip(b.column("doc").to_pylist(), b.column("th").to_pylist(), b.column("text")):
-                data = text.as_py()
-                weight += len(data)
-                if len(data) >= 2 * run - 1 and len((found := word_stretches(word_hashes(data), run))[0]):
-                    held.append((doc, th, *found))
-                if held and weight >= BLOCK:
-                    yield from sliced_rows(packed(), out)
-                    number, held, weight = number + 1, [], 0
+            hashed = [(doc, th, w) for doc, th, text in zip(b.column("doc").to_pylist(), b.column("th").to_pylist(), b.column("text"))
+                      if len(w := word_hashes(text.as_py())) >= run]
+            if hashed:
+                found = _stretches_of_each([w for _, _, w in hashed], run)
+                held += [(doc, th, *f) for (doc, th, _), f in zip(hashed, found)]
+                weight += sum(8 * len(w) for _, _, w in hashed)
+            if held and weight >= BLOCK:
+                yield from sliced_rows(packed(), out)
+                number, held, weight = number + 1, [], 0
         if held:
             yield from sliced_rows(packed(), out)
 
